@@ -10,8 +10,9 @@ The flow:
 3. In each band bucket all members are compared with one hub, the member that shares most buckets. That is linear in the
    bucket and joins nearly all of a large group of near copies.
 4. Where a bucket still spans several components, members outside its largest one are compared with every member of
-   other components, so no candidate pair is given up. Hot buckets are dealt out in blocks.
-5. Each candidate is confirmed on the full shingle sets of both texts, and union-find grouping makes components.
+   other components, so no candidate pair is given up. That happens in blocks of a bounded number of shingles, by an
+   inverted index over the exact sets; only links leave a block.
+5. Every link is confirmed on the full shingle sets of both texts, and union-find grouping makes components.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from scanweave.llm._scratch import keep
 from scanweave.llm.components import components
 
 U64 = np.uint64
-#: Rows of a bucket in one block of the second round, and candidate ids that may be broadcast (8 bytes each).
-BLOCK, BROADCAST_IDS = 512, 1_000_000
+#: Pairs in one block of the first round, shingles in one block of the second, candidate ids that may be broadcast (8 bytes each).
+BLOCK, BLOCK_SHINGLES, BROADCAST_IDS = 512, 200_000, 1_000_000
 
 
 def signatures(values: np.ndarray, rows: np.ndarray, n_rows: int, m: int) -> np.ndarray:
@@ -133,12 +134,75 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _blocks(k: int, percent: int):
+    """Over rows sorted by block, with the members outside the bucket's main component first: exact links to all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, parts, sets, index = None, [], [], [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            sides, own_ids, own_parts, mains = (batch.column(i).to_pylist() for i in range(3, 7))
+            out: list[tuple[int, int]] = []
+            for part in _text.chunks(_text.column(batch, "text")):
+                values, rows = _sets(part, k)
+                edges = np.searchsorted(rows, np.arange(part.n + 1))
+                for i in range(part.n):
+                    row, own = part.first + i, values[edges[i] : edges[i + 1]]
+                    if keys[row] != key:
+                        key, ids, parts, sets, index = keys[row], [], [], [], None
+                    if sides[row] == 0:
+                        ids.append(own_ids[row])
+                        parts.append(own_parts[row])
+                        sets.append(own.copy())
+                        continue
+                    if not ids:
+                        continue
+                    if index is None:
+                        flat, at, sizes = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.array([len(x) for x in sets])
+                        order = np.argsort(flat)
+                        index = flat[order], at[order], sizes, np.array(ids), np.array(parts)
+                    flat, at, sizes, all_ids, all_parts = index
+                    low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                    runs = high - low
+                    hits = at[np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())]
+                    both = np.bincount(hits, minlength=len(sizes))
+                    ok = (100 * both >= percent * (sizes + len(own) - both)) & (all_parts != own_parts[row])
+                    if own_parts[row] != mains[row]:
+                        ok &= all_ids > own_ids[row]
+                    out += [(int(x), own_ids[row]) for x in all_ids[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components inside the buckets of rows (bucket, id, component, main, is, js).
+
+    Members outside the main component (cut into `is` blocks) meet all members (`js` blocks); a block holds about
+    BLOCK_SHINGLES shingles. Only confirmed links leave a task, never the pairs that were looked at.
+    """
+    rows = keep(rows.select("bucket", "id", "component", "main", "is", "js"), "near-open")
+    ids = keep(rows.select(F.col("id").alias("doc_id")).distinct(), "near2-ids")
+    texts = _texts(docs, ids).withColumnRenamed("doc_id", "id")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = rows.where("component != main").select("*", block("is").alias("i"), F.lit(0).alias("side")).select("*", every("js").alias("j"))
+    other = rows.select("*", every("is").alias("i"), F.lit(1).alias("side")).select("*", block("js").alias("j"))
+    both = one.unionByName(other).join(texts, "id").select("bucket", "i", "j", "side", "id", "component", "main", "text")
+    both = both.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    return keep(both.mapInArrow(_blocks(k, percent), "a long, b long").distinct(), "near2-links")
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough. a is the side that may be hot and is dealt out in blocks."""
     pairs = keep(pairs, f"{name}-pairs")
     ids = keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = keep(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-texts")
+    texts = keep(_texts(docs, ids), f"{name}-texts")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     lefts = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(blocks, "a")
     lefts = lefts.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks")
@@ -178,17 +242,12 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 25,
 
     placed = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = keep(placed, "near-placed")
-    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("part"))
-    mixed = parts.groupBy("bucket").agg(F.count("*").alias("n_parts"), F.max(F.struct("part", "component")).alias("main")).where("n_parts > 1").select("bucket", F.col("main.component").alias("main"))
-    open_rows = placed.join(mixed, "bucket").withColumn("n_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    one = open_rows.where("component != main").select("bucket", F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
-    other = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    second = one.join(other, ["bucket", "block"]).where("component != component_a and (component = main or id > id_a)").where(fits)
-    second = second.select(F.greatest("id_a", "id").alias("a"), F.least("id_a", "id").alias("b")).distinct()
-    done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    second = keep(second.join(done, ["a", "b"], "left_anti"), "near-second")
-    if second.limit(1).count():
-        labels = components(links.union(_confirmed(second, columns, k, percent, "near2")))
+    parts = placed.groupBy("bucket", "component").agg(F.sum("n").alias("part"))
+    mixed = parts.groupBy("bucket").agg(F.count("*").alias("n_parts"), F.sum("part").alias("total"), F.max(F.struct("part", "component")).alias("main")).where("n_parts > 1")
+    mixed = mixed.select("bucket", F.col("main.component").alias("main"), F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("js"), F.ceil((F.col("total") - F.col("main.part")) / BLOCK_SHINGLES).cast("int").alias("is"))
+    if mixed.limit(1).count():
+        found = _in_blocks(placed.join(mixed, "bucket"), columns, k, percent)
+        labels = components(links.union(found))
 
     groups = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null")
     groups = groups.select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
