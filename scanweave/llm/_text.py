@@ -19,6 +19,9 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
+_BYTE_2 = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_BYTE_LOWER_2 = _BYTE_2.copy()
+_BYTE_LOWER_2[65:91] = _BYTE_2[97:123]
 _MIX = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * U64(2) + U64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -62,7 +65,7 @@ class Texts:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int):
         self.data, self.offsets, self.first, self.n = data, offsets, first, len(offsets) - 1
 
-    def hash_spans(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    def hash_spans(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
         """64-bit hashes of the byte spans; equal bytes give equal hashes wherever they stand."""
         if not len(starts):
             return np.zeros(0, U64)
@@ -71,7 +74,8 @@ class Texts:
         with np.errstate(over="ignore"):
             sums = np.empty(n + 1, U64)
             sums[0] = 0
-            np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.data] * up[:n], out=sums[1:])
+            table = (_BYTE_LOWER_2 if seed else _BYTE_LOWER) if lower else _BYTE_2 if seed else _BYTE
+            np.cumsum(table[self.data] * up[:n], out=sums[1:])
             return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
