@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 _rng = np.random.default_rng(20240229)
