@@ -50,7 +50,7 @@ def vectors(texts: _text.Texts, dims: int) -> tuple[np.ndarray, np.ndarray]:
     offsets = leads[texts.offsets]
     letters = _folds()[points]
     # each row gets blanks before and after, and a run of other characters becomes one blank
-    letters = np.insert(letters, np.repeat(offsets, 1), 0)
+    letters = np.insert(letters, offsets, 0)
     rows = np.searchsorted(offsets + np.arange(texts.n + 1), np.arange(len(letters)), "right") - 1
     keep = letters != 0
     keep[1:] |= letters[:-1] != 0
@@ -58,10 +58,9 @@ def vectors(texts: _text.Texts, dims: int) -> tuple[np.ndarray, np.ndarray]:
     keep[(offsets + np.arange(texts.n + 1))] = True
     letters, rows = letters[keep], rows[keep]
     has = np.bincount(rows[letters != 0], minlength=texts.n + 1)[: texts.n] > 0
-    alphabet, symbols = np.unique(letters, return_inverse=True)
+    alphabet, symbols = np.unique(letters, return_inverse=True)  # the blank is symbol 0
     a, b, c = symbols[:-2], symbols[1:-1], symbols[2:]
-    blank = int(alphabet[0] != 0) - 1 if len(alphabet) else -1  # the symbol of the blank is 0
-    inside = (b != blank) & (rows[:-2] == rows[1:-1])
+    inside = (b != 0) & (rows[:-2] == rows[1:-1])
     size = len(alphabet)
     grams = (a[inside].astype(np.int64) * size + b[inside]) * size + c[inside]
     unique, inverse = np.unique(grams, return_inverse=True)
