@@ -12,6 +12,7 @@ is held in memory, however many turns one conversation has.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -49,6 +50,7 @@ def turns(formatted: str) -> Iterator[tuple[str, str]]:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = True  # the name of a special token inside a text is text
     return found

@@ -11,7 +11,10 @@ Each task packs its own rows: no shuffle, and nothing that grows with the input
 from __future__ import annotations
 
 import json
+import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,14 +27,19 @@ from tokenizers import Tokenizer
 
 from scanweave.llm import _text
 
-REMEMBERED = 400_000
+#: Runs that a worker remembers; then the older half is forgotten.
+REMEMBERED = 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: How byte-level vocabularies spell bytes: those that print as themselves, the others from U+0100 on.
+_SPELLED = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizer file. Where the file splits texts by a pattern after lower-casing, the ids of a piece
-    do not depend on its surroundings, and recent pieces are remembered. Other files, and texts with characters on which
-    Unicode versions differ, go through the tokenizer as they are."""
+    """Encodes texts with a tokenizer file. Where the file splits texts by a pattern that crosses no white space, after
+    lower-casing, the ids of a run without white space do not depend on its surroundings, and recent runs are remembered.
+    Other files, and texts with characters on which Unicode versions differ, go through the tokenizer as they are."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -39,41 +47,62 @@ class WordEncoder:
             held = json.load(f)
         steps = [x["type"] for x in (held.get("normalizer") or {}).get("normalizers", [])]
         splits = (held.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.pattern = None
-        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["behavior"] == "Removed" and splits[0]["invert"]:
-            self.pattern = regex.compile(splits[0]["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"))
+        pattern = splits[0]["pattern"].get("Regex", "") if splits and splits[0]["type"] == "Split" else ""
+        parts = [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+        self.by_runs = steps == ["NFC", "Replace", "Lowercase"] and parts and " " not in pattern and r"\s" not in pattern.replace(r"[^\s", "")
+        self.model = self.tokenizer.model
         self.special = [x["content"] for x in held.get("added_tokens", [])]
-        self.beyond = regex.compile("[^\\x00-\\u024f]")  # up to there, NFC changes nothing and lower-casing is plain
+        # up to U+024F, NFC changes nothing and lower-casing is plain; Python alone takes U+001C to U+001F for white space
+        self.beyond = regex.compile("[^\\x00-\\x1b\\x20-\\u024f]")
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, runs: set[str]) -> None:
         if len(self.recent) >= REMEMBERED // 2:
             self.older, self.recent = self.recent, {}
-        new = []
-        for x in set(pieces):
-            if x not in self.recent:
-                if (known := self.older.get(x)) is not None:
-                    self.recent[x] = known
-                else:
-                    new.append(x)
-        for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.recent[x] = np.array(e.ids, "<u4").tobytes()
-
-    def packed(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if self.pattern is None or any(x in text for x in self.special) or not text.isascii() and self.beyond.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = self.pattern.findall(text.lower())
-        try:
-            return b"".join([self.recent[x] for x in pieces])
-        except KeyError:
-            self._learn(pieces)
-            return b"".join([self.recent[x] for x in pieces])
+        recent, odd = self.recent, []
+        for x in runs.difference(recent):
+            if (known := self.older.get(x)) is not None:
+                recent[x] = known
+                continue
+            word = x.rstrip(".,!?;:")
+            if not word.isalpha():
+                odd.append(x)
+                continue
+            # letters are one match of the pattern, and the marks behind them another
+            found = recent.get(word) or self._letters(word)
+            recent[word] = found
+            if word != x:
+                marks = x[len(word) :]
+                if marks not in recent:
+                    recent[marks] = _packed(self.tokenizer.encode(marks, add_special_tokens=False).ids)
+                recent[x] = found + recent[marks]
+        for x, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            recent[x] = _packed(e.ids)
+
+    def _letters(self, word: str) -> bytes:
+        """A run of letters by the merges alone, its bytes spelled as the vocabulary spells them."""
+        spelled = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(_SPELLED)
+        return _packed([t.id for t in self.model.tokenize(spelled)])
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        runs = [text.lower().split() if self.by_runs and not self.beyond.search(text) and not any(x in text for x in self.special) else None for text in texts]
+        self._learn(set().union(*[x for x in runs if x is not None]))
+        recent = self.recent
+        return [_packed(self.tokenizer.encode(text, add_special_tokens=False).ids) if own is None else b"".join([recent[x] for x in own]) for text, own in zip(texts, runs, strict=True)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
     return WordEncoder(path)
 
 
@@ -165,11 +194,13 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, max_op
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, packer = encoder(path), Packer(window, max_open, TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), _text.column(batch, "text"), strict=True):
-                packer.add(doc, own.packed(text.as_py()) + end)
-                if len(packer.done) >= 1000:
-                    yield from rows(packer.done)
-                    packer.done = []
+            ids, text = batch.column(0).to_pylist(), _text.column(batch, "text")
+            for part in _text.chunks(text):
+                texts = text.slice(part.first, part.n).to_pylist()
+                for doc, packed in zip(ids[part.first :], own.packed(texts)):  # noqa: B905
+                    packer.add(doc, packed + end)
+                yield from rows(packer.done)
+                packer.done = []
         packer.flush()
         yield from rows(packer.done)
 
