@@ -23,17 +23,40 @@ import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from tiktoken import _tiktoken as tiktoken
 from tokenizers import Tokenizer
 
 from scanweave.llm import _text
+from scanweave.llm._scratch import small_batches
 
 #: Runs that a worker remembers; then the older half is forgotten.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 #: How byte-level vocabularies spell bytes: those that print as themselves, the others from U+0100 on.
-_SPELLED = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTES = {chr(b): b for b in _PRINTED} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
+#: Stands for the end of a word in the merges; UTF-8 has no such byte.
+_WORD_END, _END_MARK = b"\xff", "</w>"
+
+
+#: ASCII marks that are neither letters nor digits, without the apostrophe, which can belong to a match of its own.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _merger(model: dict):
+    """The model's merges by rank, or None if its ids are not in the order of its merges. The merger is tiktoken's, which
+    makes no object for each token."""
+    vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    base = len(vocab) - len(merges)
+    if model.get("end_of_word_suffix") != _END_MARK or any(vocab["".join(m)] != base + i for i, m in enumerate(merges)):
+        return None
+    plain = {t.removesuffix(_END_MARK): _END_MARK if t.endswith(_END_MARK) else "" for t, i in vocab.items() if i < base}
+    if len(plain) != 256 or any(len(t) != 1 for t in plain):
+        return None
+    ranks = {bytes(_BYTES[c] for c in t.removesuffix(_END_MARK)) + (_WORD_END if t.endswith(_END_MARK) else b""): i for t, i in vocab.items()}
+    return tiktoken.CoreBPE(ranks, {}, r"(?s).+")
 
 
 class WordEncoder:
@@ -50,7 +73,8 @@ class WordEncoder:
         pattern = splits[0]["pattern"].get("Regex", "") if splits and splits[0]["type"] == "Split" else ""
         parts = [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
         self.by_runs = steps == ["NFC", "Replace", "Lowercase"] and parts and " " not in pattern and r"\s" not in pattern.replace(r"[^\s", "")
-        self.model = self.tokenizer.model
+        self.merger = _merger(held["model"]) if self.by_runs else None
+        self.by_runs = self.merger is not None
         self.special = [x["content"] for x in held.get("added_tokens", [])]
         # up to U+024F, NFC changes nothing and lower-casing is plain; Python alone takes U+001C to U+001F for white space
         self.beyond = regex.compile("[^\\x00-\\x1b\\x20-\\u024f]")
@@ -60,37 +84,38 @@ class WordEncoder:
     def _learn(self, runs: set[str]) -> None:
         if len(self.recent) >= REMEMBERED // 2:
             self.older, self.recent = self.recent, {}
-        recent, odd = self.recent, []
-        for x in runs.difference(recent):
-            if (known := self.older.get(x)) is not None:
+        recent, older, odd, piece = self.recent, self.older, [], self.merger.encode_single_piece
+        for x in runs:
+            if (known := older.get(x)) is not None:
                 recent[x] = known
                 continue
-            word = x.rstrip(".,!?;:")
+            word = x.rstrip(_MARKS)
             if not word.isalpha():
                 odd.append(x)
-                continue
-            # letters are one match of the pattern, and the marks behind them another
-            found = recent.get(word) or self._letters(word)
-            recent[word] = found
-            if word != x:
+            elif word == x:
+                recent[x] = _packed(piece(x.encode("utf-8") + _WORD_END))
+            else:  # letters are one match of the pattern, and the marks behind them another
                 marks = x[len(word) :]
                 if marks not in recent:
                     recent[marks] = _packed(self.tokenizer.encode(marks, add_special_tokens=False).ids)
-                recent[x] = found + recent[marks]
+                recent[x] = _packed(piece(word.encode("utf-8") + _WORD_END)) + recent[marks]
         for x, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             recent[x] = _packed(e.ids)
 
-    def _letters(self, word: str) -> bytes:
-        """A run of letters by the merges alone, its bytes spelled as the vocabulary spells them."""
-        spelled = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(_SPELLED)
-        return _packed([t.id for t in self.model.tokenize(spelled)])
-
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        runs = [text.lower().split() if self.by_runs and not self.beyond.search(text) and not any(x in text for x in self.special) else None for text in texts]
-        self._learn(set().union(*[x for x in runs if x is not None]))
-        recent = self.recent
-        return [_packed(self.tokenizer.encode(text, add_special_tokens=False).ids) if own is None else b"".join([recent[x] for x in own]) for text, own in zip(texts, runs, strict=True)]
+        out = []
+        for text in texts:
+            if not self.by_runs or self.beyond.search(text) or any(x in text for x in self.special):
+                out.append(_packed(self.tokenizer.encode(text, add_special_tokens=False).ids))
+                continue
+            runs = text.lower().split()
+            found = list(map(self.recent.get, runs))
+            if None in found:
+                self._learn({x for x, ids in zip(runs, found, strict=True) if ids is None})
+                found = [self.recent[x] if ids is None else ids for x, ids in zip(runs, found, strict=True)]
+            out.append(b"".join(found))
+        return out
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -204,4 +229,4 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, max_op
         packer.flush()
         yield from rows(packer.done)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
