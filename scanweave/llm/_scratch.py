@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,3 +30,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: What one batch between the JVM and Python holds at most, where the session allows more.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's limits of an Arrow batch: texts are long, and a batch is held on both sides of the
+    pipe. Limits that are lower already stay."""
+    conf = df.sparkSession.conf
+    rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    size = conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not re.fullmatch(r"\d+b?", size) or not 0 < int(size.rstrip("b")) <= BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df

@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from scanweave.llm import _text
+from scanweave.llm._scratch import small_batches
 
 #: Pieces whose ids a worker remembers; then the older half is forgotten.
 REMEMBERED = 400_000
@@ -177,4 +178,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 decoded.append(hashlib.sha256(own.decode(packed)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

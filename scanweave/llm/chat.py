@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from scanweave.llm._scratch import small_batches
+
 OPEN, CLOSE, ESCAPE = "### ", "</turn>", "\\"
 _ESCAPES = {ESCAPE: ESCAPE + ESCAPE, "###": ESCAPE + "h", CLOSE: ESCAPE + "t", ":": ESCAPE + "c"}
 _BACK = {v[1]: k for k, v in _ESCAPES.items()}
@@ -107,7 +109,7 @@ def format_chats(rows: DataFrame, path: str, loss_role: str = "assistant", segme
         if out:
             yield batch_of(out)
 
-    rows = rows.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = small_batches(rows).select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.select("conv_id", "role", "text").mapInArrow(run, SEGMENTS)
 
 
@@ -150,5 +152,5 @@ def read_back(segments: DataFrame) -> DataFrame:
         if state:
             yield batch_of([row(conv, state)])
 
-    segments = segments.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    segments = small_batches(segments).repartition("conv_id").sortWithinPartitions("conv_id", "segment")
     return segments.select("conv_id", "text", "loss_starts", "loss_ends").mapInArrow(run, DIGESTS)

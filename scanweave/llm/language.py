@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from scanweave.llm import _text
+from scanweave.llm._scratch import small_batches
 
 N = 3
 
@@ -69,7 +70,7 @@ def vectors(texts: _text.Texts, dims: int) -> tuple[np.ndarray, np.ndarray]:
     base = _letter_vectors(alphabet, dims)
     out = np.zeros((texts.n, dims), np.float32)
     edges = np.searchsorted(gram_rows, np.arange(texts.n + 1))
-    step = 32_768
+    step = 4096
     for start in range(0, len(unique), step):  # n-gram vectors in blocks of bounded size
         u = unique[start : start + step]
         bound = np.roll(base, 2, axis=1)[u // (size * size)] * np.roll(base, 1, axis=1)[u // size % size] * base[u % size]
@@ -124,7 +125,7 @@ def fit(labelled: DataFrame, dims: int = 1024, per_language: int = 3000) -> Prof
     About per_language documents of each language are used, chosen by a hash of doc_id; that bounds the work of fitting,
     while languages are counted over all rows. languages x dims numbers reach the driver.
     """
-    able = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    able = small_batches(labelled).where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in able.groupBy("lang").count().collect()}
     if not counts:
         return Profiles((), np.zeros((0, dims), np.float32))
@@ -144,7 +145,7 @@ def predicted(docs: DataFrame, profiles: Profiles) -> DataFrame:
     lang is `und` and score 0 for a null text or one without a letter; among equal cosines the smallest language wins.
     score is the cosine, 0 if negative.
     """
-    docs = docs.drop("language_found")
+    docs = small_batches(docs).drop("language_found")
     sc = docs.sparkSession.sparkContext
     held = sc.broadcast((profiles.languages, profiles.prototypes))  # languages x dims numbers
 

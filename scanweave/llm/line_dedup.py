@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from scanweave.llm import _text
-from scanweave.llm._scratch import keep
+from scanweave.llm._scratch import keep, small_batches
 
 U64 = np.uint64
 KEYS_PER_SHARD, POSTINGS_PER_TASK, BROADCAST_SHARDS = 50_000, 200_000, 100_000
@@ -173,7 +173,7 @@ class LineIndex:
     @classmethod
     def build(cls, docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> "LineIndex":
         """The index of docs (doc_id, text); rows without a doc_id stay out."""
-        postings = keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_postings(min_chars), "key_a long, key_b long, doc_id long"), "line-postings")
+        postings = keep(small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_postings(min_chars), "key_a long, key_b long, doc_id long"), "line-postings")
         return cls._of(postings, min_chars, min_docs)
 
     @classmethod

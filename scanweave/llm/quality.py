@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from scanweave.llm import _text
-from scanweave.llm._scratch import keep
+from scanweave.llm._scratch import keep, small_batches
 
 U64 = np.uint64
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims", "n_letters", "n_capitals", "n_stops", "n_bare", "word_bytes")
@@ -105,7 +105,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame) -> DataFrame:
     """docs with the struct quality_stats (replaced, if there was one)."""
-    docs = docs.drop("quality_stats")
+    docs = small_batches(docs).drop("quality_stats")
     schema = StructType([*docs.schema.fields, StructField("quality_stats", StructType([StructField(s, LongType()) for s in STATS]))])
     return docs.mapInArrow(_measure, schema)
 
