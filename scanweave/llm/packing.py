@@ -30,7 +30,7 @@ from scanweave.llm import _text
 from scanweave.llm._scratch import small_batches
 
 #: Runs that a worker remembers; then the older half is forgotten.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

@@ -185,5 +185,5 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def kept_only(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that quality() keeps, with their columns. The texts are measured again instead of being shuffled."""
-    model = fit(keep(measured(docs.select("doc_id", "text")).drop("text"), "quality-stats"))
+    model = fit(measured(docs.select("doc_id", "text")))
     return measured(docs).where(~base_failed() & (model.probability() >= threshold)).drop("quality_stats")
