@@ -438,8 +438,11 @@ def evaluator_chi(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from scanweave.plans import iterative  # noqa: F401  registers its queries here
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
