@@ -1,8 +1,9 @@
 """Language identification by hyperdimensional profiles (operator 9).
 
 Each letter has a random vector of +1 and -1. An n-gram vector binds (multiplies) its letters' vectors, each permuted
-(rolled) by its place; a text's vector bundles (adds) its n-gram vectors, and a language's prototype bundles the unit
-vectors of its texts. A text has the language whose prototype has the largest cosine with its vector.
+(rolled) by its place; a text's vector bundles (adds) its n-gram vectors, each by the square root of its count, so that a
+line repeated many times does not outweigh the rest; a language's prototype bundles the unit vectors of its texts. A text
+has the language whose prototype has the largest cosine with its vector.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def vectors(texts: _text.Texts, dims: int) -> tuple[np.ndarray, np.ndarray]:
         bound = bound.astype(np.float32)
         for i in np.flatnonzero(np.diff(edges)):
             at = gram_at[edges[i] : edges[i + 1]]
-            own = counts[edges[i] : edges[i + 1]]
+            own = np.sqrt(counts[edges[i] : edges[i + 1]])
             if len(unique) > step:
                 mine = (at >= start) & (at < start + step)
                 at, own = at[mine], own[mine]
