@@ -146,7 +146,7 @@ def box_sums(integral: DataFrame, keys: list[str], half: int) -> DataFrame:
     right, low = F.least(F.col("col") + half, "_cols"), F.least(F.col("row") + half, "_rows")
     left, high = F.col("col") - half - 1, F.col("row") - half - 1
     corners = F.array(*[F.struct(r.cast("long").alias("r"), c.cast("long").alias("c"), F.lit(sign).alias("sign")) for r, c, sign in ((low, right, 1), (high, right, -1), (low, left, -1), (high, left, 1))])
-    asked = integral.join(F.broadcast(size), list(keys)).select(*keys, "row", "col", F.explode(corners).alias("k"))  # size: one row an image
+    asked = integral.join(size, list(keys)).select(*keys, "row", "col", F.explode(corners).alias("k"))
     asked = asked.select(*keys, "row", "col", F.col("k.r").alias("_r"), F.col("k.c").alias("_c"), "k.sign")
     at = integral.select(*keys, F.col("row").cast("long").alias("_r"), F.col("col").cast("long").alias("_c"), "integral")
     return asked.join(at, [*keys, "_r", "_c"]).groupBy(*keys, "row", "col").agg(F.sum(F.col("sign") * F.col("integral")).alias("box_sum"))

@@ -3,9 +3,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanweave.operators.prefix import ordinal
 from scanweave.sources.tables import keep
 
 
@@ -16,11 +17,11 @@ def active_factors(factors: DataFrame, edges: DataFrame, variables: DataFrame) -
     return factors.where("enabled").join(state.where("not _out and not _fixed"), "factor_id", "left_semi")
 
 
-def active_variables(active: DataFrame, edges: DataFrame, variables: DataFrame) -> DataFrame:
-    """Active variables of active factors with dense indices in id order. Variables are few next to factors."""
+def active_variables(active: DataFrame, edges: DataFrame, variables: DataFrame, bucket: int = 1_000_000) -> DataFrame:
+    """Active variables of active factors with dense indices in id order; ids are ordered in buckets, not in one task."""
     used = edges.join(active.select("factor_id"), "factor_id", "left_semi").select("variable_id").distinct()
     found = variables.where("status = 'active'").join(used, "variable_id", "left_semi").select("variable_id")
-    return found.withColumn("index", F.row_number().over(Window.orderBy("variable_id")) - 1)
+    return ordinal(found, ["variable_id"], F.floor(F.col("variable_id") / bucket), name="index")
 
 
 def missing_variables(edges: DataFrame, variables: DataFrame) -> DataFrame:
