@@ -17,7 +17,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanweave.llm._scratch import keep
@@ -201,13 +201,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, router: Router |
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
-    indexed = vectors.where("vec_id is not null").select("vec_id", "embedding").mapInArrow(home, "vec_id long, embedding array<double>, part int")
+    indexed = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(home, "vec_id long, embedding array<double>, part int")
     indexed = keep(indexed.dropDuplicates(["vec_id"]), "ann-index")
     blocks = indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # one row a partition
     rows = indexed.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    asked = queries.where("vec_id is not null").select("vec_id", "embedding").dropDuplicates(["vec_id"]).mapInArrow(route, "vec_id long, embedding array<double>, parts array<int>")
+    asked = queries.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding").dropDuplicates(["vec_id"]).mapInArrow(route, "vec_id long, embedding array<double>, parts array<int>")
     asked = asked.select("vec_id", "embedding", F.explode("parts").alias("part")).join(F.broadcast(blocks), "part")
     asked = asked.select("vec_id", "embedding", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     near = asked.groupBy("part", "block").cogroup(rows.groupBy("part", "block")).applyInArrow(rank, "query_id long, vec_id long, score double")
-    best = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "found")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("found.vec_id").alias("vec_id"), (-F.col("found.minus")).alias("score"))
+    # a limit on row_number also limits each task's rows before the shuffle
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -109,7 +109,7 @@ def format_chats(rows: DataFrame, path: str, loss_role: str = "assistant", segme
         if out:
             yield batch_of(out)
 
-    rows = small_batches(rows).select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = small_batches(rows).select(F.col("conv_id").cast("long"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.select("conv_id", "role", "text").mapInArrow(run, SEGMENTS)
 
 

@@ -296,7 +296,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
     Repeated rows of one doc_id count as one document for the others, and each is returned. Null doc_id: the row takes no
     part and stays whole. Empty table: no rows.
     """
-    rows = _with_drops(docs.select("doc_id", "text"), LineIndex.build(docs, min_chars, min_docs))
+    rows = _with_drops(docs.select(F.col("doc_id").cast("long"), "text"), LineIndex.build(docs, min_chars, min_docs))
     return rows.mapInArrow(_rewrite(min_chars, True), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 

@@ -222,7 +222,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 25,
     Null or word-less text: n_shingles 0, linked with nothing. Repeated rows: one class, each row returned. Null doc_id:
     the row takes no part, component_id null and kept true. Ties: the smallest doc_id is kept. Empty table: no rows.
     """
-    columns = small_batches(docs).select("doc_id", "text")
+    columns = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     features = keep(columns.mapInArrow(_features(k, bands, width), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "near-features")
     able = features.where("n_shingles > 0 and doc_id is not null")
     classes = able.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))

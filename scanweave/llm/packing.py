@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tiktoken import _tiktoken as tiktoken
 from tokenizers import Tokenizer
 
@@ -229,4 +230,4 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, max_op
         packer.flush()
         yield from rows(packer.done)
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)

@@ -83,7 +83,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = 6
     group has an id. Repeated rows of the largest page_id are all responses. Other columns are not read.
     """
     folder = _qualified(pages.sparkSession, folder)
-    pages = small_batches(pages).select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    pages = small_batches(pages).select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     roles = _roles(pages, min_bytes).select("page_id", F.lit(0).alias("kind"), F.col("sha1").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to")
     rows = pages.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
     # the roles travel with their pages, so that the payloads are shuffled once
