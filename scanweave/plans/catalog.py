@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanweave.operators import cloud, evaluate, graph, messages, prefix, surfels
@@ -17,8 +17,11 @@ from scanweave.plans.views import HOUR, MSGS, NRM, OBS, PTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-#: Rows of the event stream in one bucket of an ordinal.
-BUCKET = F.floor(F.col("event_id") / 10_000)
+
+
+def bucket() -> Column:
+    """Ten thousand rows of the event stream make one bucket of an ordinal."""
+    return F.floor(F.col("event_id") / 10_000)
 
 
 def query(sql: str | None = None):
@@ -46,12 +49,12 @@ def topic_select(spark, sf_dir):
 
 @query(f"with {MSGS} select event_id, topic from (select *, row_number() over (partition by topic order by event_id) - 1 as k from msgs) where k % 5 = 0")
 def decimate(spark, sf_dir):
-    return messages.decimate(views.messages(spark, sf_dir), 5, ["event_id"], BUCKET).select("event_id", "topic")
+    return messages.decimate(views.messages(spark, sf_dir), 5, ["event_id"], bucket()).select("event_id", "topic")
 
 
 @query(f"with {MSGS} select event_id, topic from (select *, row_number() over (order by event_id) - 1 as k from msgs) where k >= 20 and k < 220")
 def skip_take(spark, sf_dir):
-    return messages.skip_take(views.messages(spark, sf_dir), 10, 100, ["event_id"], BUCKET).select("event_id", "topic")
+    return messages.skip_take(views.messages(spark, sf_dir), 10, 100, ["event_id"], bucket()).select("event_id", "topic")
 
 
 @query(f"""with {MSGS}, c as (select event_id, t, row_number() over (order by event_id) - 1 as pair from msgs where topic = 'click'),
@@ -59,7 +62,7 @@ def skip_take(spark, sf_dir):
  select pair, c.event_id as left_event_id, o.event_id as right_event_id from c join o using (pair)""")
 def ordinal_pair(spark, sf_dir):
     m = views.messages(spark, sf_dir)
-    return messages.ordinal_pair(m.where("topic = 'click'"), m.where("topic = 'view'"), ["event_id"], BUCKET, ["event_id"])
+    return messages.ordinal_pair(m.where("topic = 'click'"), m.where("topic = 'view'"), ["event_id"], bucket(), ["event_id"])
 
 
 @query(f"""with {MSGS}, s as (select event_id, t + ((event_id * 7919) % 13) * {HOUR} as t from msgs),
@@ -67,7 +70,7 @@ def ordinal_pair(spark, sf_dir):
  select event_id, t from r where latest is null or t >= latest - 8 * {HOUR}""")
 def sorted_late_drop(spark, sf_dir):
     m = views.messages(spark, sf_dir).withColumn("t", F.col("t") + ((F.col("event_id") * 7919) % 13) * HOUR)
-    return messages.drop_late(m, "t", "event_id", 8 * HOUR, BUCKET).select("event_id", "t")
+    return messages.drop_late(m, "t", "event_id", 8 * HOUR, bucket()).select("event_id", "t")
 
 
 @query(f"""with {MSGS}, s as (select t, avg(value) as v from msgs where topic = 'view' group by t), q as (select event_id, t from msgs where topic = 'click'),
@@ -82,7 +85,7 @@ def asof_interp(spark, sf_dir):
 @query(f"with {MSGS} select event_id, t - lag(t) over w as dt, cast(round(value * 100) as bigint) - lag(cast(round(value * 100) as bigint)) over w as dv from msgs window w as (partition by topic order by event_id)")
 def consecutive_delta(spark, sf_dir):
     m = views.messages(spark, sf_dir).withColumn("v", F.round(F.col("value") * 100).cast("long"))
-    out = prefix.previous(m, ["event_id"], BUCKET, ["t", "v"], ["topic"])
+    out = prefix.previous(m, ["event_id"], bucket(), ["t", "v"], ["topic"])
     return out.select("event_id", (F.col("t") - F.col("prev_t")).alias("dt"), (F.col("v") - F.col("prev_v")).alias("dv"))
 
 
@@ -105,7 +108,7 @@ def sync_pack(spark, sf_dir):
 
 @query()
 def motion_subsample(spark, sf_dir):
-    m = prefix.previous(views.messages(spark, sf_dir), ["event_id"], BUCKET, ["value"], ["frame"])
+    m = prefix.previous(views.messages(spark, sf_dir), ["event_id"], bucket(), ["value"], ["frame"])
     steps = m.select(F.col("frame").alias("stream"), F.col("event_id").alias("arrival"), F.coalesce(F.abs(F.col("value") - F.col("prev_value")), F.lit(0.0)).alias("distance"), F.lit(0.0).alias("angle"))
     return messages.subsample_motion(steps, 25.0, 0.25)
 
@@ -416,7 +419,7 @@ def rmse_per_axis(spark, sf_dir):
  select s.run, first, cast(length as double) as length, min(p.frame) as last from s join p on p.run = s.run and p.distance > s.goal group by 1, 2, 3""")
 def segment_error(spark, sf_dir):
     m = views.messages(spark, sf_dir).withColumn("v", F.round(F.col("value") * 100).cast("long"))
-    placed = prefix.ordinal(m, ["event_id"], BUCKET, ["frame"], "place")
+    placed = prefix.ordinal(m, ["event_id"], bucket(), ["frame"], "place")
     along = F.sum("v").over(Window.partitionBy("frame").orderBy("event_id")).cast("double")
     path = placed.select(F.col("frame").alias("run"), F.col("place").cast("long").alias("frame"), along.alias("distance"))
     return evaluate.segment_ends(path, [5000.0, 10000.0])
