@@ -441,7 +441,7 @@ def evaluator_chi(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from scanweave.plans import iterative  # noqa: F401  registers its queries here
+    from scanweave.plans import iterative, logs  # noqa: F401  they register their queries here
 
     return dict(QUERIES)
 
