@@ -136,12 +136,22 @@ class Model:
         return 1 / (1 + F.exp(-odds))
 
 
+def _tied(counts: np.ndarray) -> np.ndarray:
+    """Vote rates from (class, rule, vote) weights. Both classes abstain alike, so that an abstention says nothing, and a
+    junk vote is never likelier on good documents: without a junk vote no document looks worse than the prior."""
+    silent = counts[:, :, 1].sum(axis=0) / counts.sum(axis=(0, 2))
+    junk = counts[:, :, 0] / (counts[:, :, 0] + counts[:, :, 2])
+    swapped = junk[0] < junk[1]
+    junk[:, swapped] = junk[:, swapped].mean(axis=0)
+    return np.stack([(1 - silent) * junk, np.stack([silent, silent]), (1 - silent) * (1 - junk)], axis=2)
+
+
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, strength: float = 25.0) -> Model:
     """votes: (patterns, rules) of 0, 1, 2. The starting rates act as `strength` pseudo-documents of each class, which
     keeps every rate away from 0 and 1, names the classes, and decides alone where there is no data."""
     start = np.array([[0.35, 0.15, 0.50], [0.01, 0.09, 0.90]])
     rates = np.repeat(start[:, None, :], votes.shape[1] if votes.size else len(RULES), axis=1)
-    prior, base = 0.85, rates * strength
+    rates, prior, base = _tied(rates), 0.85, rates * strength
     for _ in range(rounds if len(counts) else 0):
         logs = np.log(rates)
         joint = np.stack([logs[c][np.arange(votes.shape[1]), votes].sum(axis=1) for c in (0, 1)])
@@ -151,10 +161,7 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
         new = base.copy()
         for v in range(3):
             new[:, :, v] += weight @ (votes == v)
-        new /= new.sum(axis=2, keepdims=True)
-        # a junk vote may never count for a document, nor a good vote against it
-        swapped = new[0, :, 0] < new[1, :, 0]
-        new[0, swapped], new[1, swapped] = (mid := (new[0, swapped] + new[1, swapped]) / 2), mid
+        new = _tied(new)
         moved = np.abs(new - rates).max()
         prior = float((weight[1].sum() + 0.85 * strength) / (counts.sum() + strength))
         rates = new

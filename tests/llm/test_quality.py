@@ -53,7 +53,7 @@ def test_junk_goes_and_clean_texts_stay(docs):
 @pytest.mark.parametrize("share", [0.0, 0.02, 0.5])
 def test_rules_accuracies_are_recovered(share):
     rng = np.random.default_rng(3)
-    n, truth = 40_000, np.array([[0.6, 0.1, 0.3], [0.02, 0.08, 0.9]])
+    n, truth = 40_000, np.array([[0.6, 0.1, 0.3], [0.02, 0.1, 0.88]])
     good = rng.random(n) >= share
     votes = np.where(good[:, None, None], truth[1], truth[0])
     votes = (rng.random((n, 6, 1)) > np.cumsum(votes, axis=-1)).sum(axis=-1)
@@ -64,6 +64,15 @@ def test_rules_accuracies_are_recovered(share):
         assert np.abs(np.array(model.rates) - truth[:, None, :]).max() < 0.05
 
 
+def test_abstentions_reject_nothing():
+    """Rules that are silent together on some clean documents do not make a class of them."""
+    votes = np.array([[2, 2, 2, 2], [1, 1, 1, 2], [1, 1, 1, 1], [0, 0, 2, 2], [0, 1, 2, 0]])
+    model = q.expectation_maximisation(votes, np.array([6000.0, 2500.0, 800.0, 300.0, 200.0]))
+    rates = np.array(model.rates)
+    odds = np.log(model.prior / (1 - model.prior)) + np.array([sum(np.log(rates[1, r, v] / rates[0, r, v]) for r, v in enumerate(x)) for x in votes])
+    assert (odds[:3] > 0).all() and (odds[3:] < 0).all()
+
+
 def test_no_data_repeats_clashes_and_long_texts(spark, docs):
     assert q.quality(docs([])).count() == 0 and q.kept_only(docs([])).count() == 0
     rng = random.Random(4)
