@@ -11,14 +11,17 @@ is held in memory, however many turns one conversation has.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -51,11 +54,38 @@ def turns(formatted: str) -> Iterator[tuple[str, str]]:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> Tokenizer:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # the name of a special token inside a text is text
-    return found
+def encoder(path: str) -> Callable[[str], tuple[list[int], np.ndarray]]:
+    """text -> (ids, code point spans of the tokens). path is a byte-level tokenizer as JSON, or its ranks (.tiktoken) with
+    the pattern that public_tokenizers gives. The name of a special token inside a text is text."""
+    if not path.endswith(".tiktoken"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
+        found = Tokenizer.from_file(path)
+        found.encode_special_tokens = True
+
+        def by_library(text: str) -> tuple[list[int], np.ndarray]:
+            e = found.encode(text, add_special_tokens=False)
+            return e.ids, np.array(e.offsets, np.int64).reshape(-1, 2)
+
+        return by_library
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, rank in ranks.items():
+        sizes[rank] = len(token)
+
+    def by_ranks(text: str) -> tuple[list[int], np.ndarray]:
+        """Byte-level tokens joined are the text's bytes, so spans follow from their sizes. A token that holds a part of a
+        character spans the whole of it."""
+        ids = encode(text)
+        size = sizes[ids] if ids else np.zeros(0, np.int64)
+        ends = np.cumsum(size)
+        if text.isascii():
+            return ids, np.stack([ends - size, ends], axis=1)
+        at = np.cumsum((np.frombuffer(text.encode("utf-8"), np.uint8) & 0xC0) != 0x80) - 1
+        return ids, np.stack([at[ends - size], at[ends - 1] + 1], axis=1)
+
+    return by_ranks
 
 
 def overlaps(tokens: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,9 +108,9 @@ def format_chats(rows: DataFrame, path: str, loss_role: str = "assistant", segme
 
     def encoded(conv, segment: int, parts: list[str], spans: list[tuple[int, int]]) -> tuple:
         text = "".join(parts)
-        e = _tokenizer(path).encode(text, add_special_tokens=False)
-        low, high = overlaps(np.array(e.offsets, np.int64).reshape(-1, 2), np.array(spans, np.int64).reshape(-1, 2))
-        return conv, segment, text, e.ids, low.tolist(), high.tolist(), (low < high).tolist()
+        ids, offsets = encoder(path)(text)
+        low, high = overlaps(offsets, np.array(spans, np.int64).reshape(-1, 2))
+        return conv, segment, text, ids, low.tolist(), high.tolist(), (low < high).tolist()
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_())]

@@ -39,7 +39,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").selectExpr("conv_id", "cast(turn as long) as turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return read_back(format_chats(rows.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json")))
+    return read_back(format_chats(rows.unionByName(extra), public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

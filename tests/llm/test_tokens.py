@@ -16,7 +16,7 @@ from scanweave.llm import chat
 from scanweave.llm.bpe import Codec, round_trip
 from scanweave.llm.packing import Packer, WordEncoder, pack
 
-RANKS, WORDS, BYTES = (P.path(x) for x in ("byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "byte_bpe_50k.json"))
+RANKS, WORDS, JSON, BYTES = (P.path(x) for x in ("byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
 
 
 def texts(seed, n, ranks=()):
@@ -156,6 +156,15 @@ def test_chats_are_read_back(spark, segment):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_both_encoders_give_the_same_ids_and_spans():
+    a, b = chat.encoder(JSON), chat.encoder(BYTES)
+    for x in texts(8, 3000):
+        if any(c in x for c in "\x1c\x1d\x1e\x1f") or max(map(ord, x), default=0) > 0xFFFF:
+            continue  # the libraries' Unicode tables differ there
+        (ids, spans), (other, others) = a(x), b(x)
+        assert ids == other and (spans == others).all(), repr(x)
+
+
 def test_segments_have_the_ids_of_the_whole(spark):
     df = spark.createDataFrame(conversations(7), CONV)
     joined = []
