@@ -57,12 +57,14 @@ def as_of_interpolate(queries: DataFrame, samples: DataFrame, time: str, value:
     both = q.unionByName(s, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col(time) / bucket))
     point = F.when(~F.col("_is_query"), F.struct(F.col(time).alias("t"), F.col("_v").alias("v")))
     edges = both.groupBy(*keys, "_bucket").agg(F.min_by(point, F.when(point.isNotNull(), F.col(time))).alias("_first"), F.max_by(point, F.when(point.isNotNull(), F.col(time))).alias("_last"))
-    outer = Window.partitionBy(*keys, F.lit(0)).orderBy("_bucket")
-    edges = edges.select(*keys, "_bucket", F.last("_last", ignorenulls=True).over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias("_past"), F.first("_first", ignorenulls=True).over(outer.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
+    # what follows is read in descending order: frames that grow are cheap, frames that shrink are summed up anew
+    outer, after = (Window.partitionBy(*keys, F.lit(0)).orderBy(b) for b in (F.col("_bucket"), F.col("_bucket").desc()))
+    edges = edges.select(*keys, "_bucket", F.last("_last", ignorenulls=True).over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias("_past"), F.last("_first", ignorenulls=True).over(after.rowsBetween(Window.unboundedPreceding, -1)).alias("_next"))
     inner = Window.partitionBy(*keys, "_bucket").orderBy(time)
     both = both.withColumn("_point", point).join(edges, [*keys, "_bucket"])
     low = F.coalesce(F.last("_point", ignorenulls=True).over(inner.rangeBetween(Window.unboundedPreceding, 0)), "_past")
-    high = F.coalesce(F.first("_point", ignorenulls=True).over(inner.rangeBetween(0, Window.unboundedFollowing)), "_next")
+    back = Window.partitionBy(*keys, "_bucket").orderBy(F.col(time).desc()).rangeBetween(Window.unboundedPreceding, 0)
+    high = F.coalesce(F.last("_point", ignorenulls=True).over(back), "_next")
     both = both.withColumn("_low", low).withColumn("_high", high).where("_is_query")
     share = (F.col(time) - F.col("_low.t")) / (F.col("_high.t") - F.col("_low.t"))
     between = F.col("_low.v") + share * (F.col("_high.v") - F.col("_low.v"))

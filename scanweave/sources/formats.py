@@ -135,7 +135,8 @@ def tf_lookup(queries: DataFrame, events: DataFrame, tolerance: float = 1e-8) ->
     both = queries.select("child", "t", F.lit(None).cast("struct<et:double,tx:double,ty:double,tz:double,qx:double,qy:double,qz:double,qw:double>").alias("e"), F.lit(True).alias("_q")).unionByName(events.select("child", "t", pose.alias("e"), F.lit(False).alias("_q")))
     w = Window.partitionBy("child").orderBy("t")
     low = F.last("e", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    high = F.first("e", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # in descending order, because a frame that shrinks is read anew for each row
+    high = F.last("e", ignorenulls=True).over(Window.partitionBy("child").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, 0))
     n = F.count("e").over(Window.partitionBy("child"))
     out = both.withColumns({"before": low, "after": high, "_n": n}).where("_q")
     gap = F.col("after.et") - F.col("before.et")
