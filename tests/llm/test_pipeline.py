@@ -80,6 +80,21 @@ def test_stages(spark, docs, tmp_path):
     assert {i for i, _, _ in whole} == set(near)
 
 
+def test_near_duplicates_from_four_fifths(spark, docs):
+    """Of 100 words each; a changed word costs five of 96 shingles, so two and four changes leave 0.81 and 0.66."""
+    texts = []
+    for pair in range(20):
+        words = [f"p{pair}w{i}" for i in range(100)]
+        for changes in (0, 2, 4):
+            own = words[:]
+            for c in range(changes):
+                own[20 + 12 * c] = f"c{changes}x{c}"
+            texts.append(" ".join(own))
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(texts), "").collect()}
+    assert left == {i for i in range(60) if i % 3 != 1}
+    assert left == {i for i, (_, component) in brute_near(dict(enumerate(texts)), 80).items() if i == component}
+
+
 def test_empty_table(spark, docs, tmp_path):
     docs([]).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
