@@ -18,12 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from scanweave.llm import _text
-from scanweave.llm._scratch import small_batches
+from scanweave.llm._scratch import keep, small_batches
 
 N = 3
+#: Powers of two of the distinct trigrams of a text.
+CLASSES = 20
 
 
 @cache
@@ -47,6 +49,12 @@ def _letter_vectors(letters: np.ndarray, dims: int) -> np.ndarray:
 
 def vectors(texts: _text.Texts, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """The (rows, dims) bundle of each row's letter trigrams, and which rows have a letter. A word is framed by blanks."""
+    out, n_grams = _bundles(texts, dims)
+    return out, n_grams > 0
+
+
+def _bundles(texts: _text.Texts, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bundles of vectors(), and how many distinct trigrams each row has; a row with a letter has one at least."""
     points = np.frombuffer(texts.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     leads = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])
     offsets = leads[texts.offsets]
@@ -59,7 +67,6 @@ def vectors(texts: _text.Texts, dims: int) -> tuple[np.ndarray, np.ndarray]:
     keep[0] = True
     keep[(offsets + np.arange(texts.n + 1))] = True
     letters, rows = letters[keep], rows[keep]
-    has = np.bincount(rows[letters != 0], minlength=texts.n + 1)[: texts.n] > 0
     alphabet, symbols = np.unique(letters, return_inverse=True)  # the blank is symbol 0
     a, b, c = symbols[:-2], symbols[1:-1], symbols[2:]
     inside = (b != 0) & (rows[:-2] == rows[1:-1])
@@ -83,7 +90,7 @@ def vectors(texts: _text.Texts, dims: int) -> tuple[np.ndarray, np.ndarray]:
                 mine = (at >= start) & (at < start + step)
                 at, own = at[mine], own[mine]
             out[i] += own.astype(np.float32) @ bound[at - start]
-    return out, has
+    return out, np.diff(edges)
 
 
 @dataclass(frozen=True)
@@ -126,12 +133,20 @@ def fit(labelled: DataFrame, dims: int = 1024, per_language: int = 3000) -> Prof
     About per_language documents of each language are used, chosen by a hash of doc_id; that bounds the work of fitting,
     while languages are counted over all rows. languages x dims numbers reach the driver.
     """
+    return _learned(_sample(labelled, per_language), dims)
+
+
+def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
+    """About per_language rows (doc_id, text, lang) of each language."""
     able = small_batches(labelled).where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in able.groupBy("lang").count().collect()}
     if not counts:
-        return Profiles((), np.zeros((0, dims), np.float32))
+        return able
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
-    sample = able.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000) * share[F.col("lang")])
+    return able.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000) * share[F.col("lang")])
+
+
+def _learned(sample: DataFrame, dims: int) -> Profiles:
     rows = sample.select("text", "lang").mapInArrow(_bundle(dims), "lang string, dim int, value double").groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect()
     found = {lang: np.zeros(dims) for lang in {r["lang"] for r in rows}}
     for r in rows:
@@ -141,10 +156,10 @@ def fit(labelled: DataFrame, dims: int = 1024, per_language: int = 3000) -> Prof
 
 
 def predicted(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """docs with the struct language_found (lang, score), which replaces a column of that name.
+    """docs with the struct language_found (lang, score, n_grams), which replaces a column of that name.
 
     lang is `und` and score 0 for a null text or one without a letter; among equal cosines the smallest language wins.
-    score is the cosine, 0 if negative.
+    score is the cosine, 0 if negative; n_grams counts the distinct letter trigrams.
     """
     docs = small_batches(docs).drop("language_found")
     sc = docs.sparkSession.sparkContext
@@ -155,17 +170,18 @@ def predicted(docs: DataFrame, profiles: Profiles) -> DataFrame:
         names = np.array([*languages, "und"], object)
         for batch in batches:
             for part in _text.chunks(_text.column(batch, "text")):
-                found, has = vectors(part, prototypes.shape[1])
+                found, n_grams = _bundles(part, prototypes.shape[1])
+                has = n_grams > 0
                 if len(languages):
                     cosines = _units(found) @ prototypes.T
                     best, score = cosines.argmax(axis=1), np.clip(cosines.max(axis=1).astype(np.float64), 0, 1)
                 else:
                     best, score = np.zeros(part.n, int), np.zeros(part.n)
                 best = np.where(has, best, len(languages))
-                made = pa.StructArray.from_arrays([pa.array(names[best].tolist(), pa.string()), pa.array(np.where(has, score, 0.0))], names=["lang", "score"])
+                made = pa.StructArray.from_arrays([pa.array(names[best].tolist(), pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(n_grams.astype(np.int64))], names=["lang", "score", "n_grams"])
                 yield pa.RecordBatch.from_arrays([*batch.slice(part.first, part.n).columns, made], names=[*batch.schema.names, "language_found"])
 
-    found = StructType([StructField("lang", StringType()), StructField("score", DoubleType())])
+    found = StructType([StructField("lang", StringType()), StructField("score", DoubleType()), StructField("n_grams", LongType())])
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("language_found", found)]))
 
 
@@ -185,7 +201,37 @@ def identify(docs: DataFrame, dims: int = 1024, per_language: int = 3000) -> Dat
     return out.select("doc_id", held_out().alias("held_out"), F.col("language_found.lang").alias("lang_pred"), F.col("language_found.score").alias("score"))
 
 
-def identified_only(docs: DataFrame, min_score: float = 0.02, dims: int = 1024, per_language: int = 3000) -> DataFrame:
-    """The rows of docs whose text is in a learned language with a cosine of min_score or more, with their columns."""
-    found = predicted(docs, fit(docs.where(~held_out()), dims, per_language))
-    return found.where((F.col("language_found.lang") != "und") & (F.col("language_found.score") >= min_score)).drop("language_found")
+def _length_class(n_grams: Column) -> Column:
+    return F.least(F.floor(F.log2(n_grams)), F.lit(CLASSES - 1)).cast("int")
+
+
+def _bars(sample: DataFrame, profiles: Profiles, share: float, min_score: float) -> dict[str, list[float]]:
+    """Per language and length class, `share` of the median score of the labelled texts there, min_score at least. A class
+    without labelled texts has the bar of the next lower one that has some, as scores rise with length, or min_score."""
+    scored = predicted(sample, profiles).where("language_found.n_grams > 0").select("lang", "language_found.score", _length_class(F.col("language_found.n_grams")).alias("class"))
+    medians = {(r["lang"], r["class"]): r["median"] for r in scored.groupBy("lang", "class").agg(F.median("score").alias("median")).collect()}
+    out = {}
+    for lang in profiles.languages:
+        bar, out[lang] = min_score, []
+        for c in range(CLASSES):
+            bar = max(min_score, share * medians[lang, c]) if (lang, c) in medians else bar
+            out[lang].append(bar)
+    return out
+
+
+def identified_only(docs: DataFrame, min_score: float = 0.02, dims: int = 1024, per_language: int = 3000, share: float = 1 / 3) -> DataFrame:
+    """The rows of docs whose text is in a learned language, with their columns.
+
+    A text that shares no trigram with a language still has a cosine of about 1 / sqrt(dims) with it, by chance, and the
+    best of several languages has more. Real scores grow with the number of distinct trigrams. So a text must reach
+    `share` of the median score that its language's labelled texts (not held out) of like length have, by powers of two
+    of that number, and min_score. Texts of under about 16 trigrams are judged mildly, for their real scores come near
+    the noise; where a language has no labelled text as short as a text, min_score alone counts.
+    """
+    sample = keep(_sample(docs.where(~held_out()), per_language), "language-sample")
+    profiles = _learned(sample, dims)
+    found, bar = predicted(docs, profiles), F.lit(min_score)
+    if profiles.languages:
+        bars = F.create_map(*[x for lang, row in _bars(sample, profiles, share, min_score).items() for x in (F.lit(lang), F.array(*map(F.lit, row)))])
+        bar = bars[F.col("language_found.lang")][_length_class(F.col("language_found.n_grams"))]
+    return found.where((F.col("language_found.lang") != "und") & (F.col("language_found.score") >= bar)).drop("language_found")

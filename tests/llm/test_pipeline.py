@@ -80,6 +80,23 @@ def test_stages(spark, docs, tmp_path):
     assert {i for i, _, _ in whole} == set(near)
 
 
+def test_language_drops_what_was_not_learned(spark, docs):
+    """Without a label, so that they are not learned from: words in other scripts, of chance letters, and in Finnish and Polish."""
+    rng = random.Random(4)
+    texts, langs = corpus()
+    texts, langs = texts[:-6], langs[:-6]
+    n = len(texts)
+    scripts = ["абвгдежзиклмнопрстуфхя", "αβγδεζηθικλμνξοπρστυφχψω", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "的一是不了人我在有他这中大来上国个到说们", "bcfjkqxzyvjpw"]
+    finnish = "tämä yksinkertainen teksti ei kuulu opittuihin kieliin ja lapset juoksevat metsässä syövät marjoja kesällä joka päivä"
+    polish = "dzieci biegają po lesie i jedzą jagody ten prosty tekst nie należy do wyuczonych języków każdego dnia latem"
+    for i in range(100):
+        words = ["".join(rng.choices(s, k=rng.randint(2, 9))) for s in [scripts[i % 5]] for _ in range(60)]
+        texts.append(" ".join(words))
+    texts += [finnish, polish]
+    left = {r.doc_id for r in corpus_pipeline.language(spark, docs(texts, langs + [None] * 102), "").collect()}
+    assert left == set(range(n))
+
+
 def test_near_duplicates_from_four_fifths(spark, docs):
     """Of 100 words each; a changed word costs five of 96 shingles, so two and four changes leave 0.81 and 0.66."""
     texts = []
