@@ -112,6 +112,16 @@ def test_near_duplicates_from_four_fifths(spark, docs):
     assert left == {i for i, (_, component) in brute_near(dict(enumerate(texts)), 80).items() if i == component}
 
 
+def test_repeated_rows_stay_once(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = [(3, a), (3, a), (3, a), (7, a), (7, a), (8, b), (5, None), (5, None), (None, a), (None, a)]
+    rows = spark.createDataFrame([(i, t, "en", "s", 13) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()), key=str)
+    assert left == sorted([(3, a), (8, b), (5, None), (None, a), (None, a)], key=str)
+    differ = spark.createDataFrame([(9, b), (9, c), (9, c)], "doc_id long, text string")
+    assert sorted(r.text for r in corpus_pipeline.near_duplicates(spark, differ, "").collect()) == [b, c]
+
+
 def test_empty_table(spark, docs, tmp_path):
     docs([]).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
