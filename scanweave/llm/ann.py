@@ -120,10 +120,12 @@ def _train(units: np.ndarray, labels: np.ndarray, parts: int, rounds: int, rng:
 
 def fit(vectors: DataFrame, sample_rows: int = 12_000, parts: int = 32, recall: float = 0.96, k: int = 5, seed: int = 7) -> Router:
     """The router of vectors (vec_id, embedding) from about sample_rows rows chosen by a hash of vec_id, which reach the driver."""
-    total = vectors.count()
+    sizes = vectors.groupBy(F.size("embedding").alias("n")).count()
+    most = F.max(F.when(F.col("n") > 0, F.struct("count", "n")))["n"]  # the most frequent length, the larger one among equals
+    total, dims = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), most).first()
     share = min(1.0, sample_rows / max(1, total))
     rows = vectors.select("vec_id", "embedding").where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).toArrow().sort_by("vec_id")
-    values, _ = _matrix(rows["embedding"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float64())))
+    values, _ = _matrix(rows["embedding"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float64())), dims)
     dims = values.shape[1]
     parts = max(1, min(parts, len(values) // 50))
     if parts == 1:
@@ -154,7 +156,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, router: Router |
     """query_id, rank, vec_id, score: each query's k nearest found among all vectors but its own vec_id, by cosine.
 
     vectors and queries have (vec_id, embedding). Null, zero or non-finite vectors, null ids and vectors of another length
-    than the sample's take no part. Ties go to the smaller vec_id; repeated rows of an id count once. exact visits every
+    than the most frequent one (or the router's) take no part. Ties go to the smaller vec_id; repeated rows of an id count once. exact visits every
     partition. Other columns are not read. Empty tables: no rows.
     """
     router = router or fit(vectors)

@@ -116,6 +116,13 @@ def test_recall_and_balance(spark):
     assert np.bincount(labels, minlength=16).max() <= np.ceil(6000 / 16 * 1.1)
 
 
+def test_first_vector_of_another_length(spark):
+    rows = [(-1, [1.0] * 3), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = [(r.query_id, r.rank, r.vec_id) for r in ann.search(df, df.where("vec_id % 50 = 0")).collect()]
+    assert sorted(got) == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
+
+
 def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 1.0])], VECTORS)
     got = [(r.query_id, r.rank, r.vec_id) for r in ann.search(few, few.where("vec_id % 50 = 0")).collect()]
