@@ -1,12 +1,16 @@
 """Sum-of-squares online packing of tokenised documents into fixed windows (operator 7).
 
 A document's full windows stand alone; what is left of it goes, uncut, to the fill level that minimises the sum over
-levels of the squared number of partially filled windows, which an array counts by level. When a task ends, or too many
-windows are open, the open windows are laid end to end and cut anew into full windows and a rest whose windows are powers
-of two, which need no padding; only there a document's remainder may be cut.
-The second case starts the levels from zero; remainders uniform over the window meet it 11 times in 60,000 documents.
+levels of the squared number of partially filled windows, which an array counts by level.
 
-Each task packs its own rows: no shuffle, and nothing that grows with the input but what leaves the task.
+Two rounds place by that rule. In the first, each task packs its own rows and keeps the windows that are full; the pieces
+in the windows still open at its end (or in the emptiest ones, when open windows hold more than HELD_TOKENS) are not cut but
+go on. In the second, the pieces of many tasks together, about ROUND_TOKENS in each task, are placed by the same rule. Only
+what is then open has to be settled: the fullest windows stay as they are and are filled up with cut pieces of the emptiest
+ones, and the last rest is cut into powers of two, which need no padding. The column placed says which pieces the rule put
+where they are.
+
+One task's memory is bounded by the two constants. The shuffle carries the ids of pieces that the first round left open.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +34,15 @@ from tiktoken import _tiktoken as tiktoken
 from tokenizers import Tokenizer
 
 from scanweave.llm import _text
-from scanweave.llm._scratch import small_batches
+from scanweave.llm._scratch import keep, small_batches
 
+#: Tokens that a first-round task holds in open windows, and tokens that a second-round task gets (4 bytes each).
+HELD_TOKENS = ROUND_TOKENS = 16_000_000
+#: Second-round sequences are numbered from here, above all of the first round.
+SECOND = 1 << 62
 #: Runs that a worker remembers; then the older half is forgotten.
 REMEMBERED = 250_000
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, placed boolean"
 
 
 #: How byte-level vocabularies spell bytes: those that print as themselves, the others from U+0100 on.
@@ -134,19 +143,22 @@ def encoder(path: str) -> WordEncoder:
 
 
 class Packer:
-    """One task's windows. A piece is (doc, start, packed ids, document's tokens); done takes (sequence, offset, piece)."""
+    """One task's windows. A piece is (doc, start, packed ids, document's tokens); done takes (sequence, offset, piece,
+    whether the rule put it there), left takes pieces that another round shall place."""
 
-    def __init__(self, window: int, max_open: int, first_sequence: int):
-        self.window, self.max_open, self.next = window, max_open, first_sequence
+    def __init__(self, window: int, first_sequence: int, held_tokens: int = HELD_TOKENS):
+        self.window, self.next, self.held_tokens = window, first_sequence, held_tokens
         self.levels = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window)]
-        self.n_open = 0
+        self.held = 0
         self.done: list[tuple] = []
+        self.left: list[tuple] = []
 
-    def close(self, pieces: list) -> None:
+    def close(self, pieces: list, moved: int = 0) -> None:
+        """Makes a sequence of pieces; the last `moved` of them are not where the rule put them."""
         offset = 0
-        for p in pieces:
-            self.done.append((self.next, offset, p))
+        for i, p in enumerate(pieces):
+            self.done.append((self.next, offset, p, i < len(pieces) - moved))
             offset += len(p[2]) // 4
         self.next += 1
 
@@ -157,8 +169,8 @@ class Packer:
             self.close([(doc, at // 4, packed[at : at + step], total)])
         if whole < len(packed):
             self.place((doc, whole // 4, packed[whole:], total))
-            if self.n_open > self.max_open:
-                self.flush()
+            if self.held > self.held_tokens:
+                self.leave(self.held_tokens // 2)
 
     def place(self, piece: tuple) -> None:
         size, n = len(piece[2]) // 4, self.levels
@@ -172,63 +184,123 @@ class Packer:
         pieces = self.open[best].pop() if best else []
         if best:
             n[best] -= 1
-            self.n_open -= 1
         pieces.append(piece)
+        self.held += size
         if best + size == self.window:
             self.close(pieces)
+            self.held -= self.window
         else:
             n[best + size] += 1
-            self.n_open += 1
             self.open[best + size].append(pieces)
 
-    def flush(self) -> None:
-        """Cuts the open windows into full ones and powers of two. Fuller windows come first and stay whole longer."""
-        pieces = [p for level in reversed(self.open) for w in level for p in w]
-        self.open = [[] for _ in range(self.window)]
+    def leave(self, most: int = 0) -> None:
+        """Gives the pieces of the emptiest open windows to another round, until open windows hold no more than `most` tokens."""
+        for level in range(1, self.window):
+            while self.open[level] and self.held > most:
+                self.left += self.open[level].pop()
+                self.levels[level] -= 1
+                self.held -= level
+
+    def settle(self) -> None:
+        """Fills the fullest open windows with cut pieces of the emptiest; cuts the last rest into powers of two."""
+        windows = [(level, w) for level in range(1, self.window) for w in self.open[level]]  # emptiest first
+        self.open, self.held = [[] for _ in range(self.window)], 0
         self.levels[:] = 0
-        self.n_open = 0
-        rest = sum(len(p[2]) // 4 for p in pieces)
-        pieces.reverse()
-        while rest:
-            size = self.window if rest >= self.window else 1 << (rest.bit_length() - 1)
-            rest -= size
+        loose: list[tuple] = []  # in reverse
+
+        def cut(size: int) -> tuple[list, int]:
+            """Up to size tokens of loose pieces and of the windows that come next."""
+            nonlocal first
             own = []
             while size:
-                doc, start, packed, total = pieces.pop()
+                if not loose:
+                    if first == len(windows):
+                        break
+                    loose.extend(reversed(windows[first][1]))
+                    first += 1
+                doc, start, packed, total = loose.pop()
                 n = min(size, len(packed) // 4)
                 own.append((doc, start, packed[: 4 * n], total))
                 if 4 * n < len(packed):
-                    pieces.append((doc, start + n, packed[4 * n :], total))
+                    loose.append((doc, start + n, packed[4 * n :], total))
                 size -= n
-            self.close(own)
+            return own, size
+
+        first = 0
+        while first < len(windows):
+            level, own = windows.pop()
+            more, missing = cut(self.window - level)
+            if missing:  # nothing else is open
+                loose.extend(reversed(own + more))
+                break
+            self.close(own + more, len(more))
+        rest = sum(len(p[2]) // 4 for p in loose)
+        while rest:
+            size = 1 << min(rest.bit_length() - 1, self.window.bit_length() - 1)
+            size = self.window if rest >= self.window else size
+            own, _ = cut(size)
+            self.close(own, len(own))
+            rest -= size
 
 
-def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, max_open: int = 2000) -> DataFrame:
+def _rows(done: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(done), 20_000):
+        own = done[i : i + 20_000]
+        columns = [[x[2][0] for x in own], [x[2][1] for x in own], [len(x[2][2]) // 4 for x in own], [zlib.crc32(x[2][2]) for x in own], [x[2][3] for x in own], [x[0] for x in own], [x[1] for x in own]]
+        arrays = [pa.array(c, pa.int64()) for c in columns] + [pa.array([x[3] for x in own], pa.bool_())]
+        yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCHEMA.split(", ")])
+
+
+def _with_ids(batch: pa.RecordBatch, ids: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
+
+
+def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, held_tokens: int = HELD_TOKENS, round_tokens: int = ROUND_TOKENS) -> DataFrame:
     """The pieces that docs (doc_id, text) are packed into; see SCHEMA.
 
     A document is its ids and end_id, so that null or empty text gives one piece of end_id. Repeated rows are packed each.
-    A null doc_id stays null. Sequence ids are unique and rise within a task; equal levels are broken towards fuller
-    windows, so a task that is run again gives the same pieces. Empty table: no rows. Other columns are not read.
+    A long text is one string and its ids in a worker; its full windows leave at once. A null doc_id stays null. Sequence
+    ids are unique; equal levels are broken towards fuller windows, so a task that is run again gives the same pieces. Empty
+    table: no rows. Other columns are not read, whatever their names.
     """
     end = np.array([end_id], "<u4").tobytes()
 
-    def rows(done: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(done), 20_000):
-            own = done[i : i + 20_000]
-            columns = [[p[0] for _, _, p in own], [p[1] for _, _, p in own], [len(p[2]) // 4 for _, _, p in own], [zlib.crc32(p[2]) for _, _, p in own], [p[3] for _, _, p in own], [s for s, _, _ in own], [o for _, o, _ in own]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, packer = encoder(path), Packer(window, max_open, TaskContext.get().partitionId() << 32)
+    def finished(packer: Packer) -> Iterator[pa.RecordBatch]:
+        for batch in _rows(packer.done):
+            yield _with_ids(batch, pa.nulls(batch.num_rows, pa.binary()))
+        packer.done = []
+        for i in range(0, len(packer.left), 2000):
+            own = packer.left[i : i + 2000]
+            numbers = range(packer.next, packer.next + len(own))
+            packer.next += len(own)
+            yield from (_with_ids(b, pa.array([p[2] for p in own], pa.binary())) for b in _rows([(s, 0, p, False) for s, p in zip(numbers, own, strict=True)]))
+        packer.left = []
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, packer = encoder(path), Packer(window, TaskContext.get().partitionId() << 32, held_tokens)
         for batch in batches:
             ids, text = batch.column(0).to_pylist(), _text.column(batch, "text")
             for part in _text.chunks(text):
                 texts = text.slice(part.first, part.n).to_pylist()
                 for doc, packed in zip(ids[part.first :], own.packed(texts)):  # noqa: B905
                     packer.add(doc, packed + end)
-                yield from rows(packer.done)
-                packer.done = []
-        packer.flush()
-        yield from rows(packer.done)
+                yield from finished(packer)
+        packer.leave()
+        yield from finished(packer)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(window, SECOND + (TaskContext.get().partitionId() << 32))
+        for batch in batches:
+            for piece in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                packer.place(piece)
+            yield from _rows(packer.done)
+            packer.done = []
+        packer.settle()
+        yield from _rows(packer.done)
+
+    packed = keep(small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(first, SCHEMA + ", ids binary"), "packed")
+    left = packed.where("ids is not null")
+    tasks = max(1, ceil((left.agg(F.sum("length")).first()[0] or 0) / round_tokens))
+    # each piece has a sequence of its own here, so that neither a document nor a source is a hot key
+    left = left.select("doc_id", "start", "ids", "doc_tokens", F.xxhash64("sequence_id").alias("at"), "sequence_id").repartition(tasks, "at").sortWithinPartitions("at", "sequence_id")
+    return packed.where("ids is null").drop("ids").unionByName(left.select("doc_id", "start", "ids", "doc_tokens").mapInArrow(second, SCHEMA))

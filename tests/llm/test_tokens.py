@@ -103,7 +103,7 @@ def test_packing_covers_every_id_without_padding(docs, spark):
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(own)}
     df = docs(own).selectExpr("*", "1 as start", "2 as length").repartition(3)
     assert checked(pack(df, WORDS).collect(), ids) == 0
-    assert checked(pack(df, WORDS, max_open=3).collect(), ids) == 0
+    assert checked(pack(df, WORDS, held_tokens=300, round_tokens=3000).collect(), ids) == 0
     assert pack(docs([]), WORDS).count() == 0
     twice = pack(spark.createDataFrame([(None, "a"), (1, "b"), (1, "b")], "doc_id long, text string"), WORDS).collect()
     assert sorted((r.doc_id is None, r.doc_tokens) for r in twice) == [(False, 2), (False, 2), (True, 2)]
@@ -111,7 +111,7 @@ def test_packing_covers_every_id_without_padding(docs, spark):
 
 def test_placement_minimises_the_sum_of_squares():
     rng = random.Random(5)
-    p = Packer(16, 1000, 0)
+    p = Packer(16, 0)
     for doc in range(300):
         size = rng.randint(1, 15)
         before = p.levels.copy()
@@ -127,7 +127,33 @@ def test_placement_minimises_the_sum_of_squares():
         best = min(squares(h) for h in [0, *[h for h in range(1, 17 - size) if before[h]]])
         p.add(doc, b"\0\0\0\0" * size)
         assert int((p.levels[:16] ** 2).sum()) == best
-        assert p.n_open == p.levels.sum() == sum(map(len, p.open))
+        assert p.levels.sum() == sum(map(len, p.open)) and p.held == sum(i * int(n) for i, n in enumerate(p.levels[:16]))
+
+
+def test_settling_moves_only_the_emptiest_windows():
+    rng, p, sizes = random.Random(11), Packer(64, 0), []
+    for doc in range(400):
+        sizes.append(rng.randint(1, 63))
+        p.place((doc, 0, b"\0\0\0\0" * sizes[-1], sizes[-1]))
+    fullest = [w for level in reversed(p.open) for w in level][: sum(map(len, p.open)) // 2]
+    p.settle()
+    own = defaultdict(list)
+    for sequence, offset, piece, placed in p.done:
+        own[sequence].append((offset, piece[0], len(piece[2]) // 4, placed))
+    ends = [max(o + n for o, _, n, _ in w) for w in own.values()]
+    assert sum(e != 64 for e in ends) <= 6 and all(e & (e - 1) == 0 for e in ends)
+    assert sum(n for w in own.values() for _, _, n, _ in w) == sum(sizes)
+    whole = {doc for w in own.values() for _, doc, n, placed in w if placed and n == sizes[doc]}
+    assert {x[0] for w in fullest for x in w} <= whole
+    assert all(n == sizes[doc] for w in own.values() for _, doc, n, placed in w if placed)
+
+
+def test_nearly_all_remainders_lie_where_the_rule_put_them(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["word"] * int(n))) for i, n in enumerate(np.minimum(rng.lognormal(6, 1, 6000), 9000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(32)
+    ends = pack(df, WORDS).where("start + length = doc_tokens").selectExpr("avg(cast(placed as int)) as share", "count(*) as n").first()
+    assert ends.n == 6000 and ends.share >= 0.95
 
 
 CONV = "conv_id long, turn long, role string, text string"
