@@ -195,3 +195,41 @@ def test_bundles_equal_their_definition():
         v = [language._letter_vectors(np.array([x]), dims)[0].astype(float) for x in gram]
         want += np.sqrt(n) * np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
     assert has.tolist() == [True, True] and np.allclose(got[0], want, atol=1e-4)
+
+
+def _archive(spark, df, folder, **more):
+    names = warc.write(df, folder, **more)
+    return [(n, hashlib.sha256(open(f"{folder}/{n}", "rb").read()).hexdigest()) for n in names]
+
+
+def test_archives_do_not_depend_on_sessions_or_partitions(spark, tmp_path):
+    rows = ["cast(pow(id, 1.7) as long) - 900 as page_id", "concat('http://h/', id) as url", "repeat(cast(id % 977 as string), cast(pmod(xxhash64(id), 90) as int)) as html"]
+    seen = []
+    for k, (parts, shuffle) in enumerate([(3, 8), (17, 211)]):
+        other = spark.newSession()
+        other.conf.set("spark.sql.shuffle.partitions", shuffle)
+        df = other.range(20_000).selectExpr(*rows).repartition(parts)
+        seen.append(_archive(other, df, f"{tmp_path}/s{k}", shard_bytes=1 << 20, roll_bytes=100_000))
+    assert seen[0] == seen[1] and len(seen[0]) > 10
+    with pytest.raises(FileExistsError):
+        warc.write(df, f"{tmp_path}/s0")
+
+
+def test_a_hot_id_is_cut_into_shards(spark, tmp_path):
+    rows = [(None if i % 3 else 5, f"u{i}", f"body {i % 40} " * 20) for i in range(900)] + [(-(1 << 63), "least", "x"), ((1 << 63) - 1, "largest", "x")]
+    df = spark.createDataFrame(rows, PAGES)
+    names = _archive(spark, df, f"{tmp_path}/hot", shard_bytes=50_000)
+    assert names == _archive(spark, df.repartition(7), f"{tmp_path}/hot2", shard_bytes=50_000) and len(names) > 8
+    got = Counter((r.page_id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.read(spark, f"{tmp_path}/hot").collect())
+    assert got == expected(rows)
+
+
+def test_shard_bounds_hold_about_their_bytes(spark):
+    rng = np.random.default_rng(4)
+    ids = np.unique(np.concatenate([rng.integers(-(1 << 62), 1 << 62, 3000), np.arange(5000), 1_000_000 + 7 * np.arange(2000)]))
+    sizes = rng.integers(1, 2000, len(ids))
+    sizes[ids == 77] = 300_000
+    bounds, parts = warc.shard_bounds(spark.createDataFrame(zip(ids.tolist(), sizes.tolist(), strict=True), "page_id long, bytes long"), 50_000)
+    sums = np.bincount(np.searchsorted(bounds, ids, "right") - 1, sizes, len(bounds))
+    assert bounds == sorted(bounds) and set(parts) == {77} and parts[77] == 6
+    assert sorted(sums)[-2] <= 50_000 and len(bounds) < 3 * sizes.sum() / 50_000 + 5
