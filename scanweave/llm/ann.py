@@ -6,6 +6,10 @@ query is routed to several of the most probable ones, and their rows are ranked
 
 How many partitions a query visits is set from the sample: the least number with which held-out queries find `recall` of
 their true neighbours. Where vectors have no structure, that is a large part of the partitions.
+
+Partitions grow with the square root of the rows, up to MOST_PARTS; the sample has 50 rows for each. A task ranks at most
+about BLOCK_ROWS rows of a partition against about QUERY_ROWS of the queries routed to it, so that neither a full partition
+nor a crowd of like queries is a hot key. With fewer than 100 fit vectors there is one partition, and the search is exact.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 
 from scanweave.llm._scratch import keep
 
-#: Rows in one block of a partition. A task ranks one block against the queries routed to its partition, in runs.
-BLOCK_ROWS, QUERY_RUN = 4096, 1024
+#: Rows and queries of a partition that meet in one task, and the queries of one matrix product there.
+BLOCK_ROWS, QUERY_ROWS, QUERY_RUN = 4096, 4096, 512
+#: Partitions at most, which also bounds the sample (50 rows each) and what the driver holds of scores (about 100 MB).
+MOST_PARTS = 512
 
 
 def _matrix(x: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +124,21 @@ def _train(units: np.ndarray, labels: np.ndarray, parts: int, rounds: int, rng:
     return w
 
 
-def fit(vectors: DataFrame, sample_rows: int = 12_000, parts: int = 32, recall: float = 0.96, k: int = 5, seed: int = 7) -> Router:
-    """The router of vectors (vec_id, embedding) from about sample_rows rows chosen by a hash of vec_id, which reach the driver."""
+def partitions(rows: int) -> int:
+    """How many partitions an index of so many rows is given."""
+    return min(MOST_PARTS, max(8, ceil(rows**0.5 / 3)))
+
+
+def fit(vectors: DataFrame, sample_rows: int = 12_000, parts: int | None = None, recall: float = 0.96, k: int = 5, seed: int = 7) -> Router:
+    """The router of vectors (vec_id, embedding) from about sample_rows rows, or 50 for each partition where that is more,
+    chosen by a hash of vec_id. The sample, at most 50 * MOST_PARTS rows by default, reaches the driver."""
     sizes = vectors.groupBy(F.size("embedding").alias("n")).count()
     most = F.max(F.when(F.col("n") > 0, F.struct("count", "n")))["n"]  # the most frequent length, the larger one among equals
     total, dims = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), most).first()
-    share = min(1.0, sample_rows / max(1, total))
-    rows = vectors.select("vec_id", "embedding").where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).toArrow().sort_by("vec_id")
+    parts = parts or partitions(total)
+    share = min(1.0, max(sample_rows, 50 * parts) / max(1, total))
+    chosen = F.xxhash64("vec_id", F.lit(seed)) <= F.lit(min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63)))  # of all 64 bits
+    rows = vectors.select("vec_id", "embedding").where(chosen).toArrow().sort_by("vec_id")
     values, _ = _matrix(rows["embedding"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float64())), dims)
     dims = values.shape[1]
     parts = max(1, min(parts, len(values) // 50))
@@ -156,8 +170,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, router: Router |
     """query_id, rank, vec_id, score: each query's k nearest found among all vectors but its own vec_id, by cosine.
 
     vectors and queries have (vec_id, embedding). Null, zero or non-finite vectors, null ids and vectors of another length
-    than the most frequent one (or the router's) take no part. Ties go to the smaller vec_id; repeated rows of an id count once. exact visits every
-    partition. Other columns are not read. Empty tables: no rows.
+    than the most frequent one (or the router's) take no part. Ties go to the smaller vec_id; repeated rows of an id count
+    once. exact visits every partition. Other columns are not read, whatever their names. Empty tables: no rows.
     """
     router = router or fit(vectors)
     n_parts = router.weights.shape[1]
@@ -205,12 +219,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, router: Router |
 
     indexed = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(home, "vec_id long, embedding array<double>, part int")
     indexed = keep(indexed.dropDuplicates(["vec_id"]), "ann-index")
-    blocks = indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # one row a partition
-    rows = indexed.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
     asked = queries.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding").dropDuplicates(["vec_id"]).mapInArrow(route, "vec_id long, embedding array<double>, parts array<int>")
-    asked = asked.select("vec_id", "embedding", F.explode("parts").alias("part")).join(F.broadcast(blocks), "part")
-    asked = asked.select("vec_id", "embedding", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    near = asked.groupBy("part", "block").cogroup(rows.groupBy("part", "block")).applyInArrow(rank, "query_id long, vec_id long, score double")
+    asked = keep(asked, "ann-asked")
+    cut = lambda df, n, name: df.groupBy("part").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    blocks = cut(indexed, BLOCK_ROWS, "blocks").join(cut(asked.select(F.explode("parts").alias("part")), QUERY_ROWS, "runs"), "part")
+    blocks = F.broadcast(keep(blocks, "ann-blocks"))  # one row a partition
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = indexed.join(blocks, "part").select("vec_id", "embedding", "part", block("blocks").alias("block"), every("runs").alias("run"))
+    asked = asked.select("vec_id", "embedding", F.explode("parts").alias("part")).join(blocks, "part")
+    asked = asked.select("vec_id", "embedding", "part", every("blocks").alias("block"), block("runs").alias("run"))
+    key = ["part", "block", "run"]
+    near = asked.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(rank, "query_id long, vec_id long, score double")
     # a limit on row_number also limits each task's rows before the shuffle
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
