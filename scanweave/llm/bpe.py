@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -26,6 +28,8 @@ from scanweave.llm._scratch import small_batches
 
 #: Pieces whose ids a worker remembers; then the older half is forgotten.
 REMEMBERED = 400_000
+#: Characters from which a text is encoded run by run, pieces in a run, and ids that are decoded at once.
+RUN = 1 << 16
 
 
 class Codec:
@@ -93,7 +97,7 @@ class Codec:
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
         n = len(data)
-        longest, sizes = [-1] * n, [0] * n
+        longest, sizes = ([-1] * n, [0] * n) if n < RUN else (array("i", [-1]) * n, array("i", [0]) * n)
         for end, (size, i) in self.automaton.iter(data.decode("latin-1")):
             start = end - size + 1
             if size > sizes[start]:
@@ -134,11 +138,10 @@ class Codec:
             self.recent[piece] = found
         return found
 
-    def encode_packed(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
+    def _joined(self, pieces: Iterable[str]) -> bytes:
         get, make = self.recent.get, self._packed
         out = []
-        for piece in self.pattern.findall(text):
+        for piece in pieces:
             found = get(piece)
             if found is None:
                 found = make(piece)
@@ -146,12 +149,25 @@ class Codec:
             out.append(found)
         return b"".join(out)
 
+    def encode_runs(self, text: str) -> Iterator[bytes]:
+        """The ids of a text as little-endian unsigned 32-bit integers, run by run where it is long."""
+        if len(text) < RUN:
+            yield self._joined(self.pattern.findall(text))
+            return
+        pieces = (m.group() for m in self.pattern.finditer(text))
+        while (piece := next(pieces, None)) is not None:
+            yield self._joined((piece, *islice(pieces, RUN // 4)))
+
+    def encode_packed(self, text: str) -> bytes:
+        return b"".join(self.encode_runs(text))
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
     def decode(self, packed: bytes) -> bytes:
         """The bytes of ids given as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        ids = np.frombuffer(packed, "<u4")
+        return b"".join(b"".join(map(self.bytes_of.__getitem__, ids[i : i + RUN].tolist())) for i in range(0, len(ids), RUN))
 
 
 @lru_cache(maxsize=2)
@@ -163,8 +179,10 @@ def codec(path: str, pattern: str) -> Codec:
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 per row of docs (doc_id, text).
 
-    Null text is taken as empty: no ids. Repeated rows get equal results; other columns are not read. path must be
-    readable on every worker. Memory is that of a batch of texts and their ids, whatever a text's length.
+    Null text is taken as empty: no ids. Repeated rows get equal results; other columns are not read, whatever their names.
+    Empty table: no rows. path must be readable on every worker. Memory is that of a batch of texts and of a run of ids: a
+    long text is encoded, hashed and decoded run by run. Only a single match of the pattern is held whole (about 20 bytes
+    for each of its bytes).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +191,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = _text.column(batch, "text")
             counts, ids, decoded = [], [], []
             for x in texts:
-                packed = own.encode_packed(x.as_py())
-                counts.append(len(packed) // 4)
-                ids.append(hashlib.sha256(packed).hexdigest())
-                decoded.append(hashlib.sha256(own.decode(packed)).hexdigest())
+                n, coded, plain = 0, hashlib.sha256(), hashlib.sha256()
+                for packed in own.encode_runs(x.as_py()):
+                    n += len(packed) // 4
+                    coded.update(packed)
+                    plain.update(own.decode(packed))
+                counts.append(n)
+                ids.append(coded.hexdigest())
+                decoded.append(plain.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
