@@ -26,7 +26,7 @@ from scanweave.llm import _text
 from scanweave.llm._scratch import keep, small_batches
 
 U64 = np.uint64
-KEYS_PER_SHARD, POSTINGS_PER_TASK, BROADCAST_SHARDS = 50_000, 200_000, 100_000
+KEYS_PER_SHARD, POSTINGS_PER_TASK, BROADCAST_SHARDS, BROADCAST_KEYS = 50_000, 200_000, 100_000, 500_000
 SLOTS = 4
 
 
@@ -204,24 +204,45 @@ class LineIndex:
         known = known.join(heavy, "shard", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
         return lines.groupBy("shard", "block").cogroup(known.groupBy("shard", "block")).applyInArrow(_settle, "key_a long, key_b long, doc_id long")
 
+    @staticmethod
+    def _small(df: DataFrame) -> DataFrame:
+        """A kept table, broadcast if it is no larger than a batch that every executor may hold (16 bytes a row)."""
+        return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df
+
     def insert(self, docs: DataFrame) -> "LineIndex":
-        """The index with new documents. Counts of the keys they hold are added up, and filters gain the keys that became shared."""
-        new = keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_postings(self.min_chars), "key_a long, key_b long, doc_id long"), "line-new")
-        both = self.references.unionByName(_references(new)).groupBy("key_a", "key_b")
-        references = keep(both.agg(F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc")), "line-references")
-        return self._changed(self.postings.unionByName(new), references)
+        """The index with new documents; one whose doc_id is known replaces the old one.
+
+        Counts of the keys they hold are added up, and filters gain the keys that became shared. Postings and references of
+        other keys are read and copied, but neither sorted nor shuffled for a batch of at most BROADCAST_KEYS keys.
+        """
+        new = keep(small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_postings(self.min_chars), "key_a long, key_b long, doc_id long").distinct(), "line-new")
+        ids = keep(docs.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct(), "line-ids")
+        known = keep(self.postings.join(self._small(ids), "doc_id", "left_semi").select("doc_id").distinct(), "line-known")
+        if known.limit(1).count():
+            return self.delete(known).insert(docs)
+        keys = ["key_a", "key_b"]
+        added = keep(_references(new), "line-added")
+        touched = self._small(added.select(*keys))
+        old = keep(self.references.join(touched, keys, "left_semi"), "line-old")
+        now = old.unionByName(added).groupBy(*keys).agg(F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
+        now = keep(now, "line-now")
+        references = keep(self.references.join(touched, keys, "left_anti").unionByName(now), "line-references")
+        return self._changed(keep(self.postings.unionByName(new), "line-postings"), references, old, now)
 
     def delete(self, ids: DataFrame) -> "LineIndex":
         """The index without the documents of ids (doc_id), as if they had never come. Only counts of their keys are made anew."""
-        gone = keep(self.postings.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("key_a", "key_b").distinct(), "line-gone")
-        postings = keep(self.postings.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select("key_a", "key_b", "doc_id"), "line-postings")
-        again = _references(postings.join(gone, ["key_a", "key_b"], "left_semi"))
-        references = keep(self.references.join(gone, ["key_a", "key_b"], "left_anti").unionByName(again), "line-references")
-        return self._changed(postings, references)
-
-    def _changed(self, postings: DataFrame, references: DataFrame) -> "LineIndex":
-        """Brings the filters from the shared keys of before to those of now, shard by shard."""
-        was, now = (r.where(F.col("n_docs") >= self.min_docs).select("key_a", "key_b") for r in (self.references, references))
+        ids = self._small(keep(ids.select(F.col("doc_id").cast("long")).distinct(), "line-ids"))
+        keys = ["key_a", "key_b"]
+        gone = self._small(keep(self.postings.join(ids, "doc_id", "left_semi").select(*keys).distinct(), "line-gone"))
+        postings = keep(self.postings.join(ids, "doc_id", "left_anti").select(*keys, "doc_id"), "line-postings")
+        old = keep(self.references.join(gone, keys, "left_semi"), "line-old")
+        now = keep(_references(postings.join(gone, keys, "left_semi")), "line-now")
+        references = keep(self.references.join(gone, keys, "left_anti").unionByName(now), "line-references")
+        return self._changed(postings, references, old, now)
+
+    def _changed(self, postings: DataFrame, references: DataFrame, old: DataFrame, new: DataFrame) -> "LineIndex":
+        """Brings the filters from the shared ones among the old references to those among the new, shard by shard."""
+        was, now = (r.where(F.col("n_docs") >= self.min_docs).select("key_a", "key_b") for r in (old, new))
         moved = now.join(was, ["key_a", "key_b"], "left_anti").withColumn("gain", F.lit(True)).unionByName(was.join(now, ["key_a", "key_b"], "left_anti").withColumn("gain", F.lit(False)))
         moved = moved.select(_shard(self.shards).alias("shard"), "key_a", "gain")
 
@@ -294,7 +315,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
     A line's key is the line stripped of [\\x20\\x09-\\x0D] with A-Z lower-cased. Keys of at least min_chars code points in
     at least min_docs documents lose all their lines but those of the smallest doc_id. Null or empty text: one empty line.
     Repeated rows of one doc_id count as one document for the others, and each is returned. Null doc_id: the row takes no
-    part and stays whole. Empty table: no rows.
+    part and stays whole. A long text is read whole, in one task, at a few bytes of memory for each of its own. Empty table:
+    no rows. Other columns are not read, whatever their names.
     """
     rows = _with_drops(docs.select(F.col("doc_id").cast("long"), "text"), LineIndex.build(docs, min_chars, min_docs))
     return rows.mapInArrow(_rewrite(min_chars, True), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
