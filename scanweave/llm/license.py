@@ -44,6 +44,50 @@ SENTENCES = (
     "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     "This is free and unencumbered software released into the public domain",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "This library is free software",
+    "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "either version 2.1 of the License, or (at your option) any later version",
+    "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "This software is provided 'as-is', without any express or implied warranty",
+    "In no event will the authors be held liable for any damages arising from the use of this software",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "Distributed under the Boost Software License, Version 1.0",
+    "Boost Software License - Version 1.0",
+    "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "SPDX-License-Identifier",
+    "MIT",
+    "Apache-2.0",
+    "BSD-2-Clause",
+    "BSD-3-Clause",
+    "GPL-2.0-only",
+    "GPL-2.0-or-later",
+    "GPL-3.0-only",
+    "GPL-3.0-or-later",
+    "LGPL-2.1-or-later",
+    "LGPL-3.0-or-later",
+    "AGPL-3.0-or-later",
+    "MPL-2.0",
+    "ISC",
+    "Zlib",
+    "BSL-1.0",
+    "CC0-1.0",
+    "EPL-2.0",
+    "Unlicense",
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",
+    "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version",
+    "Licensed under the BSD 3-Clause License",
+    "Licensed under the BSD 2-Clause License",
+    "Licensed under the Mozilla Public License 2.0",
+    "Licensed under the ISC License",
 )
 #: A licence and the identifiers that show it, in this order.
 RULES = (
@@ -59,12 +103,52 @@ RULES = (
     ("GPL-3.0-or-later", (16, 17, 19)),
     ("GPL-2.0-or-later", (16, 17, 18)),
     ("GPL-3.0", (3,)),
-    ("BSD-2-Clause-like", (23, 24, 25)),
+    ("BSD-3-Clause", (23, 24, 25, 30)),
+    ("BSD-2-Clause", (23, 24, 25)),
     ("CC-BY-NC-4.0", (4,)),
     ("CC-BY-NC-4.0", (28,)),
     ("CC-BY-4.0", (26,)),
     ("CC-BY-SA-4.0", (27,)),
     ("Unlicense", (29,)),
+    ("LGPL-3.0-or-later", (32,)),
+    ("LGPL-3.0-or-later", (31, 33, 19)),
+    ("LGPL-2.1-or-later", (31, 33, 34)),
+    ("LGPL-3.0-or-later", (31, 68)),
+    ("LGPL-2.1-or-later", (31, 69)),
+    ("AGPL-3.0-or-later", (16, 35)),
+    ("AGPL-3.0-or-later", (16, 36, 19)),
+    ("GPL-3.0-or-later", (16, 66)),
+    ("GPL-2.0-or-later", (16, 67)),
+    ("MPL-2.0", (37,)),
+    ("MPL-2.0", (38,)),
+    ("ISC", (39,)),
+    ("Zlib", (40, 41, 42)),
+    ("BSL-1.0", (43,)),
+    ("BSL-1.0", (44,)),
+    ("CC0-1.0", (45,)),
+    ("EPL-2.0", (46,)),
+    ("MIT", (47, 48)),
+    ("Apache-2.0", (47, 49)),
+    ("BSD-2-Clause", (47, 50)),
+    ("BSD-3-Clause", (47, 51)),
+    ("GPL-2.0-only", (47, 52)),
+    ("GPL-2.0-or-later", (47, 53)),
+    ("GPL-3.0-only", (47, 54)),
+    ("GPL-3.0-or-later", (47, 55)),
+    ("LGPL-2.1-or-later", (47, 56)),
+    ("LGPL-3.0-or-later", (47, 57)),
+    ("AGPL-3.0-or-later", (47, 58)),
+    ("MPL-2.0", (47, 59)),
+    ("ISC", (47, 60)),
+    ("Zlib", (47, 61)),
+    ("BSL-1.0", (47, 62)),
+    ("CC0-1.0", (47, 63)),
+    ("EPL-2.0", (47, 64)),
+    ("Unlicense", (47, 65)),
+    ("BSD-3-Clause", (70,)),
+    ("BSD-2-Clause", (71,)),
+    ("MPL-2.0", (72,)),
+    ("ISC", (73,)),
 )
 AT_ENDS = r"[.!?;:]+[ \t\r\n]+|\n[ \t\r]*\n"
 AT_LINES = r"[.!?;:]+[ \t\r\n]+|\n"
@@ -80,41 +164,55 @@ def _identifiers(text: Column, pattern: str, known: Column) -> Column:
     return F.filter(F.transform(sentences, lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull())
 
 
+def _ordered(rules: tuple) -> list[tuple[str, str]]:
+    """Names and runs, the longest first, then as given. Each identifier stands between two commas of its own."""
+    return [(name, "".join(f",{i}," for i in ids)) for name, ids in sorted(rules, key=lambda r: -len(r[1]))]
+
+
 def license_scan(docs: DataFrame, sentences: tuple = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """doc_id, n_sentences, sentence_ids, licenses per row of docs (doc_id, text).
 
     sentence_ids are the identifiers found by line, in order, and licenses the distinct names of the matching rules in
     ascending order, both joined by commas and empty if there are none; n_sentences counts the identifiers. Null or empty
-    text has none. Repeated rows get equal results. Other columns are not read. Empty table: no rows.
+    text has none. A long text is cut into sentences whole, in one row of one task. Repeated rows get equal results. Other
+    columns are not read, whatever their names. Empty table: no rows.
     """
     known = F.create_map(*[F.lit(x) for i, s in reversed([*{normal(s): (i, normal(s)) for i, s in enumerate(sentences, 1)}.values()]) for x in (s, i)])
     text = F.coalesce("text", F.lit(""))
     found = docs.select("doc_id", _identifiers(text, AT_ENDS, known).alias("by_end"), _identifiers(text, AT_LINES, known).alias("by_line"))
-    joined = lambda c: F.concat_ws(",", F.col(c).cast("array<string>"))
-    found = found.select("doc_id", F.size("by_line").cast("long").alias("n_sentences"), joined("by_line").alias("sentence_ids"), F.concat(F.lit(","), joined("by_end"), F.lit(",;,"), joined("by_line"), F.lit(",")).alias("both"))
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("," + ",".join(map(str, ids)) + ",").alias("run")) for name, ids in rules])
-    names = F.transform(F.filter(table, lambda r: F.col("both").contains(r["run"])), lambda r: r["name"])
+    wrapped = lambda c: F.array_join(F.transform(F.col(c), lambda x: F.concat(F.lit(","), x.cast("string"), F.lit(","))), "")
+    found = found.select("doc_id", F.size("by_line").cast("long").alias("n_sentences"), F.concat_ws(",", F.col("by_line").cast("array<string>")).alias("sentence_ids"), F.concat(wrapped("by_end"), F.lit(";"), wrapped("by_line")).alias("both"))
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(run).alias("run")) for name, run in _ordered(rules)])
+    start = F.struct(F.col("both").alias("rest"), F.array().cast("array<string>").alias("names"))
+
+    def used(so_far: Column, rule: Column) -> Column:
+        hit = so_far["rest"].contains(rule["run"])
+        rest = F.when(hit, F.replace(so_far["rest"], rule["run"], F.lit(";"))).otherwise(so_far["rest"])
+        return F.struct(rest.alias("rest"), F.when(hit, F.array_append(so_far["names"], rule["name"])).otherwise(so_far["names"]).alias("names"))
+
+    names = F.when(F.col("both") == ";", F.array().cast("array<string>")).otherwise(F.aggregate(table, start, used, lambda x: x["names"]))
     return found.select("doc_id", "n_sentences", "sentence_ids", F.concat_ws(",", F.array_sort(F.array_distinct(names))).alias("licenses"))
 
 
 def license_sql(sentences: tuple = SENTENCES, rules: tuple = RULES) -> str:
     """The same in DuckDB SQL."""
-    values = ", ".join(f"('{s}', {i})" for i, s in {normal(s): (i, normal(s)) for i, s in enumerate(sentences, 1)}.values())
-    runs = ", ".join(f"('{name}', ',{','.join(map(str, ids))},')" for name, ids in rules)
+    values = ", ".join("('{}', {})".format(s.replace("'", "''"), i) for i, s in {normal(s): (i, normal(s)) for i, s in enumerate(sentences, 1)}.values())
+    ordered = _ordered(rules)
+    steps = ", ".join(f"replace(rest_{k}, '{run}', ';') as rest_{k + 1}" for k, (_, run) in enumerate(ordered))
+    hits = ", ".join(f"case when contains(rest_{k}, '{run}') then '{name}' end" for k, (name, run) in enumerate(ordered))
 
     def identifiers(pattern: str) -> str:
         escaped = pattern.replace("\\t", "' || chr(9) || '").replace("\\r", "' || chr(13) || '").replace("\\n", "' || chr(10) || '")
-        return f"""select doc, string_agg(cast(id as varchar), ',' order by pos) as ids, count(*) as n
+        return f"""select doc, string_agg(cast(id as varchar), ',' order by pos) as ids, string_agg(',' || id || ',', '' order by pos) as wrapped, count(*) as n
             from (select doc, pos, trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g'), ' ') as s
                   from (select doc, unnest(parts) as part, generate_subscripts(parts, 1) as pos from (select doc, string_split_regex(lower(coalesce(text, '')), '{escaped}') as parts from rows)))
             join known using (s) group by doc"""
 
     return f"""with rows as (select row_number() over () as doc, doc_id, text from documents),
         known as (select s, id from (values {values}) t(s, id)),
-        rules as (select name, run from (values {runs}) t(name, run)),
         by_end as ({identifiers(AT_ENDS)}),
         by_line as ({identifiers(AT_LINES)}),
-        found as (select r.doc, r.doc_id, coalesce(l.n, 0) as n_sentences, coalesce(l.ids, '') as sentence_ids, ',' || coalesce(e.ids, '') || ',;,' || coalesce(l.ids, '') || ',' as both_ids
+        found as (select r.doc, r.doc_id, coalesce(l.n, 0) as n_sentences, coalesce(l.ids, '') as sentence_ids, coalesce(e.wrapped, '') || ';' || coalesce(l.wrapped, '') as rest_0
                   from rows r left join by_line l using (doc) left join by_end e using (doc)),
-        hits as (select doc, string_agg(distinct name, ',' order by name) as licenses from found join rules on contains(both_ids, run) group by doc)
-        select doc_id, cast(n_sentences as bigint) as n_sentences, sentence_ids, coalesce(licenses, '') as licenses from found left join hits using (doc)"""
+        used as (select *, {steps} from found)
+        select doc_id, cast(n_sentences as bigint) as n_sentences, sentence_ids, coalesce(array_to_string(list_sort(list_distinct([{hits}])), ','), '') as licenses from used"""
