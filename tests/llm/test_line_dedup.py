@@ -89,3 +89,17 @@ def test_cuckoo_filter():
     f.insert(keys[:10_000])
     assert f.contains(keys[:10_000]).all()
     assert CuckooFilter(0).build(keys[:0]).contains(keys).sum() == 0
+
+
+def test_inserting_again_replaces(docs):
+    df = docs(corpus(5))
+    table = lambda x: sorted(map(tuple, x.references.select("key_a", "key_b", "n_docs", "first_doc", "last_doc").collect()))
+    index = LineIndex.build(df)
+    again = index.insert(df.where("doc_id < 20"))
+    assert table(again) == table(index)
+    assert sorted(map(tuple, again.drops().collect())) == sorted(map(tuple, index.drops().collect()))
+    one = LineIndex.build(docs(["a line that one holds"]))
+    twice = one.insert(docs(["a line that one holds"]))
+    assert [r.n_docs for r in twice.references.collect()] == [1] and twice.drops().count() == 0
+    changed = one.insert(docs(["a line of another wording"]))
+    assert table(changed) == table(LineIndex.build(docs(["a line of another wording"])))

@@ -101,10 +101,9 @@ def test_recall_and_balance(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(6000, 32))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    router = ann.fit(df, parts=16)
     hits = total = 0
     got = defaultdict(list)
-    for r in ann.search(df, df.where("vec_id % 50 = 0"), router=router).collect():
+    for r in ann.search(df, df.where("vec_id % 50 = 0")).collect():
         got[r.query_id].append(r.vec_id)
     for q, own in got.items():
         top, _ = nearest(x, np.arange(6000), q)
@@ -116,6 +115,18 @@ def test_recall_and_balance(spark):
     assert np.bincount(labels, minlength=16).max() <= np.ceil(6000 / 16 * 1.1)
 
 
+def test_small_blocks_and_runs_give_the_same(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(700, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    router = ann.fit(df)
+    found = []
+    for size in (4096, 7):
+        monkeypatch.setattr(ann, "BLOCK_ROWS", size)
+        monkeypatch.setattr(ann, "QUERY_ROWS", size)
+        found.append(sorted(map(tuple, ann.search(df, df.where("vec_id % 5 = 0"), router=router).collect())))
+    assert found[0] == found[1] and ann.partitions(500) == 8 < ann.partitions(10_000) < ann.partitions(10**6) < ann.partitions(10**12) == ann.MOST_PARTS
+
+
 def test_first_vector_of_another_length(spark):
     rows = [(-1, [1.0] * 3), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 1.0])]
     df = spark.createDataFrame(rows, VECTORS)
@@ -134,9 +145,11 @@ def test_few_or_no_vectors(spark):
 def test_licences(spark, docs):
     full = "MIT License\n\nCopyright (c) 2020 X\n\n" + SENTENCES[6].replace("software and", "software\nand") + ":\n\n" + SENTENCES[7].replace("in all", "in all\n") + "."
     texts = [None, "", "no licence here", "Prose.\nReleased under the MIT License.\nMore prose", "a line\nLicensed under CC BY-NC 4.0", full, "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0. " + SENTENCES[0] + ".", SENTENCES[7] + ". " + SENTENCES[6] + ".", "x " * 500_000 + ".\n" + SENTENCES[0] + "!"]
+    two = "\n".join([SENTENCES[22] + ":", SENTENCES[23] + ".", SENTENCES[24] + "."])
+    texts += [two, two + "\n" + SENTENCES[29] + ".", two + "\n" + SENTENCES[29] + ".\n" + two + "\n" + SENTENCES[29] + ".", "// SPDX-License-Identifier: LGPL-2.1-or-later\nint x;", "MIT\nISC", "# " + SENTENCES[15] + "; " + SENTENCES[34] + "."]
     df = docs(texts).selectExpr("*", "'y' as licenses", "1 as known")
     got = {r.doc_id: r.licenses for r in license_scan(df).collect()}
-    assert got == {0: "", 1: "", 2: "", 3: "MIT", 4: "CC-BY-NC-4.0", 5: "MIT", 6: "Apache-2.0,MIT", 7: "", 8: "MIT"}
+    assert got == {0: "", 1: "", 2: "", 3: "MIT", 4: "CC-BY-NC-4.0", 5: "MIT", 6: "Apache-2.0,MIT", 7: "", 8: "MIT", 9: "BSD-2-Clause", 10: "BSD-3-Clause", 11: "BSD-3-Clause", 12: "LGPL-2.1-or-later", 13: "", 14: "AGPL-3.0-or-later"}
     con = duckdb.connect()
     con.register("documents", df.toArrow())
     assert Counter(con.sql(license_sql()).fetchall()) == Counter(map(tuple, license_scan(df).collect()))

@@ -56,6 +56,20 @@ def test_long_pieces_take_linear_time(codec, truth, x):
     assert codec.encode(x) == truth.encode_ordinary(x)
 
 
+def test_long_texts_are_encoded_in_runs(codec, truth):
+    import tracemalloc
+
+    x = "word and another one, " * 1_800_000  # 40 MB
+    list(codec.encode_runs(x[:100_000]))
+    tracemalloc.start()
+    n = sum(len(codec.decode(part)) for part in codec.encode_runs(x))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(x) and peak < 20_000_000
+    short = "".join(texts(9, 9000))
+    assert len(short) > 70_000 and codec.encode(short) == truth.encode_ordinary(short)
+
+
 def test_round_trip_query(docs, spark, truth):
     own = [None, "", *texts(2, 30), "word " * 200_000]
     df = docs(own).selectExpr("*", "1 as n_tokens")
