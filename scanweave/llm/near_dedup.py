@@ -9,9 +9,12 @@ The flow:
 2. Documents with equal sets form a class; only its smallest doc_id goes on, so exact copies never multiply.
 3. In each band bucket all members are compared with one hub, the member that shares most buckets. That is linear in the
    bucket and joins nearly all of a large group of near copies.
-4. Where a bucket still spans several components, members outside its largest one are compared with every member of
-   other components, so no candidate pair is given up. That happens in blocks of a bounded number of shingles, by an
-   inverted index over the exact sets; only links leave a block.
+4. Where a bucket still spans several components, its members are candidates that no hub could settle. Of each, the rarest
+   shingles are taken (rare among those members): two sets of the asked similarity share one of them, at places that
+   their sizes bound. Members outside the main component of such a shingle's holders are compared with all holders in
+   other components, so no candidate pair is given up, and texts of a common template, whose rare shingles are their own,
+   meet nobody. That happens in blocks of a bounded number of shingles, by an inverted index over the exact sets; only
+   links leave a block.
 5. Every link is confirmed on the full shingle sets of both texts, and union-find grouping makes components.
 """
 
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanweave.llm import _text
@@ -30,7 +33,7 @@ from scanweave.llm.components import components
 
 U64 = np.uint64
 #: Pairs in one block of the first round, shingles in one block of the second, candidate ids that may be broadcast (8 bytes each).
-BLOCK, BLOCK_SHINGLES, BROADCAST_IDS = 512, 200_000, 1_000_000
+BLOCK, BLOCK_SHINGLES, BROADCAST_IDS = 512, 50_000, 1_000_000
 
 
 def signatures(values: np.ndarray, rows: np.ndarray, n_rows: int, m: int) -> np.ndarray:
@@ -135,7 +138,7 @@ def _verify(k: int, percent: int):
 
 
 def _blocks(k: int, percent: int):
-    """Over rows sorted by block, with the members outside the bucket's main component first: exact links to all others."""
+    """Over rows sorted by block, with the members outside the main component of the bucket (a rare shingle) first: exact links to all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, parts, sets, index = None, [], [], [], None
@@ -195,7 +198,49 @@ def _in_blocks(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def _spread(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with their groups (one row a key, of `size` rows), where no key is a hot one: groups of a thousandth of
+    `total` rows or more, of which there are a thousand at most, are broadcast. Both sides are read twice."""
+    large = F.col(size) >= max(2, total // 1000)
+    hot = groups.where(large)
+    names = F.broadcast(hot.select(*keys))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(names, keys, "left_anti").join(groups.where(~large), keys, how))
+
+
+def _shingle_rows(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for part in _text.chunks(_text.column(batch, "text")):
+                values, rows = _sets(part, k)
+                for i in range(0, len(values), 100_000):
+                    own = pa.array(rows[i : i + 100_000] + part.first)
+                    yield pa.RecordBatch.from_arrays([ids.take(own), pa.array(values[i : i + 100_000].view(np.int64))], names=["id", "shingle"])
+
+    return run
+
+
+def _rare(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(bucket, id, n, component, first) of nodes (id, n, component): the shingles of each among which a partner must share one.
+
+    With all shingles of both in order from the rarest, let x be the smaller set of two with similarity t. Their first common
+    shingle is among the |x| - ceil(2t / (1 + t) |x|) + 1 first ones of x (`first`), and among the |y| - ceil(t |y|) + 1 first
+    ones of y. Shingles that one node alone has come first and need no row.
+    """
+    ids = keep(nodes.select(F.col("id").alias("doc_id")), "near2-ids")
+    shingles = keep(_texts(docs, ids).mapInArrow(_shingle_rows(k), "id long, shingle long"), "near2-shingles")
+    common = keep(shingles.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"), "near2-common")
+    shared = _spread(shingles, common, ["shingle"], "held", 0 if not (total := common.agg(F.sum("held")).first()[0]) else total // 10)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("held", "shingle"))
+    ordered = shared.withColumn("place", place).withColumn("n_shared", F.count("*").over(Window.partitionBy("id")))
+    ordered = ordered.join(nodes, "id").withColumn("place", F.col("n") - F.col("n_shared") + F.col("place"))
+    last = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
+    first = F.expr(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
+    return keep(ordered.where(F.col("place") <= last).select(F.col("shingle").alias("bucket"), "id", "n", "component", first.alias("first")), "near2-rare")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
@@ -219,38 +264,48 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 25,
     all that links reach, named by its smallest doc_id. With the default 25 bands of 5 SuperMinHash slots a pair at
     similarity 0.85 is missed as a candidate with probability 5e-7, above that less.
 
-    Null or word-less text: n_shingles 0, linked with nothing. Repeated rows: one class, each row returned. Null doc_id:
-    the row takes no part, component_id null and kept true. Ties: the smallest doc_id is kept. Empty table: no rows.
+    Null or word-less text: n_shingles 0, linked with nothing. Repeated rows: one class, each row returned. A doc_id names
+    one document: rows of one id with different texts are one node, whose links are confirmed on its text of the smallest
+    hash. Null doc_id: the row takes no part, component_id null and kept true. Ties: the smallest doc_id is kept. A long
+    text is one row; its set of 8-byte hashes is held in one task. Empty table: no rows. Other columns are not read, whatever
+    their names.
     """
     columns = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     features = keep(columns.mapInArrow(_features(k, bands, width), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "near-features")
     able = features.where("n_shingles > 0 and doc_id is not null")
+    total = able.count()
     classes = able.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = able.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    rows = keep(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "near-rows")
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket", "size")
-    members = keep(rows.join(buckets, "bucket"), "near-members")
+    members = keep(_spread(rows, keep(buckets, "near-buckets"), ["bucket"], "size", total * bands), "near-members")
 
     scores = members.groupBy("id").agg(F.sum("size").alias("score"))
-    hubs = members.join(scores, "id").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), "n")).alias("hub"))
-    hubs = hubs.select("bucket", (-F.col("hub.minus")).alias("a"), F.col("hub.n").alias("n_a"))
+    hubs = members.join(scores, "id").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), "n")).alias("hub"), F.first("size").alias("n_members"))
+    hubs = keep(hubs.select("bucket", (-F.col("hub.minus")).alias("a"), F.col("hub.n").alias("n_a"), "n_members"), "near-hubs")
     fits = F.expr(f"100 * least(n_a, n) >= {percent} * greatest(n_a, n)")
-    first = members.join(hubs, "bucket").where(F.col("id") != F.col("a")).where(fits).select("a", F.col("id").alias("b")).distinct()
-    first = keep(first, "near-first")
-    links = _confirmed(first, columns, k, percent, "near1")
+    first = _spread(members, hubs, ["bucket"], "n_members", total * bands).where(F.col("id") != F.col("a")).where(fits).select("a", F.col("id").alias("b")).distinct()
+    links = _confirmed(keep(first, "near-first"), columns, k, percent, "near1")
     labels = components(links)
 
     placed = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = keep(placed, "near-placed")
-    parts = placed.groupBy("bucket", "component").agg(F.sum("n").alias("part"))
-    mixed = parts.groupBy("bucket").agg(F.count("*").alias("n_parts"), F.sum("part").alias("total"), F.max(F.struct("part", "component")).alias("main")).where("n_parts > 1")
-    mixed = mixed.select("bucket", F.col("main.component").alias("main"), F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("js"), F.ceil((F.col("total") - F.col("main.part")) / BLOCK_SHINGLES).cast("int").alias("is"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("size").alias("n_members")).where("low < high").select("bucket", "n_members")
     if mixed.limit(1).count():
-        found = _in_blocks(placed.join(mixed, "bucket"), columns, k, percent)
-        labels = components(links.union(found))
-
-    groups = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null")
-    groups = groups.select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    out = features.join(groups, ["set_a", "set_b"], "left")
+        open_ids = _spread(placed, keep(mixed, "near-mixed"), ["bucket"], "n_members", total * bands).select("id", "n", "component").distinct()
+        rare = _rare(columns, keep(open_ids, "near-nodes"), k, percent)
+        parts = rare.groupBy("bucket", "component").agg(F.sum("n").alias("part"), F.count("*").alias("rows"), F.max("first").alias("first"))
+        groups = parts.groupBy("bucket").agg(F.count("*").alias("n_parts"), F.sum("part").alias("total"), F.max(F.struct("part", "component")).alias("main"), F.sum("rows").alias("n_rows"), F.max("first").alias("first"))
+        groups = groups.where("n_parts > 1 and first").select("bucket", "n_rows", F.col("main.component").alias("main"), F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("js"), F.ceil((F.col("total") - F.col("main.part")) / BLOCK_SHINGLES).cast("int").alias("is"))
+        groups = keep(groups, "near2-groups")
+        if groups.limit(1).count():
+            n_rows = groups.agg(F.sum("n_rows")).first()[0]
+            labels = components(links.union(_in_blocks(_spread(rare, groups, ["bucket"], "n_rows", n_rows), columns, k, percent)))
+
+    known = labels.withColumnRenamed("node", "rep")
+    groups = keep(classes.join(known, "rep", "left").where("copies > 1 or component is not null").select("set_a", "set_b", "copies", F.coalesce("component", "rep").alias("component")), "near-groups")
+    whole = features.select("doc_id", "n_shingles", "set_a", "set_b")
+    out = _spread(whole.where("n_shingles > 0 and doc_id is not null"), groups, ["set_a", "set_b"], "copies", total, "left").drop("copies")
+    out = out.unionByName(whole.where("n_shingles = 0 or doc_id is null").withColumn("component", F.lit(None).cast("long")))
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
