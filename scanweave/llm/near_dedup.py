@@ -11,10 +11,10 @@ The flow:
    bucket and joins nearly all of a large group of near copies.
 4. Where a bucket still spans several components, its members are candidates that no hub could settle. Of each, the rarest
    shingles are taken (rare among those members): two sets of the asked similarity share one of them, at places that
-   their sizes bound. Members outside the main component of such a shingle's holders are compared with all holders in
-   other components, so no candidate pair is given up, and texts of a common template, whose rare shingles are their own,
-   meet nobody. That happens in blocks of a bounded number of shingles, by an inverted index over the exact sets; only
-   links leave a block.
+   their sizes bound. A member that shares none with another component meets nobody, as texts of a common template, whose
+   rare shingles are their own. Of the others in a bucket, members outside its main component are compared with all in
+   other components, so no candidate pair is given up. That happens in blocks of a bounded number of shingles, by an
+   inverted index over the exact sets; only links leave a block.
 5. Every link is confirmed on the full shingle sets of both texts, and union-find grouping makes components.
 """
 
@@ -138,7 +138,7 @@ def _verify(k: int, percent: int):
 
 
 def _blocks(k: int, percent: int):
-    """Over rows sorted by block, with the members outside the main component of the bucket (a rare shingle) first: exact links to all others."""
+    """Over rows sorted by block, with the members outside the bucket's main component first: exact links to all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, parts, sets, index = None, [], [], [], None
@@ -294,13 +294,16 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 25,
     if mixed.limit(1).count():
         open_ids = _spread(placed, keep(mixed, "near-mixed"), ["bucket"], "n_members", total * bands).select("id", "n", "component").distinct()
         rare = _rare(columns, keep(open_ids, "near-nodes"), k, percent)
-        parts = rare.groupBy("bucket", "component").agg(F.sum("n").alias("part"), F.count("*").alias("rows"), F.max("first").alias("first"))
-        groups = parts.groupBy("bucket").agg(F.count("*").alias("n_parts"), F.sum("part").alias("total"), F.max(F.struct("part", "component")).alias("main"), F.sum("rows").alias("n_rows"), F.max("first").alias("first"))
-        groups = groups.where("n_parts > 1 and first").select("bucket", "n_rows", F.col("main.component").alias("main"), F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("js"), F.ceil((F.col("total") - F.col("main.part")) / BLOCK_SHINGLES).cast("int").alias("is"))
+        holders = rare.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("first").alias("first"), F.count("*").alias("held")).where("low < high and first")
+        holders = keep(holders.select("bucket", "held"), "near2-holders")
+        live = keep(_spread(rare, holders, ["bucket"], "held", rare.count()).select("id").distinct(), "near2-live")
+        placed = keep(placed.select("bucket", "id", "n", "component").join(F.broadcast(live) if live.count() <= BROADCAST_IDS else live, "id", "left_semi"), "near2-placed")
+        parts = placed.groupBy("bucket", "component").agg(F.sum("n").alias("part"), F.count("*").alias("rows"))
+        groups = parts.groupBy("bucket").agg(F.count("*").alias("n_parts"), F.sum("part").alias("total"), F.max(F.struct("part", "component")).alias("main"), F.sum("rows").alias("n_rows")).where("n_parts > 1")
+        groups = groups.select("bucket", "n_rows", F.col("main.component").alias("main"), F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("js"), F.ceil((F.col("total") - F.col("main.part")) / BLOCK_SHINGLES).cast("int").alias("is"))
         groups = keep(groups, "near2-groups")
         if groups.limit(1).count():
-            n_rows = groups.agg(F.sum("n_rows")).first()[0]
-            labels = components(links.union(_in_blocks(_spread(rare, groups, ["bucket"], "n_rows", n_rows), columns, k, percent)))
+            labels = components(links.union(_in_blocks(_spread(placed, groups, ["bucket"], "n_rows", placed.count()), columns, k, percent)))
 
     known = labels.withColumnRenamed("node", "rep")
     groups = keep(classes.join(known, "rep", "left").where("copies > 1 or component is not null").select("set_a", "set_b", "copies", F.coalesce("component", "rep").alias("component")), "near-groups")
