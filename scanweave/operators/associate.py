@@ -136,3 +136,11 @@ def merge(matches: DataFrame, leaves: DataFrame, gates: Gates = Gates()) -> Data
         return pd.DataFrame([(first[s], scan, leaf) for (scan, leaf), s in found.items()], columns=["surfel_id", "scan_id", "leaf_id"])
 
     return rows.select("component", "scan_a", "leaf_a", "scan_b", "leaf_b", "va", "vb").groupBy("component").applyInPandas(run, SURFELS)
+
+
+def correspond(pairs: DataFrame, fixed: DataFrame, moving: DataFrame, key: str) -> DataFrame:
+    """(fixed_idx, moving_idx, fixed, moving): both sides of each correspondence as structs. Pairs with a negative index, which
+    stands for none, and those that name an absent row are left out."""
+    side = lambda df, name: df.select(F.col(key).alias(f"{name}_idx"), F.struct(*df.columns).alias(name))
+    named = pairs.where("fixed_idx >= 0 and moving_idx >= 0").select("fixed_idx", "moving_idx")
+    return named.join(side(fixed, "fixed"), "fixed_idx").join(side(moving, "moving"), "moving_idx")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanweave.functions import geometry, poses
 from scanweave.operators.messages import as_of_interpolate  # noqa: F401  (part of this module's interface)
 
 
@@ -41,3 +46,62 @@ def segment_ends(path: DataFrame, lengths: list[float], every: int = 10, keys: l
     behind = Window.partitionBy(*keys).orderBy(F.col("distance").desc(), "_rank").rowsBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("_last", F.min("frame").over(behind))
     return found.where("frame is null and _last is not null").select(*keys, "first", "length", F.col("_last").alias("last"))
+
+
+def segment_errors(path: DataFrame, lengths: list[float], every: int = 10, keys: list[str] = ("run",)) -> DataFrame:
+    """(keys, first, length, last, rotation_error, translation_error): errors per metre over segments of the given lengths.
+
+    path has (keys, frame, distance, truth, estimate), the poses as structs of poses.FIELDS and distance along the truth. The
+    error of a segment is what leads from the estimated to the true step between its ends; a run is one trajectory.
+    """
+    keys = list(keys)
+    ends = segment_ends(path.select(*keys, "frame", "distance"), lengths, every, keys)
+    for end in ("first", "last"):
+        ends = ends.join(path.select(*keys, F.col("frame").alias(end), F.col("truth").alias(f"_t_{end}"), F.col("estimate").alias(f"_e_{end}")), [*keys, end])
+    steps = ends.withColumns({f"_{k}": poses.struct(poses.between(poses.of(F.col(f"_{k}_first")), poses.of(F.col(f"_{k}_last")))) for k in "te"})
+    error = steps.withColumn("_d", poses.struct(poses.between(poses.of(F.col("_e")), poses.of(F.col("_t")))))
+    d = poses.of(F.col("_d"))
+    return error.select(*keys, "first", "length", "last", (poses.angle(d[3:]) / F.col("length")).alias("rotation_error"), (poses.length(d[:3]) / F.col("length")).alias("translation_error"))
+
+
+def relative_errors(pairs: DataFrame, order: str, keys: list[str] = ("run",)) -> DataFrame:
+    """(keys, order, dx, dy, dz, droll, dpitch, dyaw) of each consecutive pair of matched poses: the absolute errors, axis by
+    axis, of the step from the later pose back to the earlier one. pairs has (keys, order, truth, estimate)."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    d = pairs.withColumns({"_t0": F.lag("truth").over(w), "_e0": F.lag("estimate").over(w)}).where("_t0 is not null")
+    d = d.withColumns({f"_{k}": poses.struct(poses.between(poses.of(F.col(c)), poses.of(F.col(f"_{k}0")))) for k, c in (("t", "truth"), ("e", "estimate"))})
+    d = d.withColumn("_d", poses.struct(poses.between(poses.of(F.col("_e")), poses.of(F.col("_t")))))
+    p = poses.of(F.col("_d"))
+    return d.select(*keys, order, *[F.abs(c).alias(n) for c, n in zip((*p[:3], *poses.euler(p[3:])), ("dx", "dy", "dz", "droll", "dpitch", "dyaw"), strict=True)])
+
+
+def alignment(pairs: DataFrame, keys: list[str] = ("run",)) -> DataFrame:
+    """(keys, align): the rigid pose that best maps estimated positions (ex, ey, ez) onto true ones (tx, ty, tz), per run.
+
+    Means and covariances are summed on the map side in one pass; the rotation is the largest eigenvector of the quaternion
+    form of the covariance, found for one row a run.
+    """
+    keys = list(keys)
+    sums = pairs.groupBy(*keys).agg(*[F.avg(f"{s}{c}").alias(f"_{s}{c}") for s in "et" for c in "xyz"], *[F.covar_pop(f"e{a}", f"t{b}").alias(f"_c{a}{b}") for a in "xyz" for b in "xyz"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            (xx, xy, xz), (yx, yy, yz), (zx, zy, zz) = [[f[f"_c{a}{b}"].to_numpy() for b in "xyz"] for a in "xyz"]
+            n = np.stack([np.stack(r, -1) for r in ([xx + yy + zz, yz - zy, zx - xz, xy - yx], [yz - zy, xx - yy - zz, xy + yx, zx + xz], [zx - xz, xy + yx, yy - xx - zz, yz + zy], [xy - yx, zx + xz, yz + zy, zz - xx - yy])], -2)
+            q = np.linalg.eigh(n)[1][:, :, -1][:, [1, 2, 3, 0]]
+            e, t = (f[[f"_{s}{c}" for c in "xyz"]].to_numpy() for s in "et")
+            shift = t - np.einsum("nij,nj->ni", geometry.quaternion_to_matrix(q), e)
+            found = [dict(zip(poses.FIELDS, map(float, row), strict=True)) for row in np.hstack([shift, q])]
+            yield f[keys].assign(align=found)
+
+    kinds = dict(sums.dtypes)
+    return sums.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f", align {poses.STRUCT}")
+
+
+def absolute_errors(pairs: DataFrame, keys: list[str] = ("run",)) -> DataFrame:
+    """(keys, n, rmse, mean, largest): distances of aligned estimated positions from true ones, per run."""
+    both = pairs.join(alignment(pairs, keys), list(keys))
+    a = poses.of(F.col("align"))
+    moved = poses.rotate(a[3:], tuple(F.col(f"e{c}") for c in "xyz"))
+    far = poses.length(tuple(moved[i] + a[i] - F.col(f"t{c}") for i, c in enumerate("xyz")))
+    return both.withColumn("_far", far).groupBy(*keys).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("_far") * F.col("_far"))).alias("rmse"), F.avg("_far").alias("mean"), F.max("_far").alias("largest"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from math import sqrt
+import heapq
+from math import hypot, sqrt
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,25 +25,115 @@ def _neighbours(df: DataFrame) -> DataFrame:
     return df.withColumn("_s", F.explode(steps)).withColumns({"row": F.col("row") + F.col("_s.i"), "col": F.col("col") + F.col("_s.j"), "_d": F.col("_s.d")}).drop("_s")
 
 
-def cheapest(cells: DataFrame, goals: DataFrame) -> DataFrame:
+def _in_tile(cells: dict, offers: list, cheaper) -> set:
+    """Dijkstra inside one tile. cells maps (row, col) to [cost, distance, parent row, parent col]; offers are (distance at the
+    cell before, step length, row, col, parent row, parent col). Gives the cells that improved."""
+    heap, improved = [], set()
+
+    def offer(base, step, row, col, parent):
+        cell = cells.get((row, col))
+        if cell is None:
+            return
+        found = (base + step * cell[0], *parent)
+        if cell[1] is None or cheaper(found, tuple(cell[1:])):
+            nearer = cell[1] is None or found[0] < cell[1]
+            cell[1:] = found
+            improved.add((row, col))
+            if nearer:
+                heapq.heappush(heap, (found[0], row, col))
+
+    for base, step, row, col, *parent in offers:
+        offer(base, step, row, col, tuple(parent))
+    while heap:
+        distance, row, col = heapq.heappop(heap)
+        if distance == cells[row, col][1]:
+            for i, j, d in _STEPS:
+                offer(distance, d, row + i, col + j, (row, col))
+    return improved
+
+
+def _cheaper(new: tuple, old: tuple) -> bool:
+    """A smaller distance; at equal ones the parent that comes first, where both have one."""
+    if new[0] != old[0]:
+        return new[0] < old[0]
+    return old[1] is not None and new[1] is not None and new[1:] < old[1:]
+
+
+def cheapest(cells: DataFrame, goals: DataFrame, tile: int = 256) -> DataFrame:
     """(image, row, col, distance, parent_row, parent_col): cheapest 8-neighbour ways to the nearest goal.
 
-    cells has a positive `cost`; entering a cell costs it times the step's length. Rounds of relaxation move only the cells
-    that improved; each round is written, so plans stay short. Cells that no way reaches are left out.
+    cells has a positive `cost`; entering a cell costs it times the step's length. Each round settles whole tiles, one task
+    a tile, and hands what improved at their borders to the tiles next to them; images no larger than a tile take one round.
+    Only tiles that got an offer are read again. Cells that no way reaches are left out.
     """
-    names = ["image", "row", "col"]
-    best = keep(goals.select(*names, F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("parent_row"), F.lit(None).cast("long").alias("parent_col")), "grid")
-    frontier = best
+    at = lambda c: F.floor(F.col(c) / tile)
+    keys = ["image", "_tr", "_tc"]
+    kind = dict(cells.dtypes)["image"]
+    state = "row long, col long, cost double, distance double, parent_row long, parent_col long"
+    far = F.lit(None).cast("double")
+    none = F.lit(None).cast("long")
+    place = lambda df: df.withColumns({"_tr": at("row"), "_tc": at("col")})
+    best = keep(place(cells.select("image", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("cost").cast("double").alias("cost"), far.alias("distance"), none.alias("parent_row"), none.alias("parent_col"))), "grid")
+    offers = place(goals.select("image", F.lit(0.0).alias("base"), F.lit(0.0).alias("step"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), none.alias("parent_row"), none.alias("parent_col")))
+    offers = keep(offers, "grid")
+
+    def settle(key: tuple, own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        plain = lambda x: None if pd.isna(x) else x
+        table = {(r, c): [cost, plain(d), plain(a), plain(b)] for r, c, cost, d, a, b in zip(*(own[n] for n in ("row", "col", "cost", "distance", "parent_row", "parent_col")), strict=True)}
+        rows = [(base, step, r, c, plain(a), plain(b)) for base, step, r, c, a, b in zip(*(given[n] for n in ("base", "step", "row", "col", "parent_row", "parent_col")), strict=True)]
+        improved = _in_tile(table, rows, _cheaper) if table else set()
+        out = [(key[0], key[1], key[2], r, c, *v, (r, c) in improved) for (r, c), v in table.items()]
+        frame = pd.DataFrame(out, columns=[*keys, "row", "col", "cost", "distance", "parent_row", "parent_col", "improved"])
+        return frame.astype({"distance": "Float64", "parent_row": "Int64", "parent_col": "Int64"})
+
     while True:
-        way = _neighbours(frontier.select(*names, "distance", F.col("row").alias("parent_row"), F.col("col").alias("parent_col")))
-        way = way.join(cells.select(*names, "cost"), names).withColumn("distance", F.col("distance") + F.col("_d") * F.col("cost"))
-        offer = way.groupBy(*names).agg(F.min(F.struct("distance", "parent_row", "parent_col")).alias("o"))
-        old = best.select(*names, F.col("distance").alias("_old"))
-        better = keep(offer.join(old, names, "left").where("_old is null or o.distance < _old").select(*names, "o.*"), "grid")
-        if not better.limit(1).count():
-            return best
-        best = keep(best.join(better.select(*names), names, "left_anti").unionByName(better), "grid")
-        frontier = better
+        asked = keep(offers.select(*keys).distinct(), "grid")
+        active = best.join(asked, keys, "left_semi")
+        new = keep(active.groupBy(*keys).cogroup(offers.groupBy(*keys)).applyInPandas(settle, f"image {kind}, _tr long, _tc long, {state}, improved boolean"), "grid")
+        best = keep(best.join(asked, keys, "left_anti").unionByName(new.drop("improved")), "grid")
+        edge = new.where(f"improved and (pmod(`row`, {tile}) in (0, {tile - 1}) or pmod(col, {tile}) in (0, {tile - 1}))")
+        way = _neighbours(edge.select("image", "_tr", "_tc", "row", "col", F.col("distance").alias("base"), F.col("row").alias("parent_row"), F.col("col").alias("parent_col"))).withColumnRenamed("_d", "step")
+        crossing = way.where((at("row") != F.col("_tr")) | (at("col") != F.col("_tc"))).drop("_tr", "_tc")
+        better = place(crossing).join(best.select("image", "row", "col", "cost", "distance"), ["image", "row", "col"]).where("distance is null or base + step * cost < distance")
+        offers = keep(better.select("image", "base", "step", "row", "col", "parent_row", "parent_col", "_tr", "_tc"), "grid")
+        if not offers.limit(1).count():
+            return best.where("distance is not null").select("image", "row", "col", "distance", "parent_row", "parent_col")
+
+
+def astar(cells: DataFrame, starts: DataFrame, goals: DataFrame, expansions: int = 10_000) -> DataFrame:
+    """(image, place, row, col, distance): the cheapest way from each image's start to its nearest goal, by A* with the
+    straight distance as heuristic (costs are at least 1). Gives up, without rows, after so many expansions. One image is one
+    task, and memory that of its cells."""
+    kind = dict(cells.dtypes)["image"]
+    marked = cells.select("image", "row", "col", "cost").join(starts.select("image", "row", "col").withColumn("_s", F.lit(True)), ["image", "row", "col"], "left").join(goals.select("image", "row", "col").withColumn("_g", F.lit(True)), ["image", "row", "col"], "left")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        cost = dict(zip(zip(f["row"], f["col"], strict=True), f["cost"], strict=True))
+        picked = lambda c: set(zip(f.loc[f[c].notna(), "row"], f.loc[f[c].notna(), "col"], strict=True))
+        begin, end = picked("_s"), picked("_g")
+        near = lambda r, c: min((hypot(r - a, c - b) for a, b in end), default=0.0)
+        best = {x: (0.0, None) for x in begin}
+        heap = [(near(*x), 0.0, *x) for x in sorted(begin)]
+        heapq.heapify(heap)
+        for _ in range(expansions):
+            if not heap:
+                break
+            _, d, r, c = heapq.heappop(heap)
+            if (r, c) in end:
+                way = [(r, c)]
+                while (up := best[way[-1]][1]) is not None:
+                    way.append(up)
+                return pd.DataFrame([(f["image"].iloc[0], i, *x, best[x][0]) for i, x in enumerate(reversed(way))], columns=["image", "place", "row", "col", "distance"])
+            if d > best[r, c][0]:
+                continue
+            for i, j, step in _STEPS:
+                to = (r + i, c + j)
+                if to in cost and (found := d + step * cost[to]) < best.get(to, (float("inf"),))[0]:
+                    best[to] = found, (r, c)
+                    heapq.heappush(heap, (found + near(*to), found, *to))
+        return pd.DataFrame({"image": [], "place": [], "row": [], "col": [], "distance": []})
+
+    return marked.groupBy("image").applyInPandas(run, f"image {kind}, place long, row long, col long, distance double")
 
 
 def components(cells: DataFrame) -> DataFrame:

@@ -44,16 +44,16 @@ def drop_late(messages: DataFrame, time: str, arrival: str, oblivion: int, bucke
     return seen.where(F.col("_latest").isNull() | (F.col(time) >= F.col("_latest") - oblivion)).drop("_latest")
 
 
-def as_of_interpolate(queries: DataFrame, samples: DataFrame, time: str, value: str, keys: list[str] = (), bucket: int = 3_600_000_000) -> DataFrame:
-    """queries with the samples' value at their time: exact, or linear between the samples on both sides; null outside them.
+def bracket(queries: DataFrame, samples: DataFrame, time: str, value: str, keys: list[str] = (), bucket: int | float = 3_600_000_000) -> DataFrame:
+    """queries with `before` and `after`: the samples (t, v) at or next to their time on both sides; null outside them.
 
     Both sides are cut into time buckets and united; each bucket starts from the last sample before it and ends with the
-    first after it, so no task sees more than a bucket. A time that samples repeat has the mean of their values.
+    first after it, so no task sees more than a bucket. samples has one row per key and time.
     """
     keys = list(keys)
-    samples = samples.groupBy(*keys, time).agg(F.avg(value).alias("_v"))
-    q = queries.withColumn("_v", F.lit(None).cast("double")).withColumn("_is_query", F.lit(True))
-    s = samples.withColumn("_is_query", F.lit(False))
+    kind = dict(samples.dtypes)[value]
+    q = queries.withColumn("_v", F.lit(None).cast(kind)).withColumn("_is_query", F.lit(True))
+    s = samples.select(*keys, time, F.col(value).alias("_v")).withColumn("_is_query", F.lit(False))
     both = q.unionByName(s, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col(time) / bucket))
     point = F.when(~F.col("_is_query"), F.struct(F.col(time).alias("t"), F.col("_v").alias("v")))
     edges = both.groupBy(*keys, "_bucket").agg(F.min_by(point, F.when(point.isNotNull(), F.col(time))).alias("_first"), F.max_by(point, F.when(point.isNotNull(), F.col(time))).alias("_last"))
@@ -65,10 +65,18 @@ def as_of_interpolate(queries: DataFrame, samples: DataFrame, time: str, value:
     low = F.coalesce(F.last("_point", ignorenulls=True).over(inner.rangeBetween(Window.unboundedPreceding, 0)), "_past")
     back = Window.partitionBy(*keys, "_bucket").orderBy(F.col(time).desc()).rangeBetween(Window.unboundedPreceding, 0)
     high = F.coalesce(F.last("_point", ignorenulls=True).over(back), "_next")
-    both = both.withColumn("_low", low).withColumn("_high", high).where("_is_query")
-    share = (F.col(time) - F.col("_low.t")) / (F.col("_high.t") - F.col("_low.t"))
-    between = F.col("_low.v") + share * (F.col("_high.v") - F.col("_low.v"))
-    found = F.when(F.col("_low.t") == F.col("_high.t"), F.col("_low.v")).otherwise(between)
+    return both.withColumns({"before": low, "after": high}).where("_is_query").select(*queries.columns, "before", "after")
+
+
+def as_of_interpolate(queries: DataFrame, samples: DataFrame, time: str, value: str, keys: list[str] = (), bucket: int = 3_600_000_000) -> DataFrame:
+    """queries with the samples' value at their time: exact, or linear between the samples on both sides; null outside them.
+    A time that samples repeat has the mean of their values."""
+    keys = list(keys)
+    samples = samples.groupBy(*keys, time).agg(F.avg(value).alias("_value"))
+    both = bracket(queries, samples, time, "_value", keys, bucket)
+    share = (F.col(time) - F.col("before.t")) / (F.col("after.t") - F.col("before.t"))
+    between = F.col("before.v") + share * (F.col("after.v") - F.col("before.v"))
+    found = F.when(F.col("before.t") == F.col("after.t"), F.col("before.v")).otherwise(between)
     return both.withColumn(f"{value}_at", found).select(*queries.columns, f"{value}_at")
 
 
@@ -124,33 +132,38 @@ def subsample_motion(poses: DataFrame, min_distance: float, min_angle: float, ke
     return poses.repartition(key).sortWithinPartitions(key, "arrival").mapInPandas(run, poses.schema)
 
 
-def kalman_times(messages: DataFrame, warm_up: int = 100, gate: float = 3.0, q: float = 1e-3, r: float = 1e-4, key: str = "stream") -> DataFrame:
-    """Message times smoothed by a constant-period Kalman filter: (key, arrival, t, t_filtered).
+def kalman_times(messages: DataFrame, warm_up: int = 100, gate: float = 3.0, process: float = 1e-4, measurement: float = 1e-3, key: str = "stream") -> DataFrame:
+    """Message times smoothed by a Kalman filter over (time, period): (key, arrival, t, t_filtered, ready).
 
-    The first warm_up messages set the period to the mean step and pass as they are. A time off its prediction by more
-    than gate periods is replaced by the prediction and does not correct the filter.
+    The first warm_up messages set the time to the last of them and the period to the mean step; they pass as they are and
+    are not ready. Then the time moves on by the period, both with process noise, and is corrected by the message, unless
+    that is off by more than `gate` periods. The covariance starts as the identity. Each step needs the one before, so a
+    stream is read by one task, in batches; its state is five numbers.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream = object()
-        n = first = t = period = p = 0.0
+        stream, n, first = object(), 0, 0.0
+        t = period = s00 = s01 = s11 = 0.0
         for batch in batches:
-            out = []
+            out, ready = [], []
             for own, at in zip(batch[key], batch["t"], strict=True):
                 if own != stream:
-                    stream, n, first, p = own, 0, at, 1.0
+                    stream, n, first = own, 0, at
+                    s00, s01, s11 = 1.0, 0.0, 1.0
                 n += 1
+                ready.append(n > warm_up)
                 if n <= warm_up:
                     t, period = at, (at - first) / (n - 1) if n > 1 else 0.0
                 else:
-                    t, p = t + period, p + q
-                    if abs(at - t) <= gate * period:
-                        gain = p / (p + r)
-                        step = at - t
-                        t, p = t + gain * step, (1 - gain) * p
-                        period += gain * step / n
+                    t = t + period
+                    s00, s01, s11 = s00 + 2 * s01 + s11 + process, s01 + s11, s11 + process
+                    step = at - t
+                    if abs(step) <= gate * period:
+                        k0, k1 = s00 / (s00 + measurement), s01 / (s00 + measurement)
+                        t, period = t + k0 * step, period + k1 * step
+                        s00, s01, s11 = (1 - k0) * s00, (1 - k0) * s01, s11 - k1 * s01
                 out.append(t)
-            yield batch.assign(t_filtered=out)
+            yield batch.assign(t_filtered=out, ready=ready)
 
     rows = messages.select(key, "arrival", F.col("t").cast("double").alias("t")).repartition(key).sortWithinPartitions(key, "arrival")
-    return rows.mapInPandas(run, f"{key} {dict(messages.dtypes)[key]}, arrival long, t double, t_filtered double")
+    return rows.mapInPandas(run, f"{key} {dict(messages.dtypes)[key]}, arrival long, t double, t_filtered double, ready boolean")

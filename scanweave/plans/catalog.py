@@ -100,23 +100,38 @@ def time_exclude(spark, sf_dir):
     return views.messages(spark, sf_dir).where((day < HOUR) | (day > HOUR + 3_000_000)).select("event_id", "t")
 
 
-@query()
+@query(f"""with recursive {MSGS}, m as (select frame as stream, topic, t / 1000000.0::double as t, event_id, row_number() over (partition by frame order by event_id) as k from msgs where topic in ('click', 'view')),
+ r as (select distinct stream, 0::bigint as k, null::double as ct, null::bigint as ca, null::double as vt, null::bigint as va, 0::bigint as pack, false as fired, null::double as begun, null::varchar as arrivals from m
+  union all select stream, k, case when not fires then ct end, case when not fires then ca end, case when not fires then vt end, case when not fires then va end, pack + case when fires then 1 else 0 end, fires, least(ct, vt), ca || ',' || va
+   from (select *, coalesce(abs(ct - vt) < 7200, false) as fires from (select r.stream, m.k, r.pack, case when topic = 'click' then m.t else r.ct end as ct, case when topic = 'click' then event_id else r.ca end as ca, case when topic = 'view' then m.t else r.vt end as vt, case when topic = 'view' then event_id else r.va end as va
+         from r join m on m.stream = r.stream and m.k = r.k + 1)))
+ select stream, pack - 1 as pack, begun as t, arrivals from r where fired""")
 def sync_pack(spark, sf_dir):
     m = views.messages(spark, sf_dir).select(F.col("frame").alias("stream"), "topic", (F.col("t") / 1e6).alias("t"), F.col("event_id").alias("arrival"))
-    return messages.synchronise(m, ["click", "view"], 7200.0)
+    packs = messages.synchronise(m, ["click", "view"], 7200.0)
+    return packs.withColumn("arrivals", F.array_join(F.col("arrivals").cast("array<string>"), ","))
 
 
-@query()
+@query(f"""with recursive {MSGS}, m as (select frame as stream, event_id as arrival, coalesce(abs(value - lag(value) over w), 0) as distance, (event_id % 7) * 0.02::double as angle, row_number() over w as k from msgs window w as (partition by frame order by event_id)),
+ r as (select distinct stream, 0::bigint as arrival, 0::double as distance, 0::double as angle, 0::bigint as k, 0::double as far, 0::double as turned, false as given from m
+  union all select stream, arrival, distance, angle, k, case when given then 0 else far end, case when given then 0 else turned end, given
+   from (select *, far > 25 or turned > 0.25 as given from (select m.stream, m.arrival, m.distance, m.angle, m.k, r.far + m.distance as far, r.turned + m.angle as turned from r join m on m.stream = r.stream and m.k = r.k + 1)))
+ select stream, arrival, distance, angle from r where given""")
 def motion_subsample(spark, sf_dir):
     m = prefix.previous(views.messages(spark, sf_dir), ["event_id"], bucket(), ["value"], ["frame"])
-    steps = m.select(F.col("frame").alias("stream"), F.col("event_id").alias("arrival"), F.coalesce(F.abs(F.col("value") - F.col("prev_value")), F.lit(0.0)).alias("distance"), F.lit(0.0).alias("angle"))
+    steps = m.select(F.col("frame").alias("stream"), F.col("event_id").alias("arrival"), F.coalesce(F.abs(F.col("value") - F.col("prev_value")), F.lit(0.0)).alias("distance"), ((F.col("event_id") % 7) * F.lit(0.02)).alias("angle"))
     return messages.subsample_motion(steps, 25.0, 0.25)
 
 
-@query()
+@query(f"""with recursive {MSGS}, m as (select topic, event_id, t / 1000000.0::double as t, row_number() over (partition by topic order by event_id) as n from msgs),
+ s as (select topic, max(t) filter (n = 100) as t, (max(t) filter (n = 100) - max(t) filter (n = 1)) / 99 as p from m group by topic having count(*) > 100),
+ r as (select topic, 100::bigint as n, t, p, 1::double as s00, 0::double as s01, 1::double as s11 from s
+  union all select topic, n, case when near then t + k0 * step else t end, case when near then p + k1 * step else p end, case when near then (1 - k0) * s00 else s00 end, case when near then (1 - k0) * s01 else s01 end, case when near then s11 - k1 * s01 else s11 end
+   from (select *, abs(step) <= 3 * p as near, s00 / (s00 + 0.001::double) as k0, s01 / (s00 + 0.001::double) as k1 from (select m.topic, m.n, r.t + r.p as t, r.p, m.t - (r.t + r.p) as step, r.s00 + 2 * r.s01 + r.s11 + 0.0001::double as s00, r.s01 + r.s11 as s01, r.s11 + 0.0001::double as s11 from r join m on m.topic = r.topic and m.n = r.n + 1)))
+ select m.topic as stream, event_id as arrival, m.t, round(case when m.n <= 100 then m.t else r.t end, 3) as t_filtered, m.n > 100 as ready from m left join r on r.topic = m.topic and r.n = m.n""")
 def kalman_times(spark, sf_dir):
     m = views.messages(spark, sf_dir).select(F.col("topic").alias("stream"), F.col("event_id").alias("arrival"), (F.col("t") / 1e6).alias("t"))
-    return messages.kalman_times(m)
+    return rounded(messages.kalman_times(m), {"t_filtered": 3})
 
 
 # point clouds
@@ -201,35 +216,32 @@ def oriented_extent(spark, sf_dir):
     return rounded(cloud.extents(views.points(spark, sf_dir), ["scan_id"]), {f"extent_{c}": 6 for c in "xyz"})
 
 
-_CELLS = """cells as (select 0 as image, r."row", c.col, coalesce(v.v, 0) as v from (select unnest(range(0, 25)) as "row") r cross join (select unnest(range(0, 12)) as col) c left join
- (select c_nationkey as "row", month(o_orderdate) - 1 as col, sum(cast(round(o_totalprice * 100) as bigint))::bigint as v from orders join customer on o_custkey = c_custkey group by 1, 2) v on v."row" = r."row" and v.col = c.col)"""
+_CELLS = """cells as (select vec_id as image, (i - 1) // 8 as "row", (i - 1) % 8 as col, cast(floor(abs(embedding[i]::double) * 1000) as bigint) as v from (select vec_id, embedding, unnest(range(1, 65)) as i from embeddings))"""
 
 
 def _cells(spark, sf_dir) -> DataFrame:
-    """A dense 25 x 12 image: order value by nation and month."""
-    o, c = views.table(spark, sf_dir, "orders"), views.table(spark, sf_dir, "customer")
-    v = o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("c_nationkey").cast("long").alias("row"), (F.month("o_orderdate") - 1).cast("long").alias("col")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("v"))
-    grid = spark.range(25 * 12).select(F.lit(0).alias("image"), F.floor(F.col("id") / 12).alias("row"), (F.col("id") % 12).alias("col"))
-    return grid.join(v, ["row", "col"], "left").select("image", "row", "col", F.coalesce("v", F.lit(0)).alias("v"))
+    """Dense 8 x 8 images, one for each vector: image, row, col, v in thousandths."""
+    e = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("i", "x"))
+    return e.select("image", F.floor(F.col("i") / 8).alias("row"), (F.col("i") % 8).cast("long").alias("col"), F.floor(F.abs(F.col("x").cast("double")) * 1000).alias("v"))
 
 
-@query(f"""with {_CELLS}, a as (select *, sum(v) over (partition by "row" order by col) as s from cells) select image, "row", col, v, cast(sum(s) over (partition by col order by "row") as bigint) as integral from a""")
+@query(f"""with {_CELLS}, a as (select *, sum(v) over (partition by image, "row" order by col) as s from cells) select image, "row", col, v, cast(sum(s) over (partition by image, col order by "row") as bigint) as integral from a""")
 def integral_image(spark, sf_dir):
     return cloud.integral_image(_cells(spark, sf_dir), ["image"], "v")
 
 
-@query(f"""with {_CELLS} select a.image, a."row", a.col, cast(sum(b.v) as bigint) as box_sum from cells a join cells b on abs(a."row" - b."row") <= 2 and abs(a.col - b.col) <= 2 group by 1, 2, 3""")
+@query(f"""with {_CELLS} select a.image, a."row", a.col, cast(sum(b.v) as bigint) as box_sum from cells a join cells b on a.image = b.image and abs(a."row" - b."row") <= 2 and abs(a.col - b.col) <= 2 group by 1, 2, 3""")
 def box_blur(spark, sf_dir):
     return cloud.box_sums(cloud.integral_image(_cells(spark, sf_dir), ["image"], "v"), ["image"], 2).withColumn("box_sum", F.col("box_sum").cast("long"))
 
 
-@query(f"""with {_CELLS} select image, cast(floor("row" / 5) as integer) as block_row, cast(floor(col / 5) as integer) as block_col, count(*) as n_cells, round(avg(v), 3) as mean_v from cells group by 1, 2, 3""")
+@query(f"""with {_CELLS} select image, cast(floor("row" / 4) as integer) as block_row, cast(floor(col / 4) as integer) as block_col, count(*) as n_cells, round(avg(v), 3) as mean_v from cells group by 1, 2, 3""")
 def block_downsample(spark, sf_dir):
-    return rounded(cloud.block_means(_cells(spark, sf_dir), ["image"], "v", 5), {"mean_v": 3})
+    return rounded(cloud.block_means(_cells(spark, sf_dir), ["image"], "v", 4), {"mean_v": 3})
 
 
 @query(f"""with {_CELLS}, s as (select * from cells where v > (select 2 * avg(v) from cells) or v = 0 or ("row" * 7 + col) % 31 = 0)
- select a.image, a."row", a.col, cast(least(min((a."row" - s."row") * (a."row" - s."row") + (a.col - s.col) * (a.col - s.col)), 36) as bigint) as d2 from cells a cross join s group by 1, 2, 3""")
+ select a.image, a."row", a.col, cast(least(min((a."row" - s."row") * (a."row" - s."row") + (a.col - s.col) * (a.col - s.col)), 36) as bigint) as d2 from cells a join s on a.image = s.image group by 1, 2, 3""")
 def distance_transform(spark, sf_dir):
     cells = _cells(spark, sf_dir)
     high = cells.agg((2 * F.avg("v")).alias("_high"))
@@ -237,9 +249,9 @@ def distance_transform(spark, sf_dir):
     return graph.distance_transform(cells, seeds, 6)
 
 
-@query("select a.vec_id, bit_count(xor(a.d, b.d)) as hamming from (select vec_id, list_sum([case when embedding[i] > 0 then 1::bigint << (i - 1) else 0::bigint end for i in range(1, 63)])::bigint as d from embeddings) a join (select vec_id, list_sum([case when embedding[i] > 0 then 1::bigint << (i - 1) else 0::bigint end for i in range(1, 63)])::bigint as d from embeddings) b on b.vec_id = a.vec_id + 1")
+@query("select a.vec_id, bit_count(xor(a.d, b.d)) as hamming from (select vec_id, list_sum([case when embedding[i] > 0 then 1::bigint << (i - 1) else 0::bigint end for i in range(1, 64)])::bigint as d from embeddings) a join (select vec_id, list_sum([case when embedding[i] > 0 then 1::bigint << (i - 1) else 0::bigint end for i in range(1, 64)])::bigint as d from embeddings) b on b.vec_id = a.vec_id + 1")
 def descriptor_hamming(spark, sf_dir):
-    bits = F.expr("aggregate(transform(sequence(0, 61), i -> if(embedding[i] > 0, shiftleft(1L, i), 0L)), 0L, (x, y) -> x | y)")
+    bits = F.expr("aggregate(transform(sequence(0, 62), i -> if(embedding[i] > 0, shiftleft(1L, i), 0L)), 0L, (x, y) -> x | y)")
     d = views.table(spark, sf_dir, "embeddings").select("vec_id", bits.alias("d"))
     return d.alias("a").join(d.alias("b"), F.expr("b.vec_id = a.vec_id + 1")).select("a.vec_id", F.expr("bit_count(a.d ^ b.d)").alias("hamming"))
 
@@ -441,7 +453,7 @@ def evaluator_chi(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from scanweave.plans import iterative, logs  # noqa: F401  they register their queries here
+    from scanweave.plans import iterative, logs, motion  # noqa: F401  they register their queries here
 
     return dict(QUERIES)
 

@@ -58,7 +58,7 @@ def tf_lookup(spark, sf_dir):
     zero = [F.lit(0.0).alias(c) for c in ("ty", "tz", "qx", "qy", "qz")]
     events = m.where("event_id % 2 = 0").select(F.col("topic").alias("child"), F.col("t").cast("double").alias("t"), F.col("value").alias("tx"), *zero, F.lit(1.0).alias("qw"))
     asked = m.where("event_id % 2 = 1").select(F.col("topic").alias("child"), F.col("t").cast("double").alias("t"), "event_id")
-    out = formats.tf_lookup(asked.drop("event_id"), events).join(asked, ["child", "t"])
+    out = formats.tf_lookup(asked, events, bucket=float(views.HOUR))
     u = F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), F.col("u"))
     return rounded(out.select("child", "event_id", "status", u.alias("u")), {"u": 5})
 

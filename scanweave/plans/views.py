@@ -41,3 +41,17 @@ PTS = "pts as (select label as scan_id, vec_id as point_id, cast(embedding[1] as
 OBS = "obs as (select l_partkey as surfel_id, l_suppkey as scan_id, cast(round(l_extendedprice * 100) as bigint) as m, 100 - cast(round(l_discount * 100) as bigint) as w from lineitem)"
 NRM = """e as (select label as surfel_id, vec_id as obs_id, [cast(x as double) for x in embedding[1:6]] as v from embeddings),
  nrm as (select surfel_id, obs_id, v[1] as px, v[2] as py, v[3] as pz, v[4] / sqrt(v[4]*v[4]+v[5]*v[5]+v[6]*v[6]) as nx, v[5] / sqrt(v[4]*v[4]+v[5]*v[5]+v[6]*v[6]) as ny, v[6] / sqrt(v[4]*v[4]+v[5]*v[5]+v[6]*v[6]) as nz from e)"""
+
+
+def range_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Organised clouds of 8 x 8 cells, one for each vector: image, row, col, x, y, z of a spherical range image."""
+    each = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("i", "v"))
+    row, col = F.floor(F.col("i") / 8), (F.col("i") % 8).cast("long")
+    d = each.select("image", row.alias("row"), col.alias("col"), (5 + F.col("v").cast("double")).alias("r"))
+    d = d.withColumns({"t": (F.col("col") - 3.5) * 0.1, "p": (3.5 - F.col("row")) * 0.1})
+    return d.select("image", "row", "col", F.expr("r * cos(p) * cos(t)").alias("x"), F.expr("r * cos(p) * sin(t)").alias("y"), F.expr("r * sin(p)").alias("z"))
+
+
+RANGES = """rv as (select vec_id as image, (i - 1) // 8 as "row", (i - 1) % 8 as col, 5 + embedding[i]::double as r from (select vec_id, embedding, unnest(range(1, 65)) as i from embeddings)),
+ ra as (select *, (col - 3.5::double) * 0.1::double as t, (3.5::double - "row") * 0.1::double as p from rv),
+ rng as (select image, "row", col, r * cos(p) * cos(t) as x, r * cos(p) * sin(t) as y, r * sin(p) as z from ra)"""

@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanweave.functions import poses
+from scanweave.operators.messages import bracket
+
 TUM = ("t", "tx", "ty", "tz", "qx", "qy", "qz", "qw")
 
 
@@ -125,20 +128,65 @@ def export_scans(surfels: DataFrame, members: DataFrame, poses: DataFrame, path:
     rows.select("scan_id", "t", "surfel_id", *[c.alias(n) for c, n in zip(local, "xyz", strict=True)]).write.partitionBy("scan_id").parquet(path)
 
 
-def tf_lookup(queries: DataFrame, events: DataFrame, tolerance: float = 1e-8) -> DataFrame:
-    """Pose of (child) at t from transform events (child, t, tx..qw): exact, or between the events on both sides.
+def tf_lookup(queries: DataFrame, events: DataFrame, tolerance: float = 1e-8, bucket: float = 3600.0) -> DataFrame:
+    """queries (child, t, ...) with `pose`, the pose of the child in its parent at t, from transform events (child, t, tx..qw).
 
-    Adds `before` and `after` events and the share u; outside the events, or with fewer than two, status tells why. The
-    rotation is then interpolated by functions.geometry.interpolate.
+    Exact at an event, else between the events on both sides: linear in translation, spherical in rotation. t = 0 asks for
+    the latest event. Adds `before` and `after`, the share u, and status: no_data with fewer than two events, before_first
+    and after_last outside them; there pose is null. Events of one child at one time: the first by translation counts.
+    """
+    samples = events.groupBy("child", "t").agg(F.min(F.struct(*TUM[1:])).alias("e"))
+    known = samples.groupBy("child").agg(F.count("*").alias("_n"), F.max("t").alias("_last"))
+    asked = queries.join(known, "child", "left").withColumn("_asked", F.col("t"))
+    asked = asked.withColumn("t", F.when(F.col("t") == 0, F.coalesce("_last", "t")).otherwise(F.col("t")))
+    out = bracket(asked, samples, "t", "e", ["child"], bucket)
+    flat = lambda c: F.struct(F.col(f"{c}.t").alias("et"), *[F.col(f"{c}.v.{n}").alias(n) for n in TUM[1:]])
+    gap = F.col("after.t") - F.col("before.t")
+    status = F.when(F.coalesce("_n", F.lit(0)) < 2, "no_data").when(F.col("before").isNull(), "before_first").when(F.col("after").isNull(), "after_last").otherwise("ok")
+    u = F.when(gap > tolerance, (F.col("t") - F.col("before.t")) / gap).otherwise(0.0)
+    out = out.withColumns({"u": u, "status": status})
+    pose = poses.struct(poses.interpolate(*[poses.of(F.col(f"{c}.v")) for c in ("before", "after")], F.col("u")))
+    out = out.withColumn("pose", F.when(F.col("status") == "ok", pose))
+    sides = [F.when(F.col(c).isNotNull(), flat(c)).alias(c) for c in ("before", "after")]
+    return out.select(*[F.col("_asked").alias("t") if c == "t" else c for c in queries.columns], *sides, "u", "status", "pose")
+
+
+def tf_chain(queries: DataFrame, events: DataFrame, parents: dict[str, str], bucket: float = 3600.0) -> DataFrame:
+    """queries (query_id, target, reference, t) with `pose`, that of target in the frame of reference at t, and status.
+
+    parents names the parent of each frame: the sensor model, a small tree. Both frames are followed to their common
+    ancestor; every link on the way is looked up at t, and the links are multiplied in order: up from the reference by inverses,
+    then down to the target. Status is that of the first link that fails, or no_path.
     """
-    pose = F.struct(F.col("t").alias("et"), *TUM[1:])
-    both = queries.select("child", "t", F.lit(None).cast("struct<et:double,tx:double,ty:double,tz:double,qx:double,qy:double,qz:double,qw:double>").alias("e"), F.lit(True).alias("_q")).unionByName(events.select("child", "t", pose.alias("e"), F.lit(False).alias("_q")))
-    w = Window.partitionBy("child").orderBy("t")
-    low = F.last("e", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    # in descending order, because a frame that shrinks is read anew for each row
-    high = F.last("e", ignorenulls=True).over(Window.partitionBy("child").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, 0))
-    n = F.count("e").over(Window.partitionBy("child"))
-    out = both.withColumns({"before": low, "after": high, "_n": n}).where("_q")
-    gap = F.col("after.et") - F.col("before.et")
-    status = F.when(F.col("_n") < 2, "no_data").when(F.col("before").isNull(), "before_first").when(F.col("after").isNull(), "after_last").otherwise("ok")
-    return out.select("child", "t", "before", "after", F.when(gap > tolerance, (F.col("t") - F.col("before.et")) / gap).otherwise(0.0).alias("u"), status.alias("status"))
+
+    def ancestors(x: str) -> list[str]:
+        out = [x]
+        while out[-1] in parents and len(out) <= len(parents):
+            out.append(parents[out[-1]])
+        return out
+
+    frames = sorted({*parents, *parents.values()})
+    steps = []
+    for target in frames:
+        for reference in frames:
+            up, down = ancestors(reference), ancestors(target)
+            common = next((x for x in up if x in down), None)
+            if common is not None:
+                links = [(x, True) for x in up[: up.index(common)]] + [(x, False) for x in reversed(down[: down.index(common)])]
+                steps.append((target, reference, [(i, x, back) for i, (x, back) in enumerate(links)]))
+    spark = queries.sparkSession
+    paths = F.broadcast(spark.createDataFrame(steps, "target string, reference string, links array<struct<i: int, child: string, back: boolean>>"))  # frames squared
+    asked = queries.join(paths, ["target", "reference"], "left")
+    each = asked.select("query_id", "t", F.explode("links").alias("l")).select("query_id", "t", "l.i", "l.child", "l.back")
+    found = tf_lookup(each, events, bucket=bucket)
+    p = poses.of(F.col("pose"))
+    moved = found.withColumn("pose", F.when(F.col("back"), poses.struct(poses.inverse(p))).otherwise(F.col("pose")))
+    parts = moved.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("i", "status", "pose"))).alias("_parts"))  # as many as the tree is deep
+    unit = F.struct(*[F.lit(1.0 if n == "qw" else 0.0).alias(n) for n in poses.FIELDS])
+    whole = F.aggregate("_parts", unit, lambda a, x: poses.struct(poses.compose(poses.of(a), poses.of(x["pose"]))))
+    bad = F.filter("_parts", lambda x: x["status"] != "ok")
+    out = asked.join(parts, "query_id", "left").withColumn("_bad", bad)
+    status = F.when(F.col("links").isNull(), "no_path").when(F.size("_bad") > 0, F.col("_bad")[0]["status"]).otherwise("ok")
+    out = out.withColumn("status", status)
+    pose = F.when(F.col("status") == "ok", F.when(F.size("links") == 0, unit).otherwise(whole))
+    return out.select("query_id", "target", "reference", "t", "status", pose.alias("pose"))
