@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from math import hypot, sqrt
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanweave.operators.rows import gathered, members
 from scanweave.sources.tables import keep
 
 _STEPS = [(i, j, sqrt(i * i + j * j)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
@@ -77,19 +79,24 @@ def cheapest(cells: DataFrame, goals: DataFrame, tile: int = 256) -> DataFrame:
     offers = place(goals.select("image", F.lit(0.0).alias("base"), F.lit(0.0).alias("step"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), none.alias("parent_row"), none.alias("parent_col")))
     offers = keep(offers, "grid")
 
-    def settle(key: tuple, own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        plain = lambda x: None if pd.isna(x) else x
-        table = {(r, c): [cost, plain(d), plain(a), plain(b)] for r, c, cost, d, a, b in zip(*(own[n] for n in ("row", "col", "cost", "distance", "parent_row", "parent_col")), strict=True)}
-        rows = [(base, step, r, c, plain(a), plain(b)) for base, step, r, c, a, b in zip(*(given[n] for n in ("base", "step", "row", "col", "parent_row", "parent_col")), strict=True)]
-        improved = _in_tile(table, rows, _cheaper) if table else set()
-        out = [(key[0], key[1], key[2], r, c, *v, (r, c) in improved) for (r, c), v in table.items()]
-        frame = pd.DataFrame(out, columns=[*keys, "row", "col", "cost", "distance", "parent_row", "parent_col", "improved"])
-        return frame.astype({"distance": "Float64", "parent_row": "Int64", "parent_col": "Int64"})
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = lambda x: None if x != x else int(x)  # noqa: E731  nan stands for null
+        for batch in batches:
+            groups = [batch.column(i).to_pylist() for i in range(3)]
+            for *key, own, given in zip(*groups, members(batch, "own"), members(batch, "given"), strict=True):
+                plain = [own[n].tolist() for n in ("row", "col", "cost", "distance", "parent_row", "parent_col")]
+                table = {(r, c): [cost, None if d != d else d, whole(a), whole(b)] for r, c, cost, d, a, b in zip(*plain, strict=True)}
+                rows = [(base, step, r, c, whole(a), whole(b)) for base, step, r, c, a, b in zip(*(given[n].tolist() for n in ("base", "step", "row", "col", "parent_row", "parent_col")), strict=True)]
+                improved = _in_tile(table, rows, _cheaper)
+                columns = zip(*[(*key, r, c, *v, (r, c) in improved) for (r, c), v in table.items()], strict=True)
+                kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*keys, "row", "col", "cost", "distance", "parent_row", "parent_col", "improved"])
 
     while True:
         asked = keep(offers.select(*keys).distinct(), "grid")
-        active = best.join(asked, keys, "left_semi")
-        new = keep(active.groupBy(*keys).cogroup(offers.groupBy(*keys)).applyInPandas(settle, f"image {kind}, _tr long, _tc long, {state}, improved boolean"), "grid")
+        active = gathered(best.join(asked, keys, "left_semi"), keys, ["row", "col", "cost", "distance", "parent_row", "parent_col"], "own")
+        given = gathered(offers, keys, ["base", "step", "row", "col", "parent_row", "parent_col"], "given")
+        new = keep(active.join(given, keys).mapInArrow(settle, f"image {kind}, _tr long, _tc long, {state}, improved boolean"), "grid")
         best = keep(best.join(asked, keys, "left_anti").unionByName(new.drop("improved")), "grid")
         edge = new.where(f"improved and (pmod(`row`, {tile}) in (0, {tile - 1}) or pmod(col, {tile}) in (0, {tile - 1}))")
         way = _neighbours(edge.select("image", "_tr", "_tc", "row", "col", F.col("distance").alias("base"), F.col("row").alias("parent_row"), F.col("col").alias("parent_col"))).withColumnRenamed("_d", "step")
@@ -107,10 +114,10 @@ def astar(cells: DataFrame, starts: DataFrame, goals: DataFrame, expansions: int
     kind = dict(cells.dtypes)["image"]
     marked = cells.select("image", "row", "col", "cost").join(starts.select("image", "row", "col").withColumn("_s", F.lit(True)), ["image", "row", "col"], "left").join(goals.select("image", "row", "col").withColumn("_g", F.lit(True)), ["image", "row", "col"], "left")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        cost = dict(zip(zip(f["row"], f["col"], strict=True), f["cost"], strict=True))
-        picked = lambda c: set(zip(f.loc[f[c].notna(), "row"], f.loc[f[c].notna(), "col"], strict=True))
-        begin, end = picked("_s"), picked("_g")
+    def way(f: dict) -> list[tuple]:
+        at = list(zip(f["row"].tolist(), f["col"].tolist(), strict=True))
+        cost = dict(zip(at, f["cost"].tolist(), strict=True))
+        begin, end = ({x for x, k in zip(at, f[n].tolist(), strict=True) if k} for n in ("_s", "_g"))
         near = lambda r, c: min((hypot(r - a, c - b) for a, b in end), default=0.0)
         best = {x: (0.0, None) for x in begin}
         heap = [(near(*x), 0.0, *x) for x in sorted(begin)]
@@ -120,10 +127,10 @@ def astar(cells: DataFrame, starts: DataFrame, goals: DataFrame, expansions: int
                 break
             _, d, r, c = heapq.heappop(heap)
             if (r, c) in end:
-                way = [(r, c)]
-                while (up := best[way[-1]][1]) is not None:
-                    way.append(up)
-                return pd.DataFrame([(f["image"].iloc[0], i, *x, best[x][0]) for i, x in enumerate(reversed(way))], columns=["image", "place", "row", "col", "distance"])
+                steps = [(r, c)]
+                while (up := best[steps[-1]][1]) is not None:
+                    steps.append(up)
+                return [(i, *x, best[x][0]) for i, x in enumerate(reversed(steps))]
             if d > best[r, c][0]:
                 continue
             for i, j, step in _STEPS:
@@ -131,9 +138,16 @@ def astar(cells: DataFrame, starts: DataFrame, goals: DataFrame, expansions: int
                 if to in cost and (found := d + step * cost[to]) < best.get(to, (float("inf"),))[0]:
                     best[to] = found, (r, c)
                     heapq.heappush(heap, (found + near(*to), found, *to))
-        return pd.DataFrame({"image": [], "place": [], "row": [], "col": [], "distance": []})
+        return []
 
-    return marked.groupBy("image").applyInPandas(run, f"image {kind}, place long, row long, col long, distance double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(image, *x) for image, own in zip(batch.column(0).to_pylist(), members(batch, "members"), strict=True) for x in way(own)]
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)], names=["image", "place", "row", "col", "distance"])
+
+    marked = marked.select("image", "row", "col", "cost", F.col("_s").isNotNull().alias("_s"), F.col("_g").isNotNull().alias("_g"))
+    return gathered(marked, ["image"], ["row", "col", "cost", "_s", "_g"]).mapInArrow(run, f"image {kind}, place long, row long, col long, distance double")
 
 
 def components(cells: DataFrame) -> DataFrame:

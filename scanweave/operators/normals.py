@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanweave.operators.rows import gathered, members
+
 XYZ = ("x", "y", "z")
 MOMENTS = ("n", *XYZ, "xx", "xy", "xz", "yy", "yz", "zz")
 
@@ -79,10 +80,8 @@ def line(points: DataFrame, keys: list[str], order: str, columns: tuple[str, ...
     max_curvature, give no row. One scan line is one group; it is as long as one turn of a sensor.
     """
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order, kind="stable")
-        x = f[list(columns)].to_numpy(float)
-        keep, normals = np.zeros(len(x), bool), np.zeros_like(x)
+    def normals_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep, found = np.zeros(len(x), bool), np.zeros_like(x)
         for i, p in enumerate(x):
             far = np.flatnonzero(((x - p) ** 2).sum(axis=1) >= squared_distance)
             at = np.searchsorted(far, i)
@@ -90,17 +89,29 @@ def line(points: DataFrame, keys: list[str], order: str, columns: tuple[str, ...
             if high - low < least:
                 continue
             own = x[low:high]
-            values, vectors = np.linalg.eigh(own.T @ own / len(own) - np.outer(own.mean(axis=0), own.mean(axis=0)))
+            mean = own.mean(axis=0)
+            values, vectors = np.linalg.eigh(own.T @ own / len(own) - np.outer(mean, mean))
             if values[0] > max_curvature * (values[0] + values[1]):
                 continue
             n = vectors[:, 0]
-            keep[i], normals[i] = True, -n if n @ p > 0 else n
-        out = f.loc[keep, [*keys, order]]
-        return out.assign(**{f"n{c}": normals[keep, j] for j, c in enumerate(columns)})
+            keep[i], found[i] = True, -n if n @ p > 0 else n
+        return keep, found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, found = [], [], []
+            for i, own in enumerate(members(batch, "members")):
+                keep, n = normals_of(np.stack([own[c].astype(float) for c in columns], -1))
+                rows.append(np.full(keep.sum(), i))
+                places.append(own[order][keep])
+                found.append(n[keep])
+            at, n = pa.array(np.concatenate(rows)), np.concatenate(found)
+            arrays = [batch.column(j).take(at) for j in range(len(keys))] + [pa.array(np.concatenate(places))] + [pa.array(n[:, j]) for j in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, order, *[f"n{c}" for c in columns]])
 
     kinds = dict(points.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, order)) + "".join(f", n{c} double" for c in columns)
-    return points.select(*keys, order, *columns).groupBy(*keys).applyInPandas(run, schema)
+    return gathered(points, keys, [order, *columns], order=[order]).mapInArrow(run, schema)
 
 
 def ring(angle: Column, start: float, stop: float, pixels: int) -> Column:
