@@ -150,19 +150,61 @@ def astar(cells: DataFrame, starts: DataFrame, goals: DataFrame, expansions: int
     return gathered(marked, ["image"], ["row", "col", "cost", "_s", "_g"]).mapInArrow(run, f"image {kind}, place long, row long, col long, distance double")
 
 
-def components(cells: DataFrame) -> DataFrame:
-    """(image, row, col, component) of occupied cells joined by 8-neighbourhood; the smallest code row * 2^32 + col names it."""
-    names = ["image", "row", "col"]
-    code = F.shiftleft(F.col("row").cast("long"), 32) + F.col("col")
-    labels = keep(cells.select(*names, code.alias("component")), "grid")
+def _joined_cells(rows: list[int], cols: list[int]) -> list[int]:
+    """The smallest code row * 2^32 + col reachable from each cell within the list, by union-find."""
+    at = {x: i for i, x in enumerate(zip(rows, cols, strict=True))}
+    order = sorted(range(len(rows)), key=lambda i: (rows[i], cols[i]))
+    parent = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    place = {i: k for k, i in enumerate(order)}
+    for i in order:
+        for x in ((rows[i] - 1, cols[i] - 1), (rows[i] - 1, cols[i]), (rows[i] - 1, cols[i] + 1), (rows[i], cols[i] - 1)):
+            if x in at:
+                a, b = sorted((find(i), find(at[x])), key=place.get)
+                parent[b] = a
+    return [(rows[r] << 32) + cols[r] for r in map(find, range(len(rows)))]
+
+
+def components(cells: DataFrame, tile: int = 256) -> DataFrame:
+    """(image, row, col, component) of occupied cells joined by 8-neighbourhood; the smallest code row * 2^32 + col names it.
+
+    Tiles are labelled by union-find, one task a tile. Labels that touch across a border make a small graph, whose labels
+    spread with pointer jumping until none changes; images no larger than a tile need none of that.
+    """
+    kind = dict(cells.dtypes)["image"]
+    at = lambda c: F.floor(F.col(c) / tile)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, own in zip(batch.column(0).to_pylist(), members(batch, "members"), strict=True):
+                rows, cols = own["row"].tolist(), own["col"].tolist()
+                arrays = [pa.array([image] * len(rows), batch.schema.field(0).type), pa.array(rows, pa.int64()), pa.array(cols, pa.int64()), pa.array(_joined_cells(rows, cols), pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["image", "row", "col", "component"])
+
+    whole = cells.select("image", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).distinct()
+    local = gathered(whole.withColumns({"_tr": at("row"), "_tc": at("col")}), ["image", "_tr", "_tc"], ["row", "col"]).mapInArrow(label, f"image {kind}, row long, col long, component long")
+    local = keep(local, "grid")
+    edge = local.where(f"pmod(`row`, {tile}) in (0, {tile - 1}) or pmod(col, {tile}) in (0, {tile - 1})")
+    own = edge.select("image", "row", "col", at("row").alias("_tr"), at("col").alias("_tc"), F.col("component").alias("a"))
+    near = _neighbours(own).where((at("row") != F.col("_tr")) | (at("col") != F.col("_tc")))
+    links = keep(near.join(edge.select("image", "row", "col", F.col("component").alias("b")), ["image", "row", "col"]).where("a != b").select("image", "a", "b").distinct(), "grid")
+    if not links.limit(1).count():
+        return local
+    labels = keep(links.select("image", F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "grid")
     while True:
-        offer = _neighbours(labels).groupBy(*names).agg(F.min("component").alias("_low"))
-        spread = labels.join(offer, names, "left").select(*names, F.col("component").alias("_was"), F.least("component", F.coalesce("_low", "component")).alias("component"))
-        at = labels.select("image", code.alias("component"), F.col("component").alias("_next"))
-        new = keep(spread.join(at, ["image", "component"], "left").select(*names, "_was", F.least("component", F.coalesce("_next", "component")).alias("component")), "grid")
-        labels = new.select(*names, "component")
-        if not new.where("_was != component").limit(1).count():
-            return labels
+        offer = links.join(labels.select("image", F.col("node").alias("b"), "label"), ["image", "b"]).groupBy("image", F.col("a").alias("node")).agg(F.min("label").alias("_low"))
+        spread = labels.join(offer, ["image", "node"]).select("image", "node", F.col("label").alias("_was"), F.least("label", "_low").alias("label"))
+        jump = labels.select("image", F.col("node").alias("label"), F.col("label").alias("_next"))
+        new = keep(spread.join(jump, ["image", "label"], "left").select("image", "node", "_was", F.least("label", F.coalesce("_next", "label")).alias("label")), "grid")
+        labels = new.select("image", "node", "label")
+        if not new.where("_was != label").limit(1).count():
+            break
+    return local.join(labels.withColumnRenamed("node", "component"), ["image", "component"], "left").select("image", "row", "col", F.coalesce("label", "component").alias("component"))
 
 
 def cluster_statistics(labelled: DataFrame) -> DataFrame:

@@ -39,6 +39,50 @@ def write_kitti(poses: DataFrame, path: str) -> None:
     poses.orderBy("t").coalesce(1).select(F.array_join(F.transform(F.slice("pose", 1, 12), lambda x: F.format_string("%.9e", x)), " ").alias("value")).write.text(path)
 
 
+def read_kitti(spark: SparkSession, path: str, times: str | None = None) -> DataFrame:
+    """(path, frame, pose array of 16) of files with twelve numbers a line; with a file of times, one a line, also t. Frames
+    are counted by lines, so a file is read by one task; lines that are not twelve numbers are left out, and count."""
+
+    def numbered(name: str) -> DataFrame:
+        files = spark.read.text(name, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\\r?\\n")).alias("frame", "line"))
+        return files.select("path", F.col("frame").cast("long").alias("frame"), F.split(F.trim("line"), r"\s+").alias("w"))
+
+    numbers = F.transform("w", lambda x: x.try_cast("double"))
+    rows = numbered(path).select("path", "frame", numbers.alias("v")).where("size(v) = 12 and not exists(v, x -> x is null)")
+    poses_ = rows.select("path", "frame", F.concat("v", F.array(*[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)])).alias("pose"))
+    if times is None:
+        return poses_
+    stamps = numbered(times).select("frame", F.col("w")[0].try_cast("double").alias("t")).where("t is not null")
+    return poses_.join(stamps, "frame").select("path", "frame", "t", "pose")
+
+
+def write_messages(messages: DataFrame, path: str) -> None:
+    """A message file: one JSON object a line, in log order within each part, with all columns; nulls are left out."""
+    messages.write.json(path)
+
+
+def read_messages(spark: SparkSession, path: str, schema: str, topics: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """Messages of files that write_messages wrote, of the given topics and classes (`kind`) where they are named. Lines that are
+    no objects, or lack topic and time, are left out."""
+    rows = spark.read.schema(schema).json(path).where("topic is not null and t is not null")
+    rows = rows.where(F.col("topic").isin(*topics)) if topics else rows
+    return rows.where(F.col("kind").isin(*kinds)) if kinds else rows
+
+
+def ground_truth(messages: DataFrame, topic: str) -> DataFrame:
+    """The TUM columns of a log's pose messages of one topic, the first of each time; ready for write_tum."""
+    rows = messages.where(F.col("topic") == topic).where(" and ".join(f"{c} is not null" for c in TUM))
+    first = rows.groupBy("t").agg(F.min_by(F.struct(*TUM[1:]), "arrival").alias("p"))
+    return first.select("t", "p.*")
+
+
+def log_run(spark: SparkSession, path: str, name: str, parameters: dict, results: dict | None = None) -> None:
+    """Adds one run to a log of runs: a JSON object with its name, time, parameters and results, as texts."""
+    text = lambda d: {str(k): str(v) for k, v in (d or {}).items()}
+    row = spark.createDataFrame([(name, text(parameters), text(results))], "name string, parameters map<string, string>, results map<string, string>")
+    row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(path)
+
+
 def inject_before(odometry: DataFrame, clouds: DataFrame, lead: float = 0.01) -> DataFrame:
     """Both message tables as one log, in which an odometry message stands `lead` seconds before its time."""
     return odometry.withColumn("log_t", F.col("t") - lead).unionByName(clouds.withColumn("log_t", F.col("t")), allowMissingColumns=True)
@@ -50,18 +94,27 @@ def restamp(messages: DataFrame, header: str = "header_t", topics: list[str] | N
     return messages.withColumn("t", F.coalesce(header, "t"))
 
 
+#: Edge tags of graph files, numbers in their measurement, and parameter ids before it.
+EDGES = {"EDGE_SE2": (3, 0), "EDGE_SE2_XY": (2, 0), "EDGE_SE2_BEARING": (1, 0), "EDGE_SE3:QUAT": (7, 0), "EDGE_SE3_XYZ": (3, 0), "EDGE_SE3_TRACKXYZ": (3, 1)}
+
+
 def read_g2o(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(variables, factors) of pose graphs in 2-D and 3-D: variable (id, type, status, estimate), factor (type, variables,
-    measurement, information as the upper triangle by rows). FIX lines set the status."""
+    """(variables, factors) of graphs in 2-D and 3-D, poses and landmarks: variable (id, type, status, estimate), factor (type,
+    variables, parameters, measurement, information as the upper triangle by rows). FIX lines set the status. Edges whose
+    measurement is taken through a sensor offset name it after the variables (`parameters`)."""
     words = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("w"))
     numbers = lambda start, size=None: F.transform(F.slice("w", start, size if size else F.greatest(F.size("w") - (start - 1), F.lit(0))), lambda x: x.cast("double"))
     tag = F.col("w")[0]
     fixed = words.where(tag == "FIX").select(F.explode(F.slice("w", F.lit(2), F.size("w") - 1)).alias("id")).select(F.col("id").cast("long").alias("id")).distinct().withColumn("_fixed", F.lit(True))
     variables = words.where(tag.startswith("VERTEX")).select(F.col("w")[1].cast("long").alias("id"), tag.alias("type"), numbers(3).alias("estimate"))
     variables = variables.join(fixed, "id", "left").select("id", "type", F.when(F.col("_fixed"), "fixed").otherwise("active").alias("status"), "estimate")
-    size = F.when(tag.contains("SE3"), 7).otherwise(3)
-    edges = words.where(tag.startswith("EDGE")).withColumn("_n", size)
-    factors = edges.select(tag.alias("type"), F.array(F.col("w")[1].cast("long"), F.col("w")[2].cast("long")).alias("variables"), F.transform(F.slice("w", F.lit(4), F.col("_n")), lambda x: x.cast("double")).alias("measurement"), F.transform(F.slice("w", F.col("_n") + 4, F.size("w") - F.col("_n") - 3), lambda x: x.cast("double")).alias("information"))
+    edges = words.where(tag.isin(*EDGES))
+    table = F.create_map(*[x for name, sizes in EDGES.items() for x in (F.lit(name), F.array(*map(F.lit, sizes)))])
+    edges = edges.withColumn("_s", table[tag])
+    n, skip = F.col("_s")[0], F.col("_s")[1]
+    part = lambda start, count: F.transform(F.slice("w", start, count), lambda x: x.cast("double"))
+    rest = F.size("w") - 3 - skip - n
+    factors = edges.select(tag.alias("type"), F.array(F.col("w")[1].cast("long"), F.col("w")[2].cast("long")).alias("variables"), F.transform(F.slice("w", F.lit(4), skip), lambda x: x.cast("long")).alias("parameters"), part(4 + skip, n).alias("measurement"), part(4 + skip + n, rest).alias("information"))
     return variables, factors
 
 
@@ -70,7 +123,8 @@ def write_g2o(variables: DataFrame, factors: DataFrame, path: str) -> None:
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
     v = variables.select(F.lit(0).alias("k"), F.col("id"), F.concat_ws(" ", "type", "id", text("estimate")).alias("value"))
     fix = variables.where("status = 'fixed'").select(F.lit(1).alias("k"), F.col("id"), F.concat(F.lit("FIX "), F.col("id").cast("string")).alias("value"))
-    e = factors.select(F.lit(2).alias("k"), F.col("variables")[0].alias("id"), F.concat_ws(" ", "type", text("variables"), text("measurement"), text("information")).alias("value"))
+    e = factors.select(F.lit(2).alias("k"), F.col("variables")[0].alias("id"), F.concat_ws(" ", "type", text("variables"), *([text("parameters")] if "parameters" in factors.columns else []), text("measurement"), text("information")).alias("value"))
+    e = e.withColumn("value", F.regexp_replace("value", " +", " "))
     v.unionByName(fix).unionByName(e).orderBy("k", "id").select("value").write.text(path)
 
 

@@ -189,3 +189,20 @@ def test_correspondences_skip_what_has_no_partner(spark):
     pairs = spark.createDataFrame([(0, 1), (1, -1), (-1, 2), (2, 9), (3, 3)], "fixed_idx int, moving_idx int")
     got = sorted((r.fixed_idx, r.moving_idx, r.fixed.x, r.moving.x) for r in associate.correspond(pairs, points, points, "point_id").collect())
     assert got == [(0, 1, 0.0, 1.0), (3, 3, 3.0, 3.0)]
+
+
+@pytest.mark.parametrize("tile", [3, 256])
+def test_components_over_tiles(spark, tile):
+    rng = np.random.default_rng(8)
+    a = rng.random((14, 17)) < 0.42
+    cells = spark.createDataFrame([(0, r, c) for r in range(14) for c in range(17) if a[r, c]], "image int, row long, col long")
+    got = {(r.row, r.col): r.component for r in grids.components(cells, tile).collect()}
+    want, todo = {}, sorted(zip(*map(lambda x: x.tolist(), np.nonzero(a)), strict=True))
+    for start in todo:
+        stack = [start]
+        while stack:
+            x = stack.pop()
+            if x not in want:
+                want[x] = (start[0] << 32) + start[1]
+                stack += [(x[0] + i, x[1] + j) for i, j, _ in grids._STEPS if 0 <= x[0] + i < 14 and 0 <= x[1] + j < 17 and a[x[0] + i, x[1] + j]]
+    assert got == want

@@ -86,3 +86,42 @@ def test_streams_equal_batches(spark, log, tmp_path):
     sent = {(r.stream, r.arrival) for r in got.collect()}
     held = {s: [a for a in own if (s, a) not in sent] for s, own in whole.items()}
     assert len(sent) > 500 and all(own == whole[s][len(whole[s]) - len(own) :] for s, own in held.items())
+
+
+def test_landmark_graphs_are_read_back(spark, tmp_path):
+    text = """VERTEX_SE2 0 1 2 0.5
+VERTEX_XY 1 3 4
+FIX 0
+EDGE_SE2_XY 0 1 2.5 1.5 10 0 20
+VERTEX_SE3:QUAT 2 0 0 0 0 0 0 1
+VERTEX_TRACKXYZ 3 1 2 3
+PARAMS_SE3OFFSET 7 0 0 0 0 0 0 1
+EDGE_SE3_TRACKXYZ 2 3 7 1 2 3 1 0 0 1 0 1
+"""
+    (tmp_path / "a.g2o").write_text(text)
+    variables, factors = formats.read_g2o(spark, str(tmp_path / "a.g2o"))
+    assert {r.id: (r.type, r.status, r.estimate) for r in variables.collect()} == {0: ("VERTEX_SE2", "fixed", [1.0, 2.0, 0.5]), 1: ("VERTEX_XY", "active", [3.0, 4.0]), 2: ("VERTEX_SE3:QUAT", "active", [0.0] * 6 + [1.0]), 3: ("VERTEX_TRACKXYZ", "active", [1.0, 2.0, 3.0])}
+    got = {r.type: (r.variables, r.parameters, r.measurement, r.information) for r in factors.collect()}
+    assert got == {"EDGE_SE2_XY": ([0, 1], [], [2.5, 1.5], [10.0, 0.0, 20.0]), "EDGE_SE3_TRACKXYZ": ([2, 3], [7], [1.0, 2.0, 3.0], [1.0, 0.0, 0.0, 1.0, 0.0, 1.0])}
+    formats.write_g2o(variables, factors, str(tmp_path / "b"))
+    again = formats.read_g2o(spark, str(tmp_path / "b"))
+    assert sorted(map(str, again[1].collect())) == sorted(map(str, factors.collect())) and sorted(map(str, again[0].collect())) == sorted(map(str, variables.collect()))
+
+
+def test_kitti_message_and_run_files(spark, tmp_path):
+    (tmp_path / "poses.txt").write_text("1 0 0 5 0 1 0 6 0 0 1 7\nbad\n1 0 0 8 0 1 0 9 0 0 1 10\n")
+    (tmp_path / "times.txt").write_text("0.5\n0.6\n0.7\n")
+    got = [(r.frame, r.t, r.pose) for r in formats.read_kitti(spark, str(tmp_path / "poses.txt"), str(tmp_path / "times.txt")).orderBy("frame").collect()]
+    assert got == [(0, 0.5, [1.0, 0, 0, 5, 0, 1, 0, 6, 0, 0, 1, 7, 0, 0, 0, 1]), (2, 0.7, [1.0, 0, 0, 8, 0, 1, 0, 9, 0, 0, 1, 10, 0, 0, 0, 1])]
+    schema = "topic string, kind string, t double, arrival long, " + ", ".join(f"{c} double" for c in formats.TUM[1:])
+    rows = [("/odom", "Odometry", 1.0, 0, *[0.0] * 6, 1.0), ("/odom", "Odometry", 1.0, 1, *[9.0] * 6, 1.0), ("/cloud", "Cloud", 2.0, 2, *[None] * 7), ("/odom", "Odometry", 3.0, 3, *[2.0] * 6, 1.0)]
+    df = spark.createDataFrame(rows, schema)
+    formats.write_messages(df, str(tmp_path / "log"))
+    (tmp_path / "log" / "part-99999.json").write_text("not an object\n{}\n")
+    assert sorted(map(str, formats.read_messages(spark, str(tmp_path / "log"), schema).collect())) == sorted(map(str, df.collect()))
+    assert formats.read_messages(spark, str(tmp_path / "log"), schema, ["/cloud"], ["Cloud"]).count() == 1
+    assert [(r.t, r.tx) for r in formats.ground_truth(df, "/odom").orderBy("t").collect()] == [(1.0, 0.0), (3.0, 2.0)]
+    for i in range(2):
+        formats.log_run(spark, str(tmp_path / "runs"), f"run{i}", {"leaf_size": 0.2, "iterations": i}, {"chi": 1.5})
+    logged = spark.read.schema("name string, parameters map<string, string>, results map<string, string>, at timestamp").json(str(tmp_path / "runs")).collect()
+    assert {(r.name, r.parameters["iterations"], r.results["chi"]) for r in logged} == {("run0", "0", "1.5"), ("run1", "1", "1.5")} and all(r["at"] for r in logged)
