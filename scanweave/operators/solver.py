@@ -1,12 +1,14 @@
 """Generic non-linear least squares over factor tables: Gauss-Newton, Levenberg-Marquardt, dog-leg, line search.
 
 Factors stay distributed: each task evaluates its factors in batches and adds up its share of the normal equations; sums
-over blocks are taken by Spark, and the driver solves one sparse block system per step. Estimates of variables are
-broadcast for each step; a graph whose variables outgrow that should be solved by views.
+over blocks are taken by Spark, and the driver factorises one sparse block system per step, in memory that grows with the
+graph and its fill-in, not with its square. Estimates of variables are broadcast for each step; a graph whose variables
+outgrow that should be solved by views.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,6 +100,69 @@ def _linearise(estimates, options: Options, derivatives: bool):
     return run
 
 
+class Blocks:
+    """A symmetric matrix of blocks, of which only those that factors couple are held, and its factorisation.
+
+    Variables are eliminated in the order of their number of neighbours at that time, smallest first, which keeps new blocks
+    few: a chain of poses with closures stays nearly as sparse as its graph.
+    """
+
+    def __init__(self, at: dict[int, slice], n: int):
+        self.at, self.n = at, n
+        self.blocks: dict[int, dict[int, np.ndarray]] = {i: {i: np.zeros((own.stop - own.start,) * 2)} for i, own in at.items()}
+
+    def add(self, i: int, j: int, block: np.ndarray) -> None:
+        for a, c, m in ((i, j, block), (j, i, block.T))[: 1 if i == j else 2]:
+            self.blocks[a][c] = self.blocks[a][c] + m if c in self.blocks[a] else m
+
+    def diagonal(self) -> np.ndarray:
+        return np.concatenate([np.diag(self.blocks[i][i]) for i in self.at])
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x)
+        for i, row in self.blocks.items():
+            for j, m in row.items():
+                out[self.at[i]] += m @ x[self.at[j]]
+        return out
+
+    def factor(self, extra: np.ndarray):
+        """A function that solves (H + diag(extra)) x = b for any b."""
+        rows = {i: dict(row) for i, row in self.blocks.items()}
+        for i, own in self.at.items():
+            rows[i][i] = rows[i][i] + np.diag(extra[own])
+        queue = [(len(row), i) for i, row in rows.items()]
+        heapq.heapify(queue)
+        steps = []
+        while queue:
+            size, i = heapq.heappop(queue)
+            if i not in rows or len(rows[i]) != size:
+                continue  # its neighbours have changed since; a newer entry stands for it
+            row = rows.pop(i)
+            inverse = np.linalg.inv(row.pop(i))
+            down = [(j, m.T @ inverse) for j, m in row.items()]
+            for j, left in down:
+                del rows[j][i]
+                for k, m in row.items():
+                    change = left @ m
+                    rows[j][k] = rows[j][k] - change if k in rows[j] else -change
+            for j in row:
+                heapq.heappush(queue, (len(rows[j]), j))
+            steps.append((self.at[i], inverse, [(self.at[j], left) for j, left in down]))
+
+        def solve(b: np.ndarray) -> np.ndarray:
+            x = b.astype(float).copy()
+            for own, _, down in steps:
+                for place, left in down:
+                    x[place] -= left @ x[own]
+            for own, inverse, down in reversed(steps):
+                x[own] = inverse @ x[own]
+                for place, left in down:
+                    x[own] -= left.T @ x[place]
+            return x
+
+        return solve
+
+
 class Problem:
     """Variables (variable_id, type, status, estimate) and factors (FACTOR, and `enabled` if there is one)."""
 
@@ -119,23 +184,19 @@ class Problem:
         held.unpersist()
         return out
 
-    def system(self, rows: list) -> tuple[np.ndarray, np.ndarray, dict[int, slice]]:
-        """Dense H and b over the active variables that factors touch, and their places."""
+    def system(self, rows: list) -> tuple[Blocks, np.ndarray, dict[int, slice]]:
+        """Sparse H and b over the active variables that factors touch, and their places."""
         used = sorted({r["i"] for r in rows if r["i"] >= 0 and r["i"] == r["j"]})
         at, n = {}, 0
         for i in used:
             at[i] = slice(n, n := n + VARIABLES[self.types[i]].dof)
-        h, b = np.zeros((n, n)), np.zeros(n)
+        h, b = Blocks(at, n), np.zeros(n)
         for r in rows:
-            if r["i"] < 0:
-                continue
-            a, c = at[r["i"]], at[r["j"]]
-            m = np.array(r["h"]).reshape(a.stop - a.start, c.stop - c.start)
-            h[a, c] += m
-            if a != c:
-                h[c, a] += m.T
-            else:
-                b[a] += r["b"]
+            if r["i"] >= 0:
+                a, c = at[r["i"]], at[r["j"]]
+                h.add(r["i"], r["j"], np.array(r["h"]).reshape(a.stop - a.start, c.stop - c.start))
+                if r["i"] == r["j"]:
+                    b[a] += r["b"]
         return h, b, at
 
     def moved(self, step: np.ndarray, at: dict[int, slice]) -> dict:
@@ -157,24 +218,28 @@ class Problem:
             if not len(b):
                 break
             step, accepted, after = np.zeros_like(b), False, before
-            scale = np.diag(np.diag(h)) if o.scaled else np.eye(len(b))
-            tiny = 1e-12 * max(np.trace(h) / len(b), 1e-300) * np.eye(len(b))
+            diagonal = h.diagonal()
+            scale = diagonal if o.scaled else np.ones(len(b))
+            tiny = 1e-12 * max(diagonal.mean(), 1e-300) * np.ones(len(b))
+            newton = None
             for _ in range(o.trials if o.algorithm != "gn" else 1):
-                if o.algorithm == "dogleg":
-                    step = _dogleg(h + tiny, b, radius)
+                if o.algorithm in ("lm", "gn"):
+                    step = h.factor(tiny + damping * scale)(b)
                 else:
-                    step = np.linalg.solve(h + tiny + (damping * scale if o.algorithm in ("lm", "gn") else 0), b)
+                    newton = h.factor(tiny)(b) if newton is None else newton
+                    step = _dogleg(h, b, newton, radius) if o.algorithm == "dogleg" else newton
                 share = 1.0
                 if o.algorithm == "linesearch":
                     while share > 1e-4 and self.cost(self.moved(share * step, at)) > before - 1e-4 * share * (b @ step):
                         share /= 2
                 x = self.moved(share * step, at)
                 after = self.cost(x)
-                expected = step @ (2 * b - h @ step)
+                expected = step @ (2 * b - h.times(step))
                 gain = (before - after) / expected if expected > 0 else -1.0
                 if o.algorithm in ("gn", "linesearch") or gain > 0:
                     self.x, accepted = x, True
-                    damping *= float(np.clip(1 - (2 * gain - 1) ** 3, 1 / 3, 2 / 3))
+                    if o.algorithm == "lm":
+                        damping *= float(np.clip(1 - (2 * gain - 1) ** 3, 1 / 3, 2 / 3))
                     grow, radius = 2.0, radius * (2.0 if gain > 0.75 else 0.5 if gain < 0.25 else 1.0)
                     break
                 damping, grow, radius = damping * grow, grow * 2, radius / 4
@@ -184,19 +249,23 @@ class Problem:
         rows = [(i, self.types[i], "fixed" if i in self.fixed else "active", self.x[i].tolist()) for i in self.x]
         return self.spark.createDataFrame(rows, "variable_id long, type string, status string, estimate array<double>")
 
-    def marginals(self) -> dict[int, np.ndarray]:
-        """Covariance blocks of the active variables at the estimates as they are."""
-        h, _, at = self.system(self.sums(self.x))
-        c = np.linalg.inv(h)
-        return {i: c[own, own] for i, own in at.items()}
+    def marginals(self, ids: list[int] | None = None) -> dict[int, np.ndarray]:
+        """Covariance blocks of active variables, all or those named, at the estimates as they are: columns of the inverse, from
+        one factorisation."""
+        h, b, at = self.system(self.sums(self.x))
+        solve, out = h.factor(np.zeros(len(b))), {}
+        for i in at if ids is None else ids:
+            unit = np.zeros((len(b), at[i].stop - at[i].start))
+            unit[at[i]] = np.eye(unit.shape[1])
+            out[i] = np.stack([solve(u)[at[i]] for u in unit.T], axis=-1)
+        return out
 
 
-def _dogleg(h: np.ndarray, b: np.ndarray, radius: float) -> np.ndarray:
+def _dogleg(h: Blocks, b: np.ndarray, newton: np.ndarray, radius: float) -> np.ndarray:
     """The step towards the Gauss-Newton point along the steepest descent's bend, inside the radius."""
-    newton = np.linalg.solve(h, b)
     if np.linalg.norm(newton) <= radius:
         return newton
-    steep = b * (b @ b) / (b @ h @ b)
+    steep = b * (b @ b) / (b @ h.times(b))
     if np.linalg.norm(steep) >= radius:
         return steep * radius / np.linalg.norm(steep)
     d = newton - steep

@@ -44,7 +44,9 @@ def bundle_adjust(spark, sf_dir):
 
 @query()
 def lm_solve(spark, sf_dir):
-    variables, factors = simulate.pose_graph(spark, simulate.manhattan(20), noise=0.005)
+    """A walk of as many poses as there are suppliers, 20 at least."""
+    poses = max(20, views.table(spark, sf_dir, "supplier").count())
+    variables, factors = simulate.pose_graph(spark, simulate.manhattan(poses), noise=0.005)
     return solver.Problem(variables, factors, solver.Options("lm", iterations=3)).solve()
 
 

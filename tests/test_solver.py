@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from scanweave.functions import geometry as g
+from scanweave.functions import geometry as g, simulate
 from scanweave.operators import factors as fa
 from scanweave.operators.solver import Options, Problem, initialise
 
@@ -125,3 +125,37 @@ def test_imu_preintegration_and_factor():
     z = np.concatenate([d["rotation"].ravel(), d["velocity"], d["position"], [t]])[None]
     e = fa.FACTORS["imu"].residual(x.reshape(1, 16), v[None], y.reshape(1, 16), w[None], np.zeros((1, 6)), np.zeros((1, 6)), z)
     assert np.abs(e).max() < 1e-9
+
+
+def test_sparse_factorisation_equals_the_dense_solution():
+    from scanweave.operators.solver import Blocks
+
+    rng = np.random.default_rng(9)
+    dofs = rng.integers(1, 4, 40)
+    ends = np.cumsum(dofs)
+    at = {int(i): slice(int(e - d), int(e)) for i, (e, d) in enumerate(zip(ends, dofs, strict=True))}
+    blocks, dense = Blocks(at, int(ends[-1])), np.zeros((ends[-1], ends[-1]))
+    for i, j in [(i, i + 1) for i in range(39)] + [tuple(sorted(map(int, rng.choice(40, 2, replace=False)))) for _ in range(25)]:
+        m = rng.normal(size=(3, dofs[i] + dofs[j]))
+        for a, ma in ((i, m[:, : dofs[i]]), (j, m[:, dofs[i] :])):
+            blocks.add(a, a, ma.T @ ma)
+            dense[at[a], at[a]] += ma.T @ ma
+        own = m[:, : dofs[i]].T @ m[:, dofs[i] :]
+        blocks.add(i, j, own)
+        dense[at[i], at[j]] += own
+        dense[at[j], at[i]] += own.T
+    b, extra = rng.normal(size=ends[-1]), np.full(ends[-1], 0.1)
+    assert np.allclose(blocks.times(b), dense @ b) and np.allclose(blocks.diagonal(), np.diag(dense))
+    assert np.allclose(blocks.factor(extra)(b), np.linalg.solve(dense + np.diag(extra), b))
+
+
+def test_two_thousand_poses_need_no_dense_matrix(spark):
+    import tracemalloc
+
+    variables, factors = simulate.pose_graph(spark, simulate.manhattan(2000), noise=0.001)
+    problem = Problem(variables, factors, Options("gn", iterations=2))
+    tracemalloc.start()
+    problem.solve()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert problem.history[-1]["after"] < 1e-2 * problem.history[0]["before"] and peak < 600e6  # 12,000 unknowns: 1,152 MB dense
