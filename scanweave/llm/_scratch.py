@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +23,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Session setting that names the folder of the run whose tables are being written.
+RUN = "spark.scanweave.run"
+
+
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{spark.conf.get(RUN, None) or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder in the shared one for all tables that operators write inside the block. What an operator returns reads them
+    lazily, so the caller drops the folder after having written or used that."""
+    before = spark.conf.get(RUN, None)
+    folder = f"{before or shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    spark.conf.set(RUN, folder)
+    try:
+        yield folder
+    finally:
+        spark.conf.set(RUN, before) if before else spark.conf.unset(RUN)
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, through the file system that Spark sees."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

@@ -182,7 +182,8 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, p_good per row of docs.
 
     Null or empty text: all counts 0, base_failed. Repeated rows are judged alike. Ties (p_good equal to the threshold)
-    are kept. Empty table: no rows. Other columns are not read.
+    are kept. A long text is counted whole, in one row of one task. Empty table: no rows. Other columns are not read, whatever
+    their names.
     """
     stats = keep(measured(docs.select("doc_id", "text")).drop("text"), "quality-stats")
     model = fit(stats)

@@ -130,3 +130,17 @@ def test_empty_table(spark, docs, tmp_path):
 def test_queries_are_registered():
     names = [n.split("_")[0] for n in queries.queries()]
     assert names == [f"op{i}" for i in range(1, 11)] and set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_run_folders_are_dropped(spark):
+    import os
+
+    from scanweave.llm import _scratch
+
+    base = _scratch.shared_dir(spark).removeprefix("file://")
+    with _scratch.run_folder(spark) as folder:
+        kept = _scratch.keep(spark.range(5).toDF("x"), "inside")
+        assert folder in kept.inputFiles()[0]
+    assert kept.count() == 5 and spark.conf.get(_scratch.RUN, None) is None
+    _scratch.drop(spark, folder)
+    assert not os.path.exists(f"{base}/{folder.rsplit('/', 1)[-1]}")
