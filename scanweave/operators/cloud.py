@@ -74,6 +74,12 @@ def unproject_pinhole(pixels: DataFrame, fx: float, fy: float, cx: float, cy: fl
     return pixels.withColumns({"x": x, "y": y, "z": F.col("depth")})
 
 
+def unproject_spherical(pixels: DataFrame, rows: int, cols: int, vertical: tuple[float, float] = (-pi / 2, pi / 2)) -> DataFrame:
+    """x, y, z of pixel centres (row, col, depth) of a spherical sensor; the other way round of project_spherical."""
+    angles = {"azimuth": (F.col("col") + 0.5) / cols * (2 * pi) - pi, "elevation": (F.col("row") + 0.5) / rows * (vertical[1] - vertical[0]) + vertical[0], "range": F.col("depth")}
+    return from_polar(pixels.withColumns(angles)).drop(*angles)
+
+
 def depth_buffer(projected: DataFrame, keys: list[str]) -> DataFrame:
     """The nearest point of each pixel; among equal depths the larger point_id."""
     best = F.min_by(F.struct("point_id", "depth"), F.struct("depth", -F.col("point_id"))).alias("best")
@@ -130,6 +136,33 @@ def extents(points: DataFrame, keys: list[str], columns: tuple[str, ...] = XYZ)
     return points.groupBy(*keys).agg(*[(F.max(F.greatest(F.col(c), F.lit(0.0))) - F.min(F.least(F.col(c), F.lit(0.0)))).alias(f"extent_{c}") for c in columns])
 
 
+def oriented_extents(points: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """The size of each group's box around its mean, in the axes of its own frame (keys, axes ARRAY<DOUBLE>(9), one axis a row)."""
+    centres = points.groupBy(*keys).agg(*[F.avg(c).alias(f"_m{c}") for c in XYZ])
+    each = points.join(centres.join(frames.select(*keys, "axes"), keys), keys)
+    local = [sum((F.col("axes")[3 * i + j] * (F.col(c) - F.col(f"_m{c}")) for j, c in enumerate(XYZ)), F.lit(0.0)) for i in range(3)]
+    return extents(each.withColumns(dict(zip(("u", "v", "w"), local, strict=True))), keys, ("u", "v", "w"))
+
+
+def weighted_moments(points: DataFrame, keys: list[str], mean_weight: str, weight: str) -> DataFrame:
+    """Mean by one weight and covariance about it by another, as from sigma points; weights need not add up to 1.
+
+    One pass of sums, taken about the group's plain mean, so that far groups lose no digits.
+    """
+    pairs = [(a, b) for i, a in enumerate(XYZ) for b in XYZ[i:]]
+    centres = points.groupBy(*keys).agg(*[F.avg(c).alias(f"_m{c}") for c in XYZ])
+    near = points.join(centres, keys).withColumns({f"_d{c}": F.col(c) - F.col(f"_m{c}") for c in XYZ})
+    wm, wc = F.col(mean_weight), F.col(weight)
+    firsts = [F.first(f"_m{c}").alias(f"_m{c}") for c in XYZ]
+    sums = [F.sum(wm * F.col(f"_d{c}")).alias(f"_a{c}") for c in XYZ] + [F.sum(wc * F.col(f"_d{c}")).alias(f"_b{c}") for c in XYZ]
+    squares = [F.sum(wc * F.col(f"_d{a}") * F.col(f"_d{b}")).alias(f"_s{a}{b}") for a, b in pairs]
+    g = near.groupBy(*keys).agg(F.sum(wm).alias("_wm"), F.sum(wc).alias("_wc"), *firsts, *sums, *squares)
+    # e is the weighted mean less the plain one, with weights that need not add up to 1
+    e = {c: F.col(f"_a{c}") + (F.col("_wm") - 1) * F.col(f"_m{c}") for c in XYZ}
+    covariance = [(F.col(f"_s{a}{b}") - F.col(f"_b{a}") * e[b] - F.col(f"_b{b}") * e[a] + F.col("_wc") * e[a] * e[b]).alias(f"cov_{a}{b}") for a, b in pairs]
+    return g.select(*keys, *[(F.col(f"_m{c}") + e[c]).alias(f"mean_{c}") for c in XYZ], *covariance)
+
+
 def integral_image(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Two-dimensional prefix sums of (row, col, value): along rows, then along columns."""
     across = Window.partitionBy(*keys, "row").orderBy("col")

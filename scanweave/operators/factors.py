@@ -31,6 +31,8 @@ class Factor:
 
 VARIABLES: dict[str, Variable] = {}
 FACTORS: dict[str, Factor] = {}
+#: Factor types whose residuals are to be zero (equality) or at most zero (inequality).
+CONSTRAINTS: dict[str, str] = {}
 
 
 def variable(name: str, size: int, dof: int):
@@ -462,6 +464,35 @@ def _(a, va, b, vb, bias_a, bias_b, z):
     return np.hstack([rotation, velocity, position, bias_b - bias_a])
 
 
+# constraints
+
+
+def constraint(name: str, variables: tuple[str, ...], size: int, kind: str):
+    def add(f):
+        CONSTRAINTS[name] = kind
+        return factor(name, variables, size)(f)
+
+    return add
+
+
+@constraint("se2_circle_constraint", ("se2",), 1, "equality")
+def _(x, z):
+    """The pose lies on the circle of radius z around the origin."""
+    return (x[:, :2] ** 2).sum(axis=1, keepdims=True) - z[:, :1] ** 2
+
+
+@constraint("se2_range_constraint", ("se2", "point2"), 1, "inequality")
+def _(x, p, z):
+    """The point is at least z away from the pose."""
+    return z[:, :1] - np.linalg.norm(p - x[:, :2], axis=1, keepdims=True)
+
+
+@constraint("so3_orthonormal_constraint", ("so3_relaxed",), 9, "equality")
+def _(x, z):
+    m = x.reshape(-1, 3, 3)
+    return (m @ np.swapaxes(m, 1, 2) - np.eye(3)).reshape(-1, 9)
+
+
 def evaluate(kind: str, estimates: list[np.ndarray], measurement: np.ndarray, derivatives: bool = True, step: float = 1e-6) -> tuple[np.ndarray, list[np.ndarray]]:
     """Residuals (batch, size) and for each variable the derivatives (batch, size, dof)."""
     f = FACTORS[kind]

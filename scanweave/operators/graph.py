@@ -24,6 +24,11 @@ def active_variables(active: DataFrame, edges: DataFrame, variables: DataFrame,
     return ordinal(found, ["variable_id"], F.floor(F.col("variable_id") / bucket), name="index")
 
 
+def level_order(factors: DataFrame, bucket: int = 1_000_000) -> DataFrame:
+    """factors with the place of each among those of its level, in id order; ids are ordered in buckets, not in one task."""
+    return ordinal(factors, ["factor_id"], F.floor(F.col("factor_id") / bucket), ["level"], "place")
+
+
 def missing_variables(edges: DataFrame, variables: DataFrame) -> DataFrame:
     """Edges whose variable does not exist; a graph that has any cannot be bound."""
     return edges.join(variables.select("variable_id"), "variable_id", "left_anti")

@@ -44,6 +44,13 @@ def drop_late(messages: DataFrame, time: str, arrival: str, oblivion: int, bucke
     return seen.where(F.col("_latest").isNull() | (F.col(time) >= F.col("_latest") - oblivion)).drop("_latest")
 
 
+def late_counts(messages: DataFrame, time: str, arrival: str, oblivion: int, bucket: Column, keys: list[str] = ("topic",)) -> DataFrame:
+    """(keys, n_messages, n_dropped): what drop_late leaves out, counted."""
+    seen = running_max_before(messages, [arrival], bucket, time, name="_latest")
+    late = F.coalesce(F.col(time) < F.col("_latest") - oblivion, F.lit(False))
+    return seen.groupBy(*keys).agg(F.count("*").alias("n_messages"), F.count(F.when(late, 1)).alias("n_dropped"))
+
+
 def bracket(queries: DataFrame, samples: DataFrame, time: str, value: str, keys: list[str] = (), bucket: int | float = 3_600_000_000) -> DataFrame:
     """queries with `before` and `after`: the samples (t, v) at or next to their time on both sides; null outside them.
 

@@ -1,4 +1,4 @@
-"""Generic non-linear least squares over factor tables: Gauss-Newton, Levenberg-Marquardt, dog-leg, line search.
+"""Generic non-linear least squares over factor tables: Gauss-Newton, Levenberg-Marquardt, dog-legs, line search, by levels.
 
 Factors stay distributed: each task evaluates its factors in batches and adds up its share of the normal equations; sums
 over blocks are taken by Spark, and the driver factorises one sparse block system per step, in memory that grows with the
@@ -25,7 +25,7 @@ PARTIAL = "i long, j long, h array<double>, b array<double>, chi double, cost do
 
 @dataclass
 class Options:
-    algorithm: str = "lm"  # gn, lm, dogleg or linesearch
+    algorithm: str = "lm"  # gn, lm, dogleg, double_dogleg or linesearch
     iterations: int = 50
     kernel: str | None = None
     threshold: float = 1.0
@@ -35,6 +35,9 @@ class Options:
     min_change: float = 1e-9
     min_step: float = 1e-12
     radius: float = 100.0
+    criterion: str | None = None  # chi, step, gradient, step_violation or gradient_violation; None: min_change and min_step
+    epsilon: float = 1e-6
+    epsilon_violation: float = 1e-6
 
 
 def robust(chi: np.ndarray, kernel: str | None, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -63,39 +66,54 @@ def _information(rows: list, size: int) -> np.ndarray:
     return out
 
 
+def batches_of(frame: pd.DataFrame, held: dict) -> Iterator[tuple]:
+    """The factors of a frame by type: (type, their rows, variable ids, estimates of each variable, measurements)."""
+    for kind, group in frame.groupby("type"):
+        ids = np.array(group["variables"].tolist()).reshape(len(group), -1)
+        x = [np.array([held[i][1] for i in ids[:, k]]) for k in range(ids.shape[1])]
+        yield kind, group, ids, x, np.array(group["measurement"].tolist()).reshape(len(group), -1)
+
+
+def add_share(blocks: dict, rhs: dict, held: dict, ids: np.ndarray, jac: list, weighted: list, gradients: list) -> None:
+    """Adds a batch's blocks J^T W J and gradients to those of the task; fixed variables have none."""
+    for a, g in enumerate(gradients):
+        for b, wj in enumerate(weighted):
+            h = np.einsum("kid,kie->kde", jac[a], wj)
+            for k in range(len(ids)):
+                i, j = int(ids[k, a]), int(ids[k, b])
+                if held[i][2] or held[j][2] or i > j or (i == j and a > b):
+                    continue
+                blocks[i, j] = blocks.get((i, j), 0) + (h[k] if i != j or a == b else h[k] + h[k].T)
+        for k in range(len(ids)):
+            if not held[int(ids[k, a])][2]:
+                rhs[int(ids[k, a])] = rhs.get(int(ids[k, a]), 0) + g[k]
+
+
+def partial_rows(blocks: dict, rhs: dict, totals: np.ndarray) -> pd.DataFrame:
+    """A task's share: blocks, and in rows -1 and -2 the chi, cost and number of inliers and of outliers."""
+    rows = [(-1 - k, -1 - k, [], [], chi, cost, int(n)) for k, (chi, cost, n) in enumerate(totals)]
+    rows += [(i, j, h.ravel().tolist(), rhs[i].tolist() if i == j else [], 0.0, 0.0, 0) for (i, j), h in blocks.items()]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in PARTIAL.split(", ")])
+
+
 def _linearise(estimates, options: Options, derivatives: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = estimates.value
         blocks: dict[tuple[int, int], np.ndarray] = {}
         rhs: dict[int, np.ndarray] = {}
-        total = np.zeros(3)
+        totals = np.zeros((2, 3))
         for frame in frames:
-            for kind, group in frame.groupby("type"):
-                f = FACTORS[kind]
-                ids = np.array(group["variables"].tolist()).reshape(len(group), -1)
-                x = [np.array([held[i][1] for i in ids[:, k]]) for k in range(ids.shape[1])]
-                e, jac = evaluate(kind, x, np.array(group["measurement"].tolist()).reshape(len(group), -1), derivatives)
-                omega = _information(group["information"].tolist(), f.size)
+            for kind, group, ids, x, z in batches_of(frame, held):
+                e, jac = evaluate(kind, x, z, derivatives)
+                omega = _information(group["information"].tolist(), FACTORS[kind].size)
                 chi = np.einsum("ki,kij,kj->k", e, omega, e)
                 cost, weight = robust(chi, options.kernel, options.threshold)
-                total += chi.sum(), cost.sum(), len(e)
-                if not derivatives:
-                    continue
-                wj = [np.einsum("k,kij,kjd->kid", weight, omega, j) for j in jac]
-                for a in range(ids.shape[1]):
-                    g = -np.einsum("kid,ki->kd", wj[a], e)
-                    for b in range(ids.shape[1]):
-                        h = np.einsum("kid,kie->kde", jac[a], wj[b])
-                        for k in range(len(e)):
-                            i, j = int(ids[k, a]), int(ids[k, b])
-                            if held[i][2] or held[j][2] or i > j or (i == j and a > b):
-                                continue
-                            blocks[i, j] = blocks.get((i, j), 0) + (h[k] if i != j or a == b else h[k] + h[k].T)
-                    for k in range(len(e)):
-                        if not held[int(ids[k, a])][2]:
-                            rhs[int(ids[k, a])] = rhs.get(int(ids[k, a]), 0) + g[k]
-        rows = [(-1, -1, [], [], *total[:2], int(total[2]))] + [(i, j, h.ravel().tolist(), rhs[i].tolist() if i == j else [], 0.0, 0.0, 0) for (i, j), h in blocks.items()]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARTIAL.split(", ")])
+                for k, of in enumerate((cost == chi, cost != chi)):
+                    totals[k] += chi[of].sum(), cost[of].sum(), of.sum()
+                if derivatives:
+                    wj = [np.einsum("k,kij,kjd->kid", weight, omega, j) for j in jac]
+                    add_share(blocks, rhs, held, ids, jac, wj, [-np.einsum("kid,ki->kd", w, e) for w in wj])
+        yield partial_rows(blocks, rhs, totals)
 
     return run
 
@@ -176,11 +194,18 @@ class Problem:
         self.order = sorted(set(self.x) - self.fixed)
         self.history: list[dict] = []
 
-    def sums(self, x: dict, derivatives: bool = True) -> list:
-        held = self.spark.sparkContext.broadcast({i: (self.types[i], v, i in self.fixed) for i, v in x.items()})
-        parts = self.factors.select("type", "variables", "measurement", "information").mapInPandas(_linearise(held, self.options, derivatives), PARTIAL)
+    def held(self, x: dict):
+        """Type, estimate and whether it is fixed of each variable, for the tasks."""
+        return self.spark.sparkContext.broadcast({i: (self.types[i], v, i in self.fixed) for i, v in x.items()})
+
+    def added(self, parts: DataFrame) -> list:
+        """The shares of all tasks, added up by block."""
         add = lambda c: F.expr(f"aggregate(collect_list({c}), array_repeat(0D, size(first({c}))), (s, v) -> zip_with(s, v, (p, q) -> p + q))").alias(c)
-        out = parts.groupBy("i", "j").agg(add("h"), add("b"), F.sum("chi").alias("chi"), F.sum("cost").alias("cost"), F.sum("n").alias("n")).collect()
+        return parts.groupBy("i", "j").agg(add("h"), add("b"), F.sum("chi").alias("chi"), F.sum("cost").alias("cost"), F.sum("n").alias("n")).collect()
+
+    def sums(self, x: dict, derivatives: bool = True) -> list:
+        held = self.held(x)
+        out = self.added(self.factors.select("type", "variables", "measurement", "information").mapInPandas(_linearise(held, self.options, derivatives), PARTIAL))
         held.unpersist()
         return out
 
@@ -208,6 +233,40 @@ class Problem:
     def cost(self, x: dict) -> float:
         return sum(r["cost"] for r in self.sums(x, False) if r["i"] < 0)
 
+    def record(self, rows: list, b: np.ndarray, step: np.ndarray, before: float, after: float, accepted: bool, violation: float = 0.0) -> None:
+        """A row of the history: what the rows at the estimates before the step say, and the step."""
+        parts = {r["i"]: r for r in rows if r["i"] < 0}
+        counts = {f"{n}_{w}": parts[k][n] if k in parts else 0 for k, w in ((-1, "inliers"), (-2, "outliers")) for n in ("n", "chi")}
+        self.history.append({"before": before, "after": after, "step": float(np.linalg.norm(step)), "gradient": float(np.linalg.norm(b)), "accepted": accepted, "violation": violation, **counts})
+
+    def stopped(self) -> bool:
+        """Whether the criterion of the options holds after the last iteration.
+
+        chi: numbers of inliers and outliers are steady, and neither chi fell by more than the share epsilon. step: its norm is
+        at most epsilon. gradient: its norm is at most epsilon * (1 + sqrt(cost)). The forms with _violation also ask for a largest
+        violation of at most epsilon_violation.
+        """
+        o, now = self.options, self.history[-1]
+        name, _, violation = o.criterion.partition("_")
+        if violation and now["violation"] > o.epsilon_violation:
+            return False
+        if name == "step":
+            return now["step"] <= o.epsilon
+        if name == "gradient":
+            return now["gradient"] <= o.epsilon * (1 + np.sqrt(now["before"]))
+        if name != "chi":
+            raise ValueError(f"no criterion named {o.criterion}")
+        if len(self.history) < 2:
+            return False
+        was = self.history[-2]
+        steady = all(now[f"n_{w}"] == was[f"n_{w}"] for w in ("inliers", "outliers"))
+        return steady and all(was[f"chi_{w}"] <= 0 or 1 - now[f"chi_{w}"] / was[f"chi_{w}"] <= o.epsilon for w in ("inliers", "outliers"))
+
+    def estimates(self) -> DataFrame:
+        """The variables with their estimates as they are."""
+        rows = [(i, self.types[i], "fixed" if i in self.fixed else "active", self.x[i].tolist()) for i in self.x]
+        return self.spark.createDataFrame(rows, "variable_id long, type string, status string, estimate array<double>")
+
     def solve(self) -> DataFrame:
         """Runs the algorithm and gives the variables with their new estimates; self.history has a row per iteration."""
         o, damping, grow, radius = self.options, self.options.damping, 2.0, self.options.radius
@@ -227,7 +286,7 @@ class Problem:
                     step = h.factor(tiny + damping * scale)(b)
                 else:
                     newton = h.factor(tiny)(b) if newton is None else newton
-                    step = _dogleg(h, b, newton, radius) if o.algorithm == "dogleg" else newton
+                    step = newton if o.algorithm == "linesearch" else _dogleg(h, b, newton, radius, o.algorithm == "double_dogleg")
                 share = 1.0
                 if o.algorithm == "linesearch":
                     while share > 1e-4 and self.cost(self.moved(share * step, at)) > before - 1e-4 * share * (b @ step):
@@ -243,11 +302,11 @@ class Problem:
                     grow, radius = 2.0, radius * (2.0 if gain > 0.75 else 0.5 if gain < 0.25 else 1.0)
                     break
                 damping, grow, radius = damping * grow, grow * 2, radius / 4
-            self.history.append({"before": before, "after": after if accepted else before, "step": float(np.linalg.norm(step)), "accepted": accepted})
-            if not accepted or np.linalg.norm(step) < o.min_step or before - after <= o.min_change * max(before, 1e-300):
+            self.record(rows, b, step, before, after if accepted else before, accepted)
+            small = np.linalg.norm(step) < o.min_step or before - after <= o.min_change * max(before, 1e-300)
+            if not accepted or (self.stopped() if o.criterion else small):
                 break
-        rows = [(i, self.types[i], "fixed" if i in self.fixed else "active", self.x[i].tolist()) for i in self.x]
-        return self.spark.createDataFrame(rows, "variable_id long, type string, status string, estimate array<double>")
+        return self.estimates()
 
     def marginals(self, ids: list[int] | None = None) -> dict[int, np.ndarray]:
         """Covariance blocks of active variables, all or those named, at the estimates as they are: columns of the inverse, from
@@ -261,14 +320,28 @@ class Problem:
         return out
 
 
-def _dogleg(h: Blocks, b: np.ndarray, newton: np.ndarray, radius: float) -> np.ndarray:
-    """The step towards the Gauss-Newton point along the steepest descent's bend, inside the radius."""
+def solve_levels(variables: DataFrame, factors: DataFrame, options: dict[int, Options]) -> tuple[DataFrame, dict[int, list[dict]]]:
+    """Solves the factors of one `level` after the other, the highest first, each from the estimates of the one before: the
+    variables and the history of each level. Levels without options keep their factors out."""
+    history = {}
+    for level in sorted(options, reverse=True):
+        problem = Problem(variables, factors.where(F.col("level") == level), options[level])
+        variables, history[level] = problem.solve(), problem.history
+    return variables, history
+
+
+def _dogleg(h: Blocks, b: np.ndarray, newton: np.ndarray, radius: float, double: bool = False) -> np.ndarray:
+    """The step towards the Gauss-Newton point along the steepest descent's bend, inside the radius. The double form bends once
+    more, at the share |steep|^2 / (steep . newton) of the Gauss-Newton point."""
     if np.linalg.norm(newton) <= radius:
         return newton
     steep = b * (b @ b) / (b @ h.times(b))
     if np.linalg.norm(steep) >= radius:
         return steep * radius / np.linalg.norm(steep)
-    d = newton - steep
+    end = newton * ((steep @ steep) / (steep @ newton)) if double else newton
+    if np.linalg.norm(end) < radius:
+        return newton * radius / np.linalg.norm(newton)
+    d = end - steep
     a, m, c = d @ d, steep @ d, steep @ steep - radius * radius
     return steep + d * (-m + np.sqrt(m * m - a * c)) / a
 
