@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scanweave.llm import ann, warc
 from scanweave.llm._scratch import fresh
@@ -15,8 +16,11 @@ from scanweave.llm.language import identify
 from scanweave.llm.license import license_scan, license_sql
 from scanweave.llm.line_dedup import line_dedup
 from scanweave.llm.near_dedup import near_dedup
+from scanweave.llm.negatives import hard_negatives, negatives_sql
 from scanweave.llm.packing import pack
 from scanweave.llm.quality import quality
+from scanweave.llm.sharding import read_shards, write_shards
+from scanweave.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +73,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return hard_negatives(vectors.withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = _table(spark, sf_dir, "documents"), fresh(spark, "shards")
+    write_shards(docs, folder)
+    rows = read_shards(docs, folder)
+    return rows.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_bpe, op4_chat, op5_warc, op6_ann, op7_packing, op8_license, op9_language, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_bpe, op4_chat, op5_warc, op6_ann, op7_packing, op8_license, op9_language, op10_line_dedup, op11_whitening, op12_hard_negatives, op13_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license": license_sql()}
+    return {"op8_license": license_sql(), "op12_hard_negatives": negatives_sql()}
