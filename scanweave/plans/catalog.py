@@ -453,7 +453,7 @@ def evaluator_chi(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from scanweave.plans import iterative, logs, motion, visiting  # noqa: F401  they register their queries here
+    from scanweave.plans import iterative, logs, motion, recorded, visiting  # noqa: F401  they register their queries here
 
     return dict(QUERIES)
 
