@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from scanweave.plans import views
 from scanweave.plans.catalog import query
 from scanweave.plans.views import MSGS
-from scanweave.sources import rosbag, rosmsg
-from scanweave.sources.tables import shared_dir
+from scanweave.sources import objects, rosbag, rosmsg
+from scanweave.sources.tables import keep, shared_dir
 
 
 def _odometry(spark, sf_dir):
@@ -36,3 +36,24 @@ def bag_log(spark, sf_dir):
     point, cov = F.col("message.pose.pose.position"), F.col("message.pose.covariance")
     trace = F.aggregate(F.sequence(F.lit(0), F.lit(5)), F.lit(0.0), lambda s, i: s + F.element_at(cov, i * 7 + 1))
     return m.select("topic", "t", F.col("message.header.seq").alias("seq"), F.col("message.header.frame_id").alias("frame_id"), point["x"].alias("x"), point["y"].alias("y"), trace.alias("trace"))
+
+
+@query("""select 'Order' as kind, o_orderkey as order_id, o_custkey as customer_id, c_acctbal as balance, n_name as nation, case when o_orderkey % 7 = 0 then 'null' when o_orderkey % 11 = 0 then 'dangling' else 'found' end as other
+ from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey""")
+def object_links(spark, sf_dir):
+    """Orders, customers and nations as one stream of objects; each order's customer and that customer's nation by pointers."""
+    t = lambda n: views.table(spark, sf_dir, n)
+    folder = f"{shared_dir(spark)}/objects-{uuid.uuid4().hex}"
+    at = lambda k, c: (F.lit(k) + F.lit(1000) * F.col(c)).cast("long")
+    body = lambda *c: F.to_json(F.struct(*c)).alias("body")
+    nation = t("nation").select(F.lit("Nation").alias("kind"), body(at(1, "n_nationkey").alias("#id"), F.col("n_name").alias("name")))
+    customer = t("customer").select(F.lit("Customer").alias("kind"), body(at(2, "c_custkey").alias("#id"), F.col("c_acctbal").alias("balance"), objects.pointer(at(1, "c_nationkey")).alias("nation")))
+    other = F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).when(F.col("o_orderkey") % 11 == 0, F.lit(999).cast("long")).otherwise(at(3, "o_orderkey"))
+    order = t("orders").select(F.lit("Order").alias("kind"), body(at(3, "o_orderkey").alias("#id"), F.struct(objects.pointer(at(2, "o_custkey")).alias("of"), objects.pointer(other).alias("other")).alias("links")))
+    objects.write_objects(order.unionByName(nation).unionByName(customer), folder)
+    found = keep(objects.references(objects.read_objects(spark, folder, together=True)), "object-links")
+    number = lambda c: F.expr(f"{c} div 1000")
+    of = found.where("kind = 'Order' and at = 'links.of'").select("kind", number("id").alias("order_id"), "target", F.get_json_object("target_body", "$.balance").cast("double").alias("balance"))
+    status = found.where("kind = 'Order' and at = 'links.other'").select(number("id").alias("order_id"), F.col("status").alias("other"))
+    home = found.where("kind = 'Customer'").select(F.col("id").alias("target"), F.get_json_object("target_body", "$.name").alias("nation"))
+    return of.join(home, "target").join(status, "order_id").select("kind", "order_id", number("target").alias("customer_id"), "balance", "nation", "other")
