@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from scanweave.functions import epipolar, geometry, simulate
-from scanweave.operators import adjust, associate, cloud, grids, solver, tree
+from scanweave.functions import epipolar, geometry, poses, simulate
+from scanweave.operators import adjust, associate, cloud, grids, solver, spread, tracks, tree
 from scanweave.plans import views
 from scanweave.plans.catalog import _CELLS, _cells, query, rounded
 from scanweave.plans.views import NRM, PTS
@@ -50,10 +50,48 @@ def lm_solve(spark, sf_dir):
     return solver.Problem(variables, factors, solver.Options("lm", iterations=3)).solve()
 
 
-@query()
+_TRACK = """s as (select event_id, event_type as run, value / 100 as dx, (event_id % 7 - 3) * 0.01::double as dy, (event_id % 11 - 5) * 0.02::double as turn from events)"""
+
+
+def _walked(over: str) -> str:
+    return f"""h as (select *, sum(turn) over ({over}) as a, sum(turn) over ({over}) - turn as b from s),
+ p as (select *, sum(cos(b) * dx - sin(b) * dy) over ({over}) as x, sum(sin(b) * dx + cos(b) * dy) over ({over}) as y from h)"""
+
+
+def _steps(spark, sf_dir):
+    """The log as planar odometry: event_id, run, dx, dy, turn."""
+    e = F.col("event_id")
+    return views.messages(spark, sf_dir).select("event_id", F.col("topic").alias("run"), (F.col("value") / 100).alias("dx"), ((e % 7 - 3) * F.lit(0.01)).alias("dy"), ((e % 11 - 5) * F.lit(0.02)).alias("turn"))
+
+
+def _planar(pose: str) -> list:
+    p = poses.of(F.col(pose))
+    return [p[0].alias("x"), p[1].alias("y"), (2 * p[5] * p[6]).alias("sin_a")]
+
+
+@query(f"""with {_TRACK}, {_walked('partition by run order by event_id')} select run, event_id, round(x, 4) + 0.0 as x, round(y, 4) + 0.0 as y, round(sin(a), 5) + 0.0 as sin_a from p""")
+def odometry_track(spark, sf_dir):
+    """The poses that odometry steps add up to, in runs of a fifth of the log each."""
+    step = poses.struct((F.col("dx"), F.col("dy"), F.lit(0.0), *poses.yaw(F.col("turn"))))
+    track = tracks.running_poses(_steps(spark, sf_dir).select("run", "event_id", step.alias("step")), ["event_id"], ["run"])
+    return rounded(track.select("run", "event_id", *_planar("pose")), {"x": 4, "y": 4, "sin_a": 5})
+
+
+@query(f"""with {_TRACK.replace('from events', 'from events where event_id > 0')}, {_walked('order by event_id')}, v as (select event_id as id, x, y, a from p union all select 0, 0.0::double, 0.0::double, 0.0::double)
+ select id, 'pose' as kind, round(x, 4) + 0.0 as x, round(y, 4) + 0.0 as y, round(sin(a), 5) + 0.0 as sin_a from v
+ union all select 1000000000 + id, 'point', round(x + cos(a) * 2 - sin(a) * (id % 5), 4) + 0.0, round(y + sin(a) * 2 + cos(a) * (id % 5), 4) + 0.0, 0.0 from v where id % 10 = 0""")
 def graph_initialise(spark, sf_dir):
-    variables, factors = simulate.pose_graph(spark, simulate.manhattan(6), noise=0.0)
-    return solver.initialise(variables, factors)
+    """The log as a factor graph: a chain of poses from the first event, which is fixed, and a point seen from each tenth pose."""
+    s, e = _steps(spark, sf_dir), F.col("event_id")
+    start = F.when(e == 0, poses.struct((F.lit(0.0), F.lit(0.0), F.lit(0.0), *poses.yaw(F.lit(0.0)))))
+    seen = s.where(e % 10 == 0)
+    point = e + 1_000_000_000
+    variables = s.select(e.alias("id"), F.lit("pose").alias("kind"), start.alias("estimate"), (e == 0).alias("fixed"))
+    variables = variables.unionByName(seen.select(point.alias("id"), F.lit("point").alias("kind"), F.lit(None).cast(poses.STRUCT).alias("estimate"), F.lit(False).alias("fixed")))
+    factors = s.where(e > 0).select(e.alias("id"), F.lit("pose_pose").alias("kind"), F.array(e - 1, e).alias("variables"), F.array("dx", "dy", "turn").alias("measurement"))
+    factors = factors.unionByName(seen.select(point.alias("id"), F.lit("pose_point").alias("kind"), F.array(e, point).alias("variables"), F.array(F.lit(2.0), (e % 5).cast("double"), F.lit(0.0)).alias("measurement")))
+    found = spread.initialise(variables, factors)
+    return rounded(found.select("id", "kind", *_planar("estimate")), {"x": 4, "y": 4, "sin_a": 5})
 
 
 @query()
