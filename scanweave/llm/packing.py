@@ -42,6 +42,8 @@ HELD_TOKENS = ROUND_TOKENS = 16_000_000
 SECOND = 1 << 62
 #: Runs that a worker remembers; then the older half is forgotten.
 REMEMBERED = 250_000
+#: Characters that are encoded at once, about.
+PART = 100_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, placed boolean"
 
 
@@ -87,6 +89,10 @@ class WordEncoder:
         self.merger = _merger(held["model"]) if self.by_runs else None
         self.by_runs = self.merger is not None
         self.special = [x["content"] for x in held.get("added_tokens", [])]
+        # long texts are cut here: behind ASCII white space, or where East Asian punctuation meets a letter; no match of the
+        # pattern crosses either, and neither normalisation nor an added token without white space does
+        self.border = regex.compile("(?<=[\\t-\\r ])|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3])")
+        self.cuts = self.by_runs and not any(self.border.search(x) for x in self.special)
         # up to U+024F, NFC changes nothing and lower-casing is plain; Python alone takes U+001C to U+001F for white space
         self.beyond = regex.compile("[^\\x00-\\x1b\\x20-\\u024f]")
         self.recent: dict[str, bytes] = {}
@@ -113,20 +119,33 @@ class WordEncoder:
         for x, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             recent[x] = _packed(e.ids)
 
-    def packed(self, texts: list[str]) -> list[bytes]:
+    def pieces(self, text: str) -> Iterator[str]:
+        """Parts of a text whose ids, one after the other, are the text's. A part is about PART characters, or as long as its
+        file leaves no border to cut at."""
+        at = 0
+        while self.cuts and len(text) - at > 2 * PART and (m := self.border.search(text, at + PART)) and m.start() < len(text):
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
+
+    def packed(self, texts: list[str]) -> Iterator[bytearray]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
         for text in texts:
-            if not self.by_runs or self.beyond.search(text) or any(x in text for x in self.special):
-                out.append(_packed(self.tokenizer.encode(text, add_special_tokens=False).ids))
-                continue
-            runs = text.lower().split()
-            found = list(map(self.recent.get, runs))
-            if None in found:
-                self._learn({x for x, ids in zip(runs, found, strict=True) if ids is None})
-                found = [self.recent[x] if ids is None else ids for x, ids in zip(runs, found, strict=True)]
-            out.append(b"".join(found))
-        return out
+            out = bytearray()
+            for part in self.pieces(text):
+                self._encode(part, out)
+            yield out
+
+    def _encode(self, text: str, out: bytearray) -> None:
+        if not self.by_runs or self.beyond.search(text) or any(x in text for x in self.special):
+            out += _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            return
+        runs = text.lower().split()
+        found = list(map(self.recent.get, runs))
+        if None in found:
+            self._learn({x for x, ids in zip(runs, found, strict=True) if ids is None})
+            found = [self.recent[x] if ids is None else ids for x, ids in zip(runs, found, strict=True)]
+        out += b"".join(found)
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -162,13 +181,14 @@ class Packer:
             offset += len(p[2]) // 4
         self.next += 1
 
-    def add(self, doc, packed: bytes) -> None:
-        total, step = len(packed) // 4, 4 * self.window
+    def add(self, doc, packed: bytearray) -> None:
+        """Full windows are views of the ids, which stay as long as these wait; what remains is a copy."""
+        total, step, view = len(packed) // 4, 4 * self.window, memoryview(packed)
         whole = total // self.window * step
         for at in range(0, whole, step):
-            self.close([(doc, at // 4, packed[at : at + step], total)])
+            self.close([(doc, at // 4, view[at : at + step], total)])
         if whole < len(packed):
-            self.place((doc, whole // 4, packed[whole:], total))
+            self.place((doc, whole // 4, bytes(view[whole:]), total))
             if self.held > self.held_tokens:
                 self.leave(self.held_tokens // 2)
 
@@ -259,7 +279,8 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, held_t
     """The pieces that docs (doc_id, text) are packed into; see SCHEMA.
 
     A document is its ids and end_id, so that null or empty text gives one piece of end_id. Repeated rows are packed each.
-    A long text is one string and its ids in a worker; its full windows leave at once. A null doc_id stays null. Sequence
+    A long text is one string in a worker, is encoded in parts of about PART characters, and its ids (4 bytes each) stay until its
+    full windows have left; a run of PART characters and more without white space or punctuation is encoded whole. A null doc_id stays null. Sequence
     ids are unique; equal levels are broken towards fuller windows, so a task that is run again gives the same pieces. Empty
     table: no rows. Other columns are not read, whatever their names.
     """
@@ -283,7 +304,10 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, held_t
             for part in _text.chunks(text):
                 texts = text.slice(part.first, part.n).to_pylist()
                 for doc, packed in zip(ids[part.first :], own.packed(texts)):  # noqa: B905
-                    packer.add(doc, packed + end)
+                    packed += end
+                    packer.add(doc, packed)
+                    if len(packer.done) >= 20_000:
+                        yield from finished(packer)
                 yield from finished(packer)
         packer.leave()
         yield from finished(packer)
