@@ -12,7 +12,8 @@ The flow:
 4. Where a bucket still spans several components, its members are candidates that no hub could settle. Of each, the rarest
    shingles are taken (rare among those members): two sets of the asked similarity share one of them, at places that
    their sizes bound. A member that shares none with another component meets nobody, as texts of a common template, whose
-   rare shingles are their own. Of the others in a bucket, members outside its main component are compared with all in
+   rare shingles are their own; nor does one that has so many shingles of its own that no size in the bucket can make up for
+   them. Of the others in a bucket, members outside its main component are compared with all in
    other components, so no candidate pair is given up. That happens in blocks of a bounded number of shingles, by an
    inverted index over the exact sets; only links leave a block.
 5. Every link is confirmed on the full shingle sets of both texts, and union-find grouping makes components.
@@ -225,7 +226,8 @@ def _shingle_rows(k: int):
 
 
 def _rare(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(bucket, id, n, component, first) of nodes (id, n, component): the shingles of each among which a partner must share one.
+    """(bucket, id, n, component, first, able) of nodes (id, n, component): the shingles of each among which a partner must share
+    one, and how many of all its shingles other nodes hold.
 
     With all shingles of both in order from the rarest, let x be the smaller set of two with similarity t. Their first common
     shingle is among the |x| - ceil(2t / (1 + t) |x|) + 1 first ones of x (`first`), and among the |y| - ceil(t |y|) + 1 first
@@ -240,7 +242,17 @@ def _rare(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     ordered = ordered.join(nodes, "id").withColumn("place", F.col("n") - F.col("n_shared") + F.col("place"))
     last = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
     first = F.expr(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
-    return keep(ordered.where(F.col("place") <= last).select(F.col("shingle").alias("bucket"), "id", "n", "component", first.alias("first")), "near2-rare")
+    return keep(ordered.where(F.col("place") <= last).select(F.col("shingle").alias("bucket"), "id", "n", "component", first.alias("first"), F.col("n_shared").alias("able")), "near2-rare")
+
+
+def _able(placed: DataFrame, percent: int) -> DataFrame:
+    """placed (bucket, id, n, component, able) without the rows that can't be linked in their bucket. `able` shingles of a node
+    are held by others at all, so its intersection with any is that at most. For a similarity of t the intersection is
+    t / (1 + t) of both sizes together at least, which bounds a partner's size from above."""
+    placed = placed.withColumn("most", F.expr(f"able * {100 + percent} div {percent} - n"))
+    sizes = placed.groupBy("bucket").agg(F.min("n").alias("low"), F.max("most").alias("high"), F.count("*").alias("n_rows"))
+    kept = _spread(placed, keep(sizes, "near2-sizes"), ["bucket"], "n_rows", placed.count())
+    return kept.where("low <= most and n <= high").select("bucket", "id", "n", "component")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
@@ -296,8 +308,9 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 25,
         rare = _rare(columns, keep(open_ids, "near-nodes"), k, percent)
         holders = rare.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("first").alias("first"), F.count("*").alias("held")).where("low < high and first")
         holders = keep(holders.select("bucket", "held"), "near2-holders")
-        live = keep(_spread(rare, holders, ["bucket"], "held", rare.count()).select("id").distinct(), "near2-live")
-        placed = keep(placed.select("bucket", "id", "n", "component").join(F.broadcast(live) if live.count() <= BROADCAST_IDS else live, "id", "left_semi"), "near2-placed")
+        live = keep(_spread(rare, holders, ["bucket"], "held", rare.count()).select("id", "able").distinct(), "near2-live")
+        placed = keep(placed.select("bucket", "id", "n", "component").join(F.broadcast(live) if live.count() <= BROADCAST_IDS else live, "id"), "near2-live-rows")
+        placed = keep(_able(placed, percent), "near2-placed")
         parts = placed.groupBy("bucket", "component").agg(F.sum("n").alias("part"), F.count("*").alias("rows"))
         groups = parts.groupBy("bucket").agg(F.count("*").alias("n_parts"), F.sum("part").alias("total"), F.max(F.struct("part", "component")).alias("main"), F.sum("rows").alias("n_rows")).where("n_parts > 1")
         groups = groups.select("bucket", "n_rows", F.col("main.component").alias("main"), F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("js"), F.ceil((F.col("total") - F.col("main.part")) / BLOCK_SHINGLES).cast("int").alias("is"))

@@ -132,3 +132,31 @@ def test_components(spark, per_task):
     got = {r.node: r.component for r in components(spark.createDataFrame([e for e in edges if e[0] != e[1]], "a long, b long"), per_task).collect()}
     assert all(got[x] == find(x) for x in got)
     assert set(got) >= {x for e in edges if e[0] != e[1] for x in e}
+
+
+@pytest.mark.parametrize("own", [14, 50])
+def test_texts_of_a_template_do_not_meet_all_others(docs, monkeypatch, own):
+    """200 shared words and some of each text's own at a place of its own: below the threshold, but for those at the end."""
+    seen = []
+    real = nd._in_blocks
+
+    def counted(rows, *more):
+        rows = nd.keep(rows, "test-rows")
+        seen.append(rows.count())
+        return real(rows, *more)
+
+    monkeypatch.setattr(nd, "_in_blocks", counted)
+    template, rows = [f"t{i}" for i in range(200)], []
+    for n in (150, 300):
+        rng = random.Random(n)
+        texts = []
+        for i in range(n):
+            at = 200 if i in (5, 90, 140) else rng.randrange(4, 196)
+            texts.append(" ".join(template[:at] + [f"o{i}x{k}" for k in range(own)] + template[at:]))
+        seen.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_dedup(docs(texts)).collect()}
+        assert got == brute(dict(enumerate(texts)))
+        assert own == 50 or got[140][1] == 5
+        rows.append(sum(seen))
+    # a bucket's row is a member and all that meet it there; without the bound there were some nine for each text
+    assert max(rows) <= 3 * 30, rows
