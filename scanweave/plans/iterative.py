@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from scanweave.functions import epipolar, geometry, poses, simulate
-from scanweave.operators import adjust, associate, cloud, grids, solver, spread, tracks, tree
+from scanweave.functions import epipolar, geometry, poses
+from scanweave.operators import adjust, associate, cloud, dissect, grids, solver, spread, tracks, tree
 from scanweave.plans import views
 from scanweave.plans.catalog import _CELLS, _cells, query, rounded
 from scanweave.plans.views import NRM, PTS
+from scanweave.sources.tables import keep
 
 
 @query()
@@ -42,12 +43,54 @@ def bundle_adjust(spark, sf_dir):
     return spark.createDataFrame(rows, "pose_id int, tx double, ty double, tz double, qx double, qy double, qz double, qw double")
 
 
-@query()
+def _customers(spark, sf_dir):
+    """Customers as poses in the plane on a spiral, coupled to the next one and to one 97 places on."""
+    c, k = views.table(spark, sf_dir, "customer"), F.col("c_custkey")
+    at = lambda v: (F.sqrt(v) * F.cos(F.sqrt(v) / 3), F.sqrt(v) * F.sin(F.sqrt(v) / 3), (v % 60) * F.lit(0.1) - 3)
+    truth = c.select(k.alias("variable_id"), F.array(*at(k)).alias("truth"), "c_acctbal")
+    off = lambda m: ((k * m) % 101 - 50) / 1000
+    start = F.array(*[F.col("truth")[i] + F.when(k > 1, o).otherwise(F.lit(0.0)) for i, o in enumerate((off(7), off(13), off(29)))])
+    variables = truth.withColumn("c_custkey", F.col("variable_id")).select("variable_id", F.lit("se2").alias("type"), F.when(F.col("variable_id") == 1, "fixed").otherwise("active").alias("status"), start.alias("estimate"))
+    pairs = truth.select(F.col("variable_id").alias("a"), F.explode(F.array(F.lit(1), F.lit(97))).alias("far")).withColumn("b", F.col("a") + F.col("far"))
+    both = pairs.join(truth.select(F.col("variable_id").alias("a"), F.col("truth").alias("p")), "a").join(truth.select(F.col("variable_id").alias("b"), F.col("truth").alias("q")), "b")
+    p, q = F.col("p"), F.col("q")
+    x, y, cos, sin = q[0] - p[0], q[1] - p[1], F.cos(p[2]), F.sin(p[2])
+    measured = F.array(cos * x + sin * y, cos * y - sin * x, q[2] - p[2])
+    factors = both.select((F.col("a") * 2 + (F.col("far") > 1).cast("long")).alias("factor_id"), F.lit("se2_pose_pose").alias("type"), F.array("a", "b").alias("variables"), measured.alias("measurement"), F.array(*[F.lit(v) for v in (4.0, 0.0, 0.0, 4.0, 0.0, 9.0)]).alias("information"))
+    return variables, factors
+
+
+_SPIRAL = "select c_custkey as variable_id, round(sqrt(c_custkey) * cos(sqrt(c_custkey) / 3), 4) + 0.0 as x, round(sqrt(c_custkey) * sin(sqrt(c_custkey) / 3), 4) + 0.0 as y, round(sin((c_custkey % 60) * 0.1::double - 3), 4) + 0.0 as sin_a from customer"
+
+
+@query(_SPIRAL)
 def lm_solve(spark, sf_dir):
-    """A walk of as many poses as there are suppliers, 20 at least."""
-    poses = max(20, views.table(spark, sf_dir, "supplier").count())
-    variables, factors = simulate.pose_graph(spark, simulate.manhattan(poses), noise=0.005)
-    return solver.Problem(variables, factors, solver.Options("lm", iterations=3)).solve()
+    """Poses of customers from a start beside the truth; measurements agree, so that the truth is the solution."""
+    variables, factors = _customers(spark, sf_dir)
+    found = dissect.least_squares(variables, factors, solver.Options("lm", iterations=3))
+    e = F.col("estimate")
+    return rounded(found.select("variable_id", e[0].alias("x"), e[1].alias("y"), F.sin(e[2]).alias("sin_a")), {"x": 4, "y": 4, "sin_a": 4})
+
+
+@query("select c_custkey as customer, round(c_acctbal, 3) + 0.0 as x, round(c_acctbal / 2, 3) + 0.0 as y from customer")
+def sparse_solve(spark, sf_dir):
+    """A linear system over customers, two unknowns each, with couplings to the next one, to one 50 places on and to the first of
+    100: the right side is the matrix times balances, so that the solution is the balances."""
+    c = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.array("c_acctbal", F.col("c_acctbal") / 2).alias("v"))
+    pairs = c.select("i", F.explode(F.array(F.col("i") + 1, F.col("i") + 50, F.col("i") - F.col("i") % 100 + 100)).alias("j")).where("i != j").join(c.select(F.col("i").alias("j")), "j").select("i", "j").distinct()
+    # a block [[2, 1], [1, 3]] in the corner of each pair, its negative across, and the identity
+    pairs = keep(pairs, "sparse-pairs")
+    degree = pairs.select("i").unionAll(pairs.select(F.col("j").alias("i"))).groupBy("i").count()
+    diagonal = c.join(degree, "i", "left").select("i", F.coalesce("count", F.lit(0)).alias("d"), "v")
+    block = lambda d, one: F.array(2.0 * d + one, 1.0 * d, 1.0 * d, 3.0 * d + one)
+    d = keep(diagonal.select("i", F.col("i").alias("j"), block(F.col("d"), 1.0).alias("h"), "v"), "sparse-diagonal")
+    across = pairs.select("i", "j", block(F.lit(-1.0), 0.0).alias("h"))
+    both = d.select("i", "j", "h").unionByName(across).unionByName(across.select(F.col("j").alias("i"), F.col("i").alias("j"), "h"))  # symmetric blocks
+    h, v = F.col("h"), F.col("w")
+    right = both.join(c.select(F.col("i").alias("j"), F.col("v").alias("w")), "j").groupBy("i").agg(F.array(F.sum(h[0] * v[0] + h[1] * v[1]), F.sum(h[2] * v[0] + h[3] * v[1])).alias("b"))
+    blocks = d.join(right, "i").select("i", "j", "h", "b").unionByName(across.select("i", "j", "h", F.array().cast("array<double>").alias("b")))
+    x = F.col("x")
+    return rounded(dissect.solve(keep(blocks, "sparse-blocks")).select(F.col("i").alias("customer"), x[0].alias("x"), x[1].alias("y")), {"x": 3, "y": 3})
 
 
 _TRACK = """s as (select event_id, event_type as run, value / 100 as dx, (event_id % 7 - 3) * 0.01::double as dy, (event_id % 11 - 5) * 0.02::double as turn from events)"""
