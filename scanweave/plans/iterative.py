@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scanweave.functions import epipolar, geometry, poses
-from scanweave.operators import adjust, associate, cloud, dissect, grids, solver, spread, tracks, tree
+from scanweave.operators import adjust, associate, cloud, closures, dissect, grids, solver, spread, tracks, tree
 from scanweave.plans import views
 from scanweave.plans.catalog import _CELLS, _cells, query, rounded
 from scanweave.plans.views import NRM, PTS
@@ -72,6 +72,31 @@ def lm_solve(spark, sf_dir):
     return rounded(found.select("variable_id", e[0].alias("x"), e[1].alias("y"), F.sin(e[2]).alias("sin_a")), {"x": 4, "y": 4, "sin_a": 4})
 
 
+@query("""with p as (select c_custkey as k, sqrt(c_custkey) * cos(sqrt(c_custkey) / 3) as x, sqrt(c_custkey) * sin(sqrt(c_custkey) / 3) as y, (c_custkey % 60) * 0.1::double - 3 as a from customer),
+ c as (select a.k, a.k // 50 as p, b.k // 50 as q, a.x as ax, a.y as ay, a.a as aa, b.x as bx, b.y as byy, b.a as ba, cos(a.a) * (b.x - a.x) + sin(a.a) * (b.y - a.y) + case when a.k % 9 = 0 then 5 else 0 end as zx, cos(a.a) * (b.y - a.y) - sin(a.a) * (b.x - a.x) as zy, b.a - a.a + case when a.k % 9 = 0 then 0.3::double else 0 end as za from p a join p b on b.k = a.k + 97),
+ t as (select *, aa + za - ba as ta from c), m as (select *, ax + cos(aa) * zx - sin(aa) * zy - cos(ta) * bx + sin(ta) * byy as tx, ay + sin(aa) * zx + cos(aa) * zy - sin(ta) * bx - cos(ta) * byy as ty from t),
+ d as (select g.k, g.p, g.q, g.zx, g.zy, g.aa, cos(f.ta) * g.bx - sin(f.ta) * g.byy + f.tx - g.ax as dx, sin(f.ta) * g.bx + cos(f.ta) * g.byy + f.ty - g.ay as dy, g.ba + f.ta - g.aa - g.za as turn from m f join m g on f.p = g.p and f.q = g.q),
+ v as (select k, p, q, count(*) as n_checks, count(*) filter (pow(cos(aa) * dx + sin(aa) * dy - zx, 2) + pow(cos(aa) * dy - sin(aa) * dx - zy, 2) + 4 * pow(sin(turn / 2), 2) < 0.05) as n_good from d group by 1, 2, 3)
+ select k as closure_id, p, q, n_checks, n_good, case when n_checks >= 5 and n_good / n_checks > 0.5 then 'accepted' when n_checks >= 5 and n_good / n_checks < 0.3 then 'rejected' else 'open' end as status from v""")
+def closure_votes(spark, sf_dir):
+    """Customers on a spiral in maps of fifty; each has a closure with the one 97 places on, a ninth of them false."""
+    k = F.col("c_custkey")
+    c = views.table(spark, sf_dir, "customer").select(k.alias("id"), (F.sqrt(k) * F.cos(F.sqrt(k) / 3)).alias("x"), (F.sqrt(k) * F.sin(F.sqrt(k) / 3)).alias("y"), ((k % 60) * F.lit(0.1) - 3).alias("a"))
+    v = c.select("id", poses.struct((F.col("x"), F.col("y"), F.lit(0.0), *poses.yaw(F.col("a")))).alias("pose"))
+    side = lambda s: v.select(F.col("id").alias(s), F.col("pose").alias(f"{s}_pose"))
+    wrong = F.col("a") % 9 == 0
+    both = v.select(F.col("id").alias("a"), (F.col("id") + 97).alias("b")).join(side("a"), "a").join(side("b"), "b")
+    true = poses.struct(poses.between(poses.of(F.col("a_pose")), poses.of(F.col("b_pose"))))
+    # a false one adds a shift and a turn to the true step
+    both = both.withColumn("true", true)
+    t = poses.of(F.col("true"))
+    turned = poses.multiply(t[3:], poses.yaw(F.when(wrong, F.lit(0.3)).otherwise(F.lit(0.0))))
+    step = poses.struct((t[0] + F.when(wrong, F.lit(5.0)).otherwise(F.lit(0.0)), t[1], t[2], *turned))
+    parts = v.select(F.col("id").alias("variable_id"), F.expr("id div 50").alias("part"))
+    statuses, _ = closures.validate(v, both.select(F.col("a").alias("closure_id"), "a", "b", step.alias("step")), parts)
+    return statuses.select("closure_id", "p", "q", "n_checks", "n_good", "status")
+
+
 @query("select c_custkey as customer, round(c_acctbal, 3) + 0.0 as x, round(c_acctbal / 2, 3) + 0.0 as y from customer")
 def sparse_solve(spark, sf_dir):
     """A linear system over customers, two unknowns each, with couplings to the next one, to one 50 places on and to the first of
