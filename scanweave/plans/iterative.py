@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from scanweave.functions import epipolar, geometry, poses
-from scanweave.operators import adjust, associate, cloud, closures, dissect, grids, solver, spread, tracks, tree
+from scanweave.functions import geometry, poses
+from scanweave.operators import adjust, associate, cloud, closures, dissect, grids, solver, spread, tracks, tree, two_view
 from scanweave.plans import views
 from scanweave.plans.catalog import _CELLS, _cells, query, rounded
 from scanweave.plans.views import NRM, PTS
@@ -162,14 +162,23 @@ def graph_initialise(spark, sf_dir):
     return rounded(found.select("id", "kind", *_planar("estimate")), {"x": 4, "y": 4, "sin_a": 5})
 
 
-@query()
+@query("""with t as (select label as pair, count(*) as n_points, 0.05::double + 0.02::double * label as yaw, 0.3::double as x, 0.4::double - 0.1::double * label as y, 0.5::double as z from embeddings group by label)
+ select pair, n_points, round(cos(yaw), 2) + 0.0 as cos_yaw, round(sin(yaw), 2) + 0.0 as sin_yaw, round(x / sqrt(x * x + y * y + z * z), 2) + 0.0 as tx, round(y / sqrt(x * x + y * y + z * z), 2) + 0.0 as ty, round(z / sqrt(x * x + y * y + z * z), 2) + 0.0 as tz, true as all_fit from t""")
 def essential_ransac(spark, sf_dir):
-    rng = np.random.default_rng(1)
-    x = geometry.v2t(np.array([[0.6, 0.1, 0.2, 0.05, -0.1, 0.07]]))[0]
-    p = rng.uniform(-2, 2, (100, 3)) + [0, 0, 6]
-    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
-    pose, inliers = epipolar.ransac(spark, unit(p), unit((p - x[:3, 3]) @ x[:3, :3]), rounds=50, threshold=1e-3)
-    return spark.createDataFrame([(pose.ravel().tolist(), int(inliers.sum()))], "pose array<double>, n_inliers int")
+    """Vectors as points that two views of each label see, a fifth of them mistaken in the second: the second view's pose."""
+    e, k = F.col("embedding"), F.col("label")
+    p = [e[0].cast("double") * 16, e[1].cast("double") * 16, 6 + 4 * e[2].cast("double")]
+    yaw = F.lit(0.05) + F.lit(0.02) * k
+    q = [p[0] - 0.3, p[1] - (F.lit(0.4) - F.lit(0.1) * k), p[2] - 0.5]
+    there = [F.cos(yaw) * q[0] + F.sin(yaw) * q[1], F.cos(yaw) * q[1] - F.sin(yaw) * q[0], q[2]]
+    seen = [F.when(F.col("vec_id") % 5 == 0, e[3 + i].cast("double")).otherwise(c) for i, c in enumerate(there)]
+    unit = lambda v: F.transform(F.array(*v), lambda c: c / F.sqrt(sum(x * x for x in v)))
+    table = views.table(spark, sf_dir, "embeddings")
+    rows = table.select(k.alias("pair"), F.col("vec_id").alias("point"), unit(p).alias("a"), unit(seen).alias("b"))
+    good = table.groupBy(k.alias("pair")).agg(F.count(F.when(F.col("vec_id") % 5 != 0, 1)).alias("n_good"))
+    m = F.col("model")
+    found = two_view.ransac(rows, rounds=300, threshold=1e-4).join(good, "pair").select("pair", "n_points", m[0].alias("cos_yaw"), m[4].alias("sin_yaw"), m[3].alias("tx"), m[7].alias("ty"), m[11].alias("tz"), (F.col("n_inliers") >= F.col("n_good")).alias("all_fit"))
+    return rounded(found, dict.fromkeys(("cos_yaw", "sin_yaw", "tx", "ty", "tz"), 2))
 
 
 @query(f"""with {_CELLS}, o as (select image, "row", col from cells where v > (select 1.2 * avg(v) from cells)),
