@@ -32,15 +32,30 @@ def surfel_merge(spark, sf_dir):
     return associate.merge(associate.match(tree.nodes(p, 0.2, 0.1), leaves, gates), leaves, gates)
 
 
-@query()
+def _walls(spark, sf_dir, poses_: np.ndarray):
+    """Line items as points on the walls of a room of 4 x 5 x 3 metres, as four poses that turn about z see them."""
+    k = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    u, v = ((k * m) % 9973 / 9973 for m in (7919, 6151))
+    wall, noise = F.col("l_partkey") % 6, (F.round(F.col("l_extendedprice") * 100).cast("long") % 101 - 50) / 5000
+    size = (4.0, 5.0, 3.0)
+    axis, end = F.floor(wall / 2), wall % 2
+    place = [F.when(axis == 0, end * size[0] + noise).otherwise(u * size[0]), F.when(axis == 1, end * size[1] + noise).when(axis == 0, u * size[1]).otherwise(v * size[1]), F.when(axis == 2, end * size[2] + noise).otherwise(v * size[2])]
+    table = views.table(spark, sf_dir, "lineitem").select(((F.col("l_suppkey") % 4).cast("int")).alias("scan_id"), (k * 4096 + F.col("l_partkey") % 4096).alias("point_id"), *[c.alias(n) for c, n in zip(place, "xyz", strict=True)])
+    at = lambda i, j: F.element_at(F.array(*[F.lit(float(p[i, j])) for p in poses_]), F.col("scan_id") + 1)
+    d = [F.col(c) - at(i, 3) for i, c in enumerate("xyz")]
+    return table.select("scan_id", "point_id", *[(at(0, i) * d[0] + at(1, i) * d[1] + at(2, i) * d[2]).alias(n) for i, n in enumerate("xyz")])
+
+
+@query("select i as pose_id, round(1 + 0.2 * i, 1)::double as tx, round(1 + 0.3 * i, 1)::double as ty, 1.0::double as tz, 0.0::double as qx, 0.0::double as qy, round(sin(0.02 * i), 1) + 0.0 as qz, 1.0::double as qw from range(4) r(i) where (select count(*) from lineitem) > 0")
 def bundle_adjust(spark, sf_dir):
-    """A simulated room seen from four poses that start beside the truth."""
-    truth = geometry.v2t(np.array([[3.0 + 0.4 * i, 3.0 + 0.5 * i, 2.0, 0.0, 0.0, 0.02 * i] for i in range(4)]))
+    """A room whose wall points are the line items, seen from four poses that start beside the truth."""
+    truth = geometry.v2t(np.array([[1.0 + 0.2 * i, 1.0 + 0.3 * i, 1.0, 0.0, 0.0, 0.02 * i] for i in range(4)]))
     start = truth @ geometry.v2t(np.array([[0.0] * 6, [0.05, -0.04, 0.03, 0.004, 0.0, -0.003], [-0.05, 0.02, 0.04, 0.0, 0.005, 0.002], [0.03, 0.05, -0.04, -0.003, 0.002, 0.004]]))
-    config = adjust.Config(iterations=1, leaf_size=1.0, gates=associate.Gates(0.5, 0.3, 5.0))
-    found, _ = adjust.adjust(adjust.room(spark, truth, per_metre=3, noise=0.01), start, config)
+    config = adjust.Config(iterations=2, leaf_size=1.0, gates=associate.Gates(0.5, 0.3, 5.0))
+    found, _ = adjust.adjust(_walls(spark, sf_dir, truth), start, config)
     rows = [(i, *map(float, x[:3, 3]), *map(float, geometry.matrix_to_quaternion(x[:3, :3]))) for i, x in enumerate(found)]
-    return spark.createDataFrame(rows, "pose_id int, tx double, ty double, tz double, qx double, qy double, qz double, qw double")
+    out = spark.createDataFrame(rows, "pose_id long, tx double, ty double, tz double, qx double, qy double, qz double, qw double")
+    return rounded(out, dict.fromkeys(out.columns[1:], 1))
 
 
 def _customers(spark, sf_dir):
