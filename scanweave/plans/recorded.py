@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from scanweave.plans import views
-from scanweave.plans.catalog import query
-from scanweave.plans.views import MSGS
-from scanweave.sources import objects, rosbag, rosmsg
+from scanweave.plans.catalog import query, rounded
+from scanweave.plans.views import MSGS, NRM
+from scanweave.sources import formats, objects, rosbag, rosmsg
 from scanweave.sources.tables import keep, shared_dir
 
 
@@ -57,3 +57,34 @@ def object_links(spark, sf_dir):
     status = found.where("kind = 'Order' and at = 'links.other'").select(number("id").alias("order_id"), F.col("status").alias("other"))
     home = found.where("kind = 'Customer'").select(F.col("id").alias("target"), F.get_json_object("target_body", "$.name").alias("nation"))
     return of.join(home, "target").join(status, "order_id").select("kind", "order_id", number("target").alias("customer_id"), "balance", "nation", "other")
+
+
+def _surfels(spark, sf_dir):
+    """Each vector as a surfel: its place, its normal and a radius."""
+    n = views.normals(spark, sf_dir)
+    return n.select(F.col("obs_id").alias("surfel_id"), *[F.col(f"p{c}").alias(f"m{c}") for c in "xyz"], *[F.col(f"n{c}") for c in "xyz"], F.abs("pz").alias("radius"))
+
+
+@query(f"""with {NRM} select obs_id as surfel_id, {', '.join(f'round(p{c}, 5) + 0.0 as {c}' for c in 'xyz')}, {', '.join(f'round(n{c}, 5) + 0.0 as normal_{c}' for c in 'xyz')}, round(greatest(abs(pz), 0.075::double), 5) as radius, true as coloured from nrm""")
+def surfel_map_file(spark, sf_dir):
+    """A surfel map, written and read back."""
+    path = f"{shared_dir(spark)}/surfel-map-{uuid.uuid4().hex}"
+    formats.write_surfel_map(_surfels(spark, sf_dir), path)
+    m = spark.read.parquet(path).withColumn("coloured", F.col("rgb").between(0, (1 << 24) - 1)).drop("rgb")
+    return rounded(m, dict.fromkeys([*"xyz", "normal_x", "normal_y", "normal_z", "radius"], 5))
+
+
+@query(f"""with {NRM}, m as (select *, s as scan_id, 0.1::double * s as a from nrm, (select unnest(range(0, 5)) as s) where s = obs_id % 5 or s = (obs_id + 2) % 5)
+ select scan_id, obs_id as surfel_id, scan_id * 0.5::double as t, round(cos(a) * (px - scan_id) + sin(a) * (py - 2 * scan_id), 5) + 0.0 as x, round(cos(a) * (py - 2 * scan_id) - sin(a) * (px - scan_id), 5) + 0.0 as y, round(pz, 5) + 0.0 as z from m""")
+def scan_export(spark, sf_dir):
+    """The surfels that each of five scans saw, in its own frame, written one folder a scan and read back."""
+    s = _surfels(spark, sf_dir)
+    members = s.select("surfel_id", F.explode(F.array(F.col("surfel_id") % 5, (F.col("surfel_id") + 2) % 5)).alias("scan_id"))
+    k, a = F.col("id"), F.col("id") * F.lit(0.1)
+    cos, sin, zero, one = F.cos(a), F.sin(a), F.lit(0.0), F.lit(1.0)
+    inverse = F.array(cos, sin, zero, -cos * k - 2 * sin * k, -sin, cos, zero, sin * k - 2 * cos * k, zero, zero, one, zero, zero, zero, zero, one)
+    scans = spark.range(5).select(k.alias("scan_id"), (k * F.lit(0.5)).alias("t"), inverse.alias("inverse"))
+    path = f"{shared_dir(spark)}/scans-{uuid.uuid4().hex}"
+    formats.export_scans(s, members, scans, path)
+    out = spark.read.schema("t double, surfel_id long, x double, y double, z double, scan_id long").parquet(path)
+    return rounded(out.select("scan_id", "surfel_id", "t", "x", "y", "z"), {"x": 5, "y": 5, "z": 5})
