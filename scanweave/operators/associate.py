@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanweave.operators import graph, tree
@@ -144,3 +144,14 @@ def correspond(pairs: DataFrame, fixed: DataFrame, moving: DataFrame, key: str)
     side = lambda df, name: df.select(F.col(key).alias(f"{name}_idx"), F.struct(*df.columns).alias(name))
     named = pairs.where("fixed_idx >= 0 and moving_idx >= 0").select("fixed_idx", "moving_idx")
     return named.join(side(fixed, "fixed"), "fixed_idx").join(side(moving, "moving"), "moving_idx")
+
+
+def binary_descriptor(values: Column, word: int = 32) -> Column:
+    """One bit for each number of an array, whether it is positive, in words of `word` bits; a null is no bit."""
+    bits = lambda k: F.aggregate(F.slice(values, k * word + 1, F.lit(word)), F.struct(F.lit(0).cast("long").alias("bits"), F.lit(0).alias("at")), lambda s, v: F.struct(F.when(v > 0, s["bits"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), s["at"]))).otherwise(s["bits"]).alias("bits"), (s["at"] + 1).alias("at")), lambda s: s["bits"])
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / word).cast("int")), bits)
+
+
+def hamming(a: Column, b: Column) -> Column:
+    """How many bits of two binary descriptors differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)

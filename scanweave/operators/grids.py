@@ -247,7 +247,8 @@ def validate_closures(checks: DataFrame, min_checks: int = 5, accept: float = 0.
 
 
 def cluster_closures(closures: DataFrame, parts: DataFrame) -> DataFrame:
-    """Closures grouped by the set of parts they touch: (parts, closures). closures (closure_id, a, b), parts (variable_id, part)."""
+    """The clusters of closures that touch the same parts: (parts, n_closures, first_closure). closures (closure_id, a, b), parts
+    (variable_id, part)."""
     ends = closures.select("closure_id", F.explode(F.array("a", "b")).alias("variable_id")).join(parts, "variable_id")
     sets = ends.groupBy("closure_id").agg(F.array_sort(F.collect_set("part")).alias("parts"))
-    return sets.groupBy("parts").agg(F.array_sort(F.collect_list("closure_id")).alias("closures"))
+    return sets.groupBy("parts").agg(F.count("*").alias("n_closures"), F.min("closure_id").alias("first_closure"))

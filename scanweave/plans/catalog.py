@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanweave.operators import cloud, evaluate, graph, messages, prefix, surfels
+from scanweave.operators import associate, cloud, evaluate, graph, messages, prefix, surfels
 from scanweave.plans import views
 from scanweave.plans.views import HOUR, MSGS, NRM, OBS, PTS
 
@@ -249,11 +249,15 @@ def distance_transform(spark, sf_dir):
     return graph.distance_transform(cells, seeds, 6)
 
 
-@query("select a.vec_id, bit_count(xor(a.d, b.d)) as hamming from (select vec_id, list_sum([case when embedding[i] > 0 then 1::bigint << (i - 1) else 0::bigint end for i in range(1, 64)])::bigint as d from embeddings) a join (select vec_id, list_sum([case when embedding[i] > 0 then 1::bigint << (i - 1) else 0::bigint end for i in range(1, 64)])::bigint as d from embeddings) b on b.vec_id = a.vec_id + 1")
+_WORD = "list_sum([case when embedding[i + {0}] > 0 then 1::bigint << (i - 1) else 0::bigint end for i in range(1, 33)])::bigint"
+
+
+@query(f"""with d as (select vec_id, {_WORD.format(0)} as low, {_WORD.format(32)} as high from embeddings)
+ select a.vec_id, cast(bit_count(xor(a.low, b.low)) + bit_count(xor(a.high, b.high)) as integer) as hamming from d a join d b on b.vec_id = a.vec_id + 1""")
 def descriptor_hamming(spark, sf_dir):
-    bits = F.expr("aggregate(transform(sequence(0, 62), i -> if(embedding[i] > 0, shiftleft(1L, i), 0L)), 0L, (x, y) -> x | y)")
-    d = views.table(spark, sf_dir, "embeddings").select("vec_id", bits.alias("d"))
-    return d.alias("a").join(d.alias("b"), F.expr("b.vec_id = a.vec_id + 1")).select("a.vec_id", F.expr("bit_count(a.d ^ b.d)").alias("hamming"))
+    d = views.table(spark, sf_dir, "embeddings").select("vec_id", associate.binary_descriptor(F.col("embedding")).alias("d"))
+    both = d.join(d.select((F.col("vec_id") - 1).alias("vec_id"), F.col("d").alias("e")), "vec_id")
+    return both.select("vec_id", associate.hamming(F.col("d"), F.col("e")).alias("hamming"))
 
 
 @query("select a.vec_id, round(list_sum([x * x for x in diff]), 4) as l2 from (select a.vec_id, [cast(a.embedding[i] as double) - cast(b.embedding[i] as double) for i in range(1, 65)] as diff from embeddings a join embeddings b on b.vec_id = a.vec_id + 1) a")
@@ -341,10 +345,11 @@ def graph_view(spark, sf_dir):
     return graph.view_of_variables(edges, variables.where("variable_id % 2 = 0"))
 
 
-@query("select distinct l_suppkey as variable_id from lineitem where l_partkey % 50 = 0")
+@query("select distinct l_suppkey as variable_id from lineitem where l_partkey in (select l_partkey from lineitem where l_returnflag <> 'R')")
 def graph_view_factors(spark, sf_dir):
-    edges = views.observations(spark, sf_dir).select(F.col("surfel_id").alias("factor_id"), F.col("scan_id").alias("variable_id"))
-    return graph.view_of_factors(edges, edges.where("factor_id % 50 = 0"))
+    """The variables of all factors that have an enabled observation."""
+    rows = views.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("factor_id"), F.col("l_suppkey").alias("variable_id"), (F.col("l_returnflag") != "R").alias("enabled"))
+    return graph.view_of_factors(rows.drop("enabled"), rows.where("enabled"))
 
 
 def _errors(spark, sf_dir) -> DataFrame:

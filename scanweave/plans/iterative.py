@@ -247,7 +247,7 @@ def closure_clusters(spark, sf_dir):
     closures = o.select(F.col("o_orderkey").alias("closure_id"), (F.col("o_custkey") % 4).alias("a"), (F.col("o_orderkey") % 3).alias("b"))
     parts = spark.range(4).select(F.col("id").alias("variable_id"), F.col("id").alias("part"))
     out = grids.cluster_closures(closures, parts)
-    return out.select(F.array_join(F.col("parts").cast("array<string>"), ",").alias("parts"), F.size("closures").cast("long").alias("n_closures"), F.element_at("closures", 1).alias("first_closure"))
+    return out.select(F.array_join(F.col("parts").cast("array<string>"), ",").alias("parts"), "n_closures", "first_closure")
 
 
 @query(f"""with {PTS}, p as (select scan_id, point_id, x, y, z + 1.0 as z from pts), q as (select *, floor(80.0 * x / z + 16.0) as col, floor(80.0 * y / z + 12.0) as "row" from p where z > 0)

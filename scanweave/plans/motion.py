@@ -155,11 +155,11 @@ def ring_spacing(spark, sf_dir):
     return p.select("scan_id", "point_id", normals.ring(azimuth, -3.0, 2.0, 64).alias("col"), normals.uneven_ring(elevation, [-0.9, -0.5, -0.2, 0.0, 0.1, 0.4, 0.8]).alias("ring"))
 
 
-@query(f"""with {PTS}, k as (select point_id as fixed_idx, case when point_id % 5 = 0 then -1 else (point_id * 7) % 400 end as moving_idx from pts)
+@query(f"""with {PTS}, k as (select point_id as fixed_idx, case when point_id % 5 = 0 then -1 else (point_id * 7) % (select count(*) from pts) end as moving_idx from pts)
  select fixed_idx, moving_idx, round((f.x - m.x) * (f.x - m.x) + (f.y - m.y) * (f.y - m.y) + (f.z - m.z) * (f.z - m.z), 6) + 0.0 as chi from k join pts f on f.point_id = fixed_idx join pts m on m.point_id = moving_idx where fixed_idx >= 0 and moving_idx >= 0""")
 def correspondence_chi(spark, sf_dir):
     p = views.points(spark, sf_dir)
-    pairs = p.select(F.col("point_id").alias("fixed_idx"), F.when(F.col("point_id") % 5 == 0, F.lit(-1)).otherwise((F.col("point_id") * 7) % 400).alias("moving_idx"))
+    pairs = p.select(F.col("point_id").alias("fixed_idx"), F.when(F.col("point_id") % 5 == 0, F.lit(-1)).otherwise((F.col("point_id") * 7) % p.count()).alias("moving_idx"))
     both = associate.correspond(pairs, p.select("point_id", "x", "y", "z"), p.select("point_id", "x", "y", "z"), "point_id")
     chi = sum((F.col(f"fixed.{c}") - F.col(f"moving.{c}")) ** 2 for c in "xyz")
     return rounded(both.select("fixed_idx", "moving_idx", chi.alias("chi")), {"chi": 6})
