@@ -81,21 +81,24 @@ def line(points: DataFrame, keys: list[str], order: str, columns: tuple[str, ...
     """
 
     def normals_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keep, found = np.zeros(len(x), bool), np.zeros_like(x)
-        for i, p in enumerate(x):
-            far = np.flatnonzero(((x - p) ** 2).sum(axis=1) >= squared_distance)
-            at = np.searchsorted(far, i)
-            low, high = (far[at - 1] + 1 if at else 0), (far[at] if at < len(far) else len(x))
-            if high - low < least:
-                continue
-            own = x[low:high]
-            mean = own.mean(axis=0)
-            values, vectors = np.linalg.eigh(own.T @ own / len(own) - np.outer(mean, mean))
-            if values[0] > max_curvature * (values[0] + values[1]):
-                continue
-            n = vectors[:, 0]
-            keep[i], found[i] = True, -n if n @ p > 0 else n
-        return keep, found
+        # all runs grow by a point at a time to one side, then to the other, while their ends are near enough; sums are taken
+        # about each run's own point
+        n, dims = x.shape
+        count, first, second = np.ones(n), np.zeros((n, dims)), np.zeros((n, dims, dims))
+        for side in (-1, 1):
+            at, far = np.arange(n), 1
+            while len(at := at[(at + side * far >= 0) & (at + side * far < n)]):
+                d = x[at + side * far] - x[at]
+                near = (d * d).sum(axis=1) < squared_distance
+                at, d, far = at[near], d[near], far + 1
+                count[at] += 1
+                first[at] += d
+                second[at] += d[:, :, None] * d[:, None, :]
+        mean = first / count[:, None]
+        values, vectors = np.linalg.eigh(second / count[:, None, None] - mean[:, :, None] * mean[:, None, :])
+        found = vectors[:, :, 0]
+        keep = (count >= least) & ~(values[:, 0] > max_curvature * (values[:, 0] + values[:, 1]))
+        return keep, np.where((found * x).sum(axis=1, keepdims=True) > 0, -found, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,12 +6,17 @@ policies over the factor's type and the two positions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanweave.operators.graph import connected
 from scanweave.sources.tables import keep
 
+#: Tables of improvements that are kept apart.
+TABLES = 8
+
 
 def policy_cost(policies: list[tuple[str | None, int | None, int | None, float]]) -> Column:
     """The cost of an arc (type, from, to): that of the first policy that fits and is positive; null, which closes the arc, if
@@ -40,24 +45,39 @@ def arcs(edges: DataFrame, cost: Column, tainted: DataFrame | None = None) -> Da
 def cheapest(arcs: DataFrame, sources: DataFrame, max_cost: float = 0.0, below: bool = False, keys: list[str] = ()) -> DataFrame:
     """(keys, variable_id, cost) of all variables that a way from a source reaches; sources (keys, variable_id) cost nothing.
 
-    With a positive max_cost, ways that cost more are not taken; nor, with `below`, those that cost just as much. Each round
-    extends what the round before improved, so there are as many rounds as the longest cheapest way has arcs; both the
-    frontier and the costs are written out, and nothing is collected.
+    With a positive max_cost, ways that cost more are not taken; nor, with `below`, those that cost just as much. A round takes two
+    steps from what the round before improved and appends only what is better than all before, so there are half as many
+    rounds as the longest cheapest way has arcs. What is best is the minimum over the appended tables, which are put together every
+    TABLES rounds; nothing is collected.
     """
     keys = list(keys)
     own = [*keys, "variable_id"]
     arcs = keep(arcs.select("source", F.col("target").alias("variable_id"), F.col("cost").alias("_step")), "visit-arcs")
-    best = frontier = keep(sources.select(*own).distinct().withColumn("cost", F.lit(0.0)), "visit")
-    while True:
-        offers = arcs.join(frontier.withColumnRenamed("variable_id", "source"), "source").withColumn("cost", F.col("cost") + F.col("_step"))
+    frontier = keep(sources.select(*own).distinct().withColumn("cost", F.lit(0.0)), "visit")
+    tables = [frontier]
+
+    def known() -> DataFrame:
+        return reduce(DataFrame.unionByName, tables).groupBy(*own).agg(F.min("cost").alias("cost")) if len(tables) > 1 else tables[0]
+
+    def step(start: DataFrame) -> DataFrame:
+        offers = arcs.join(start.withColumnRenamed("variable_id", "source"), "source").withColumn("cost", F.col("cost") + F.col("_step"))
         if max_cost > 0:
             offers = offers.where(F.col("cost") < max_cost if below else F.col("cost") <= max_cost)
-        offers = offers.groupBy(*own).agg(F.min("cost").alias("cost"))
-        better = offers.join(best.withColumnRenamed("cost", "_was"), own, "left").where("_was is null or cost < _was")
-        frontier = keep(better.select(*own, "cost"), "visit")
-        if not frontier.limit(1).count():
-            return best
-        best = keep(best.join(frontier.select(*own), own, "left_anti").unionByName(frontier), "visit")
+        return offers.groupBy(*own).agg(F.min("cost").alias("cost"))
+
+    def better(offers: DataFrame) -> DataFrame:
+        return offers.join(known().withColumnRenamed("cost", "_was"), own, "left").where("_was is null or cost < _was").drop("_was")
+
+    while True:
+        one = better(step(frontier))
+        both = one.withColumn("hop", F.lit(1)).unionByName(step(one).withColumn("hop", F.lit(2))).groupBy(*own).agg(F.min(F.struct("cost", "hop")).alias("_new"))
+        new = keep(better(both.select(*own, "_new.cost", "_new.hop")), "visit")
+        if not new.limit(1).count():
+            return tables[0] if len(tables) == 1 else keep(known(), "visit")
+        tables.append(new.drop("hop"))
+        frontier = new.where("hop = 2").drop("hop")  # from what the first step improved the second has gone on
+        if len(tables) > TABLES:
+            tables = [keep(known(), "visit")]
 
 
 def parents(visited: DataFrame, arcs: DataFrame) -> DataFrame:
