@@ -133,3 +133,14 @@ def distance_transform(cells: DataFrame, seeds: DataFrame, limit: int) -> DataFr
     best = near.join(far, ["image", "_r", "_c"]).groupBy("image", "row", "col").agg(F.min(d2).alias("d2"))
     cap = F.lit(limit * limit)
     return cells.join(best, ["image", "row", "col"], "left").select("image", "row", "col", F.least(F.coalesce("d2", cap), cap).cast("long").alias("d2"))
+
+
+def releases(factors: DataFrame, edges: DataFrame, variables: DataFrame) -> DataFrame:
+    """(factor_id, n_variables, released): when a log that brings factors (factor_id, arrival) and variables (variable_id,
+    arrival) in any order can give out each factor, which is with the last of itself and its variables. Factors that miss a
+    variable are left out; timers.release_stream gives out the same ones."""
+    named = edges.select("factor_id", "variable_id").distinct()
+    met = named.join(variables.select("variable_id", F.col("arrival").alias("_came")), "variable_id", "left")
+    whole = met.groupBy("factor_id").agg(F.count("*").cast("int").alias("n_variables"), F.count("_came").alias("_there"), F.max("_came").alias("_last"))
+    found = factors.join(whole.where("n_variables = _there"), "factor_id")
+    return found.select("factor_id", "n_variables", F.greatest("arrival", "_last").alias("released"))

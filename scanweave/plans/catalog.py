@@ -352,6 +352,16 @@ def graph_view_factors(spark, sf_dir):
     return graph.view_of_factors(rows.drop("enabled"), rows.where("enabled"))
 
 
+@query(f"""with {_GRAPH}, came as (select variable_id, (variable_id * 7919) % 10007 as arrival from variables where variable_id % 17 <> 0),
+ m as (select e.factor_id, count(*) as n_variables, count(arrival) as there, max(arrival) as last from (select distinct factor_id, variable_id from edges) e left join came using (variable_id) group by 1)
+ select factor_id, cast(n_variables as integer) as n_variables, greatest(factor_id % 10007, last) as released from m where n_variables = there""")
+def factor_releases(spark, sf_dir):
+    """Factors and variables that a log brings in any order; some variables never come."""
+    factors, edges, variables = _graph(spark, sf_dir)
+    came = variables.where("variable_id % 17 != 0").select("variable_id", ((F.col("variable_id") * 7919) % 10007).alias("arrival"))
+    return graph.releases(factors.select("factor_id", (F.col("factor_id") % 10007).alias("arrival")), edges, came)
+
+
 def _errors(spark, sf_dir) -> DataFrame:
     return views.table(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_quantity") * F.col("l_quantity") / 100).alias("chi"), (F.col("l_returnflag") != "R").alias("enabled"))
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from scanweave.streaming.operators import Sorter
@@ -164,3 +165,63 @@ def transform_stream(log: DataFrame, window: float = 5.0, idle: int = 60_000, ke
     rows = log.selectExpr(key, "cast(arrival as long) as arrival", "cast(t as double) as t", "cast(query_id as double) as query_id", *_POSE)
     output = f"{key} {dict(log.dtypes)[key]}, query_id long, t double, status string, " + ", ".join(f"{c} double" for c in _POSE)
     return rows.groupBy(key).transformWithStateInPandas(_Transforms(window, idle, key), output, "Append", "ProcessingTime")
+
+
+class _Arrivals(StatefulProcessor):
+    """For one variable: factors wait for it, and go on once it has come."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "there boolean")
+        self.waiting = handle.getListState("waiting", "factor_id long, n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        f = pd.concat(list(rows))
+        come = [(int(a), int(n)) for a, n in zip(f["factor_id"], f["n"], strict=True) if not pd.isna(a)]
+        there = self.seen.exists()
+        if not there and len(come) < len(f):
+            there = True
+            self.seen.update((True,))
+            if self.waiting.exists():
+                come += [(r[0], r[1]) for r in self.waiting.get()]
+                self.waiting.clear()
+        if not there:
+            self.waiting.appendList(come)
+            come = []
+        yield pd.DataFrame({"factor_id": np.array([c[0] for c in come], np.int64), "n": np.array([c[1] for c in come], np.int32)})
+
+    def close(self) -> None:
+        pass
+
+
+class _Complete(StatefulProcessor):
+    """For one factor: how many of its variables have come; it leaves with the last, and keeps no state then."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        f = pd.concat(list(rows))
+        now, n = (self.count.get()[0] if self.count.exists() else 0) + len(f), int(f["n"].iloc[0])
+        if now < n:
+            self.count.update((now,))
+        else:
+            self.count.clear()
+        yield pd.DataFrame({"factor_id": np.array([key[0]] if now == n else [], np.int64), "n_variables": np.array([n] if now == n else [], np.int32)})
+
+    def close(self) -> None:
+        pass
+
+
+def release_stream(log: DataFrame) -> DataFrame:
+    """(factor_id, n_variables): factors as the last of their variables arrives, in whatever order the log brings them.
+
+    log has (kind: variable or factor, id, variables): each id of a kind comes once; a variable that a factor names twice counts
+    once. A factor that misses a variable stays in the state; one that has left keeps none. A factor without variables never leaves.
+    """
+    _ready(log.sparkSession)
+    own = F.array_distinct("variables")
+    asked = F.transform(own, lambda v: F.struct(v.alias("variable_id"), F.col("id").cast("long").alias("factor_id"), F.size(own).alias("n")))
+    come = F.array(F.struct(F.col("id").cast("long").alias("variable_id"), F.lit(None).cast("long").alias("factor_id"), F.lit(0).alias("n")))
+    each = log.select(F.explode(F.when(F.col("kind") == "variable", come).otherwise(asked)).alias("r")).select("r.*")
+    met = each.groupBy("variable_id").transformWithStateInPandas(_Arrivals(), "factor_id long, n int", "Append", "None")
+    return met.groupBy("factor_id").transformWithStateInPandas(_Complete(), "factor_id long, n_variables int", "Append", "None")

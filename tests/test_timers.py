@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scanweave.operators import graph
 from scanweave.streaming import operators as streaming
 from scanweave.streaming import timers
 
@@ -101,3 +102,19 @@ def test_turns_are_interpolated_along_the_shorter_way():
     got = timers.between(a, b, 1.0)
     assert np.allclose(got, [2, 0, 0, 0, 0, np.sin(half / 2), np.cos(half / 2)])
     assert timers.between(a, a, 0.0) == a[1:]
+
+
+def test_factors_leave_with_their_last_variable(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    factors = {i: [int(v) for v in rng.integers(0, 60, int(rng.integers(1, 4)))] for i in range(150)}
+    there = [v for v in range(60) if v % 13]  # some never come
+    log = [("variable", v, []) for v in there] + [("factor", i, v) for i, v in factors.items()]
+    order = rng.permutation(len(log))
+    rows = [(*log[k], i) for i, k in enumerate(order)]
+    df = spark.createDataFrame(rows, "kind string, id long, variables array<long>, arrival long")
+    want = {i: len(set(v)) for i, v in factors.items() if set(v) <= set(there)}
+    got = run(spark, df, 4, timers.release_stream, tmp_path, "released", lambda t: t.count() >= len(want))
+    assert {r.factor_id: r.n_variables for r in got} == want and len(got) == len(want) < 150
+    batch = graph.releases(df.where("kind = 'factor'").selectExpr("id as factor_id", "arrival"), df.where("kind = 'factor'").selectExpr("id as factor_id", "explode(variables) as variable_id"), df.where("kind = 'variable'").selectExpr("id as variable_id", "arrival"))
+    came = {(k, i): a for k, i, _, a in rows}
+    assert {r.factor_id: (r.n_variables, r.released) for r in batch.collect()} == {i: (n, max(came["factor", i], *(came["variable", v] for v in factors[i]))) for i, n in want.items()}
