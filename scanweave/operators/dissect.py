@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanweave.operators.factors import FACTORS, VARIABLES, evaluate
-from scanweave.operators.solver import PARTIAL, Options, _information, add_share, batches_of, partial_rows, robust
+from scanweave.operators.solver import PARTIAL, Options, _information, add_share, batches_of, partial_rows
 from scanweave.sources.tables import keep
 
 #: Variables in a part of the first level, parts that become one, and unknowns that one part may hold.
@@ -200,7 +200,7 @@ def linearised(variables: DataFrame, factors: DataFrame, options: Options, deriv
                 e, jac = evaluate(kind, x, z, derivatives)
                 omega = _information(group["information"].tolist(), FACTORS[kind].size)
                 chi = np.einsum("ki,kij,kj->k", e, omega, e)
-                cost, weight = robust(chi, options.kernel, options.threshold)
+                cost, weight = options.robust(kind, chi)
                 for k, of in enumerate((cost == chi, cost != chi)):
                     totals[k] += chi[of].sum(), cost[of].sum(), of.sum()
                 if derivatives:

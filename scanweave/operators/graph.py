@@ -62,6 +62,17 @@ def robust(chi: Column, kernel: str, threshold: float) -> tuple[Column, Column]:
     raise ValueError(f"no kernel named {kernel}")
 
 
+def robust_by_type(kind: Column, chi: Column, policies: dict[str, tuple[str | None, float]], default: tuple[str | None, float] = (None, 0.0)) -> tuple[Column, Column]:
+    """(cost, weight) where each type of factor has its own kernel and threshold; types that policies don't name have the default,
+    and a kernel of None leaves the error as it is."""
+    plain = lambda p: (chi, F.lit(1.0)) if p[0] is None else robust(chi, *p)
+    cost, weight = plain(default)
+    for name, policy in policies.items():
+        own = plain(policy)
+        cost, weight = F.when(kind == name, own[0]).otherwise(cost), F.when(kind == name, own[1]).otherwise(weight)
+    return cost, weight
+
+
 def chi_statistics(errors: DataFrame, kernel: str, threshold: float) -> DataFrame:
     """Counts and sums by status: inlier (the kernel leaves the error as it is), kernelized, suppressed (not enabled). errors has (chi, enabled)."""
     cost, _ = robust(F.col("chi"), kernel, threshold)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,11 @@ class Options:
     criterion: str | None = None  # chi, step, gradient, step_violation or gradient_violation; None: min_change and min_step
     epsilon: float = 1e-6
     epsilon_violation: float = 1e-6
+    policies: dict[str, tuple[str | None, float]] = field(default_factory=dict)  # kernel and threshold of factor types that have their own
+
+    def robust(self, kind: str, chi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cost, weight) of squared errors of a factor type."""
+        return robust(chi, *self.policies.get(kind, (self.kernel, self.threshold)))
 
 
 def robust(chi: np.ndarray, kernel: str | None, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +112,7 @@ def _linearise(estimates, options: Options, derivatives: bool):
                 e, jac = evaluate(kind, x, z, derivatives)
                 omega = _information(group["information"].tolist(), FACTORS[kind].size)
                 chi = np.einsum("ki,kij,kj->k", e, omega, e)
-                cost, weight = robust(chi, options.kernel, options.threshold)
+                cost, weight = options.robust(kind, chi)
                 for k, of in enumerate((cost == chi, cost != chi)):
                     totals[k] += chi[of].sum(), cost[of].sum(), of.sum()
                 if derivatives:

@@ -373,6 +373,16 @@ def chi_stats(spark, sf_dir):
     return rounded(graph.chi_statistics(_errors(spark, sf_dir), "huber", 2.0), {"chi": 2, "cost": 2})
 
 
+@query("""with e as (select l_returnflag || l_linestatus as kind, l_quantity * l_quantity / 100 as chi from lineitem),
+ k as (select *, case when kind = 'AF' then case when sqrt(chi) < 2 then chi else 4 * abs(sqrt(chi) - 2) end when kind = 'RF' then 3 * ln(1 + chi / 3) when kind = 'NF' then chi else least(chi, 9) end as cost from e)
+ select kind, count(*) as n, round(sum(chi), 2) as chi, round(sum(cost), 2) as cost from k group by kind""")
+def robust_policies(spark, sf_dir):
+    """Each kind of factor under a kernel of its own."""
+    e = views.table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("kind"), (F.col("l_quantity") * F.col("l_quantity") / 100).alias("chi"))
+    cost, _ = graph.robust_by_type(F.col("kind"), F.col("chi"), {"AF": ("huber", 2.0), "RF": ("cauchy", 3.0), "NF": (None, 0.0)}, ("saturated", 9.0))
+    return rounded(e.withColumn("cost", cost).groupBy("kind").agg(F.count("*").alias("n"), F.sum("chi").alias("chi"), F.sum("cost").alias("cost")), {"chi": 2, "cost": 2})
+
+
 @query("""with e as (select distinct l_quantity, l_quantity * l_quantity / 100 as chi from lineitem) select l_quantity as q,
  round(case when sqrt(chi) < 2 then 1 else 4 / sqrt(chi) end, 8) as huber, round(1 / (1 + chi / 2), 8) as cauchy, case when chi < 2 then 1.0::double else 0.0::double end as saturated, round(case when chi < 2 then chi else 0 end, 8) as clamp_cost,
  round(2 * ln(1 + chi / 2), 8) as cauchy_cost from e""")

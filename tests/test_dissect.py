@@ -82,3 +82,10 @@ def test_bound_factors_need_all_their_variables(spark):
     assert dissect.bound(variables, factors).count() == factors.count()
     there = dissect.bound(variables.where("variable_id != 3"), factors)
     assert there.where(F.array_contains("variables", 3)).count() == 0 and there.count() > 0
+
+
+def test_types_have_kernels_of_their_own():
+    chi = np.array([0.5, 4.0])
+    o = solver.Options(kernel="cauchy", threshold=2.0, policies={"a": ("huber", 1.0), "b": (None, 0.0)})
+    for kind, want in (("a", solver.robust(chi, "huber", 1.0)), ("b", (chi, np.ones(2))), ("c", solver.robust(chi, "cauchy", 2.0))):
+        assert all(np.array_equal(x, y) for x, y in zip(o.robust(kind, chi), want, strict=True))
