@@ -193,8 +193,9 @@ def held_out() -> Column:
 def identify(docs: DataFrame, dims: int = 1024, per_language: int = 3000) -> DataFrame:
     """doc_id, held_out, lang_pred, score per row of docs (doc_id, text, lang); learned from rows that are not held out.
 
-    Repeated rows get equal results; other columns are not read. Empty table, or no labelled row: no language is learned,
-    and every text with a letter gets `und`.
+    Null, empty and letterless texts: `und` with score 0. Equal cosines: the first language by name. A long text is read whole, part by
+    part. Repeated rows get equal results; a null doc_id is a row like others. Other columns are not read. Empty table, or no
+    labelled row: no language is learned, and every text with a letter gets `und`.
     """
     profiles = fit(docs.where(~held_out()), dims, per_language)
     out = predicted(docs.select("doc_id", "text"), profiles)
