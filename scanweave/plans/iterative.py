@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scanweave.functions import geometry, poses
-from scanweave.operators import adjust, associate, cloud, closures, dissect, grids, solver, spread, tracks, tree, two_view
+from scanweave.operators import adjust, associate, cloud, closures, dissect, grids, register, solver, spread, tracks, tree, two_view
 from scanweave.plans import views
 from scanweave.plans.catalog import _CELLS, _cells, query, rounded
 from scanweave.plans.views import NRM, PTS
@@ -177,6 +177,21 @@ def graph_initialise(spark, sf_dir):
     return rounded(found.select("id", "kind", *_planar("estimate")), {"x": 4, "y": 4, "sin_a": 5})
 
 
+@query("select label::bigint as pair, count(*) as n, 0.05::double as tx, round(0.03::double - 0.01::double * label, 3) + 0.0 as ty, 0.02::double as tz, round(sin(0.002::double * label), 3) + 0.0 as sin_yaw from embeddings group by label")
+def cloud_register(spark, sf_dir):
+    """The vectors of each label as a cloud, and the same seen from beside it: where that is, from a start where it is not."""
+    e, k = F.col("embedding"), F.col("label").cast("long")
+    table = views.table(spark, sf_dir, "embeddings").select(k.alias("pair"), F.col("vec_id").alias("point_id"), *[(e[i].cast("double") * 16).alias(c) for i, c in enumerate("xyz")])
+    turn = F.lit(0.002) * F.col("pair")
+    q = [F.col("x") - 0.05, F.col("y") - (F.lit(0.03) - F.lit(0.01) * F.col("pair")), F.col("z") - 0.02]
+    there = table.select("pair", "point_id", (F.cos(turn) * q[0] + F.sin(turn) * q[1]).alias("x"), (F.cos(turn) * q[1] - F.sin(turn) * q[0]).alias("y"), q[2].alias("z"))
+    zero = F.lit(0.0)
+    start = table.select("pair").distinct().withColumn("pose", poses.struct((zero, zero, zero, zero, zero, zero, F.lit(1.0))))
+    found = register.register(table, there, start, 0.4, tolerance=1e-6)
+    p = poses.of(F.col("pose"))
+    return rounded(found.select("pair", "n", p[0].alias("tx"), p[1].alias("ty"), p[2].alias("tz"), (2 * p[5] * p[6]).alias("sin_yaw")), dict.fromkeys(("tx", "ty", "tz", "sin_yaw"), 3))
+
+
 @query("""with t as (select label as pair, count(*) as n_points, 0.05::double + 0.02::double * label as yaw, 0.3::double as x, 0.4::double - 0.1::double * label as y, 0.5::double as z from embeddings group by label)
  select pair, n_points, round(cos(yaw), 2) + 0.0 as cos_yaw, round(sin(yaw), 2) + 0.0 as sin_yaw, round(x / sqrt(x * x + y * y + z * z), 2) + 0.0 as tx, round(y / sqrt(x * x + y * y + z * z), 2) + 0.0 as ty, round(z / sqrt(x * x + y * y + z * z), 2) + 0.0 as tz, true as all_fit from t""")
 def essential_ransac(spark, sf_dir):
