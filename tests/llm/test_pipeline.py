@@ -129,7 +129,7 @@ def test_empty_table(spark, docs, tmp_path):
 
 def test_queries_are_registered():
     names = [n.split("_")[0] for n in queries.queries()]
-    assert names == [f"op{i}" for i in range(1, 11)] and set(queries.oracle_sql()) <= set(queries.queries())
+    assert names == [f"op{i}" for i in range(1, 14)] and set(queries.oracle_sql()) <= set(queries.queries())
 
 
 def test_run_folders_are_dropped(spark):
