@@ -269,7 +269,6 @@ def initialise(variables: DataFrame, factors: DataFrame, rounds: list[str] | Non
     steps = factors.where("kind = 'pose_pose'").select("id", v[0].alias("a"), v[1].alias("b"), F.when(F.size(m) == 3, planar).otherwise(whole).alias("step"))
     others = {r.kind for r in factors.select("kind").distinct().collect()} & set(RULES)
     known = keep(variables.where("fixed and estimate is not null").select("id", F.col("estimate").alias("pose")), "spread-known")
-    n = known.count()
     while True:
         known = keep(spread_poses(known, steps, rounds), "spread-known")
         for kind in sorted(others):
@@ -278,14 +277,14 @@ def initialise(variables: DataFrame, factors: DataFrame, rounds: list[str] | Non
             started = rule(_ready(own, known, "_point", ("_pose", "_offset")))
             known = keep(known.unionByName(started.withColumnRenamed("estimate", "pose").join(known.select("id"), "id", "left_anti")), "spread-known")
             rounds.append(kind)
-        if "pose_point" in others:
-            own = factors.where("kind = 'pose_point'").select(F.col("id").alias("factor"), v[0].alias("_pose"), v[1].alias("_point"), F.lit(None).cast("long").alias("_offset"), "measurement")
-            started = _pose_of_points(_ready(own, known, "_pose", ("_point",)))
-            known = keep(known.unionByName(started.withColumnRenamed("estimate", "pose").join(known.select("id"), "id", "left_anti")), "spread-known")
-            rounds.append("points_pose")
-        before, n = n, known.count()
-        if n == before or not others:
+        if "pose_point" not in others:
+            break
+        own = factors.where("kind = 'pose_point'").select(F.col("id").alias("factor"), v[0].alias("_pose"), v[1].alias("_point"), F.lit(None).cast("long").alias("_offset"), "measurement")
+        started = keep(_pose_of_points(_ready(own, known, "_pose", ("_point",))).withColumnRenamed("estimate", "pose"), "spread-started")
+        rounds.append("points_pose")
+        if not started.limit(1).count():  # only a new pose lets anything else start
             break
+        known = keep(known.unionByName(started.join(known.select("id"), "id", "left_anti")), "spread-known")
     found = variables.join(known.select("id", F.col("pose").alias("_found")), "id", "left")
     return found.withColumn("estimate", F.coalesce("_found", "estimate")).withColumn("initialised", F.col("_found").isNotNull()).drop("_found")
 
