@@ -14,16 +14,30 @@ from scanweave.operators.messages import as_of_interpolate  # noqa: F401  (part
 
 
 def match_nearest(estimate: DataFrame, truth: DataFrame, max_gap: int, time: str = "t", keys: list[str] = ()) -> DataFrame:
-    """Each estimate row with the truth row nearest in time within max_gap; the earlier one at a tie.
+    """Each estimate row with the truth row nearest in time within max_gap; the earlier one at a tie, and of rows of one time the
+    smallest. Equal estimate rows are one.
 
-    Both sides are joined on time buckets as wide as the gap, each estimate in its own and both next buckets.
+    Both sides are united in time buckets as wide as the gap. A bucket's first and last truth row are also in the bucket before
+    and after, so that an estimate finds both neighbours in its own one, and no pair of rows is ever made.
     """
     keys = list(keys)
-    a = estimate.withColumn("_b", F.explode(F.array(*[F.floor(F.col(time) / max_gap) + d for d in (-1, 0, 1)])))
-    b = truth.select(*keys, F.floor(F.col(time) / max_gap).alias("_b"), F.col(time).alias("_tt"), F.struct(*[c for c in truth.columns if c not in keys]).alias("truth"))
-    gap = F.abs(F.col(time) - F.col("_tt"))
-    pairs = a.join(b, [*keys, "_b"]).where(gap <= max_gap)
-    return pairs.groupBy(*estimate.columns).agg(F.min_by("truth", F.struct(gap, F.col("_tt"))).alias("truth"))
+    bucket = F.floor(F.col(time) / max_gap)
+    there = [c for c in truth.columns if c not in keys]
+    ordered = [c for c in there if "map<" not in dict(truth.dtypes)[c]]
+    own = truth.dropna(subset=[*keys, time]).groupBy(*keys, F.col(time).alias("_t")).agg(F.min_by(F.struct(*there), F.struct(*ordered)).alias("_truth"))
+    own = own.withColumn("_b", F.floor(F.col("_t") / max_gap)).withColumn("_point", F.struct("_t", F.col("_truth").alias("truth")))
+    ends = own.groupBy(*keys, "_b").agg(F.min_by("_point", "_t").alias("_first"), F.max_by("_point", "_t").alias("_last"))
+    beside = ends.select(*keys, F.explode(F.array(F.struct((F.col("_b") - 1).alias("_b"), F.col("_first").alias("_point")), F.struct((F.col("_b") + 1).alias("_b"), F.col("_last").alias("_point")))).alias("_e")).select(*keys, "_e.*")
+    points = own.select(*keys, "_b", "_point").unionByName(beside).withColumn("_t", F.col("_point._t"))
+    asked = estimate.dropna(subset=[*keys, time]).distinct().withColumns({"_b": bucket, "_t": F.col(time), "_row": F.struct(*estimate.columns)}).select(*keys, "_b", "_t", "_row")
+    both = asked.unionByName(points, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_b")
+    upto = lambda order: F.last("_point", ignorenulls=True).over(inside.orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    near = both.withColumns({"_before": upto(F.col("_t")), "_after": upto(F.col("_t").desc())}).where("_row is not null")
+    gap = lambda side: F.abs(F.col("_t") - F.col(f"{side}._t"))
+    best = F.when(F.col("_after").isNull() | (gap("_before") <= gap("_after")), F.col("_before")).otherwise(F.col("_after"))
+    near = near.withColumn("_best", best).where(gap("_best") <= max_gap)
+    return near.select("_row.*", F.col("_best.truth").alias("truth"))
 
 
 def axis_errors(pairs: DataFrame, axes: dict[str, Column], keys: list[str] = ()) -> DataFrame:

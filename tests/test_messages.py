@@ -65,3 +65,20 @@ def test_match_nearest_against_brute_force(spark):
         if near:
             want[i] = {j for g, u, j in near if (g, u) == near[0][:2]}
     assert got.keys() == want.keys() and all(got[i] in want[i] for i in got)
+
+
+def test_match_nearest_makes_no_pairs(spark):
+    """Rows at one time, times at the gap's border and keys; joined in buckets these 3,000 rows made four million pairs."""
+    a = spark.range(2000).select("id", F.lit("u").alias("k"), (F.col("id") % 20).alias("t"))
+    b = spark.range(2000).select(F.col("id").alias("truth_id"), F.lit("u").alias("k"), (F.col("id") % 10 * 3 + 5).alias("t"))
+    b = b.unionByName(spark.createDataFrame([(0, "v", 1), (1, None, 1), (2, "u", None)], "truth_id long, k string, t long"))
+    out = evaluate.match_nearest(a, b, 4, keys=["k"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    got = {r.id: r.truth.truth_id for r in out.collect()}
+    want = {}
+    for i in range(2000):
+        near = min((abs(i % 20 - (j % 10 * 3 + 5)), j % 10 * 3 + 5, j) for j in range(10))
+        if near[0] <= 4:
+            want[i] = near[2]
+    assert got == want
