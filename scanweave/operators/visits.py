@@ -34,12 +34,20 @@ def policy_cost(policies: list[tuple[str | None, int | None, int | None, float]]
 def arcs(edges: DataFrame, cost: Column, tainted: DataFrame | None = None) -> DataFrame:
     """(factor_id, source, target, cost): the ordered pairs of variables of each factor that the cost leaves open and that
     touch no tainted variable (variable_id). A factor's few variables are paired, never a variable's many factors."""
-    if tainted is not None:
-        edges = edges.join(tainted.select("variable_id").distinct(), "variable_id", "left_anti")
-    members = edges.groupBy("factor_id", "type").agg(F.collect_list(F.struct("position", "variable_id")).alias("_all"))
-    pairs = members.withColumn("_a", F.explode("_all")).withColumn("_b", F.explode("_all"))
+    members = edges.groupBy("factor_id", "type").agg(F.collect_list(F.struct("position", "variable_id")).alias("members"))
+    return arcs_of(members, cost, tainted)
+
+
+def arcs_of(factors: DataFrame, cost: Column, tainted: DataFrame | None = None) -> DataFrame:
+    """The arcs of factors that hold their variables: (factor_id, type, members), an array of (position, variable_id)."""
+    pairs = factors.withColumn("_a", F.explode("members")).withColumn("_b", F.explode("members"))
     pairs = pairs.select("factor_id", "type", F.col("_a.position").alias("from"), F.col("_b.position").alias("to"), F.col("_a.variable_id").alias("source"), F.col("_b.variable_id").alias("target"))
-    return pairs.where("source != target").withColumn("cost", cost).where("cost is not null").select("factor_id", "source", "target", "cost")
+    pairs = pairs.where("source != target").withColumn("cost", cost).where("cost is not null").select("factor_id", "source", "target", "cost")
+    if tainted is not None:
+        tainted = tainted.select("variable_id").distinct()
+        for end in ("source", "target"):
+            pairs = pairs.join(tainted.withColumnRenamed("variable_id", end), end, "left_anti")
+    return pairs.select("factor_id", "source", "target", "cost")
 
 
 def cheapest(arcs: DataFrame, sources: DataFrame, max_cost: float = 0.0, below: bool = False, keys: list[str] = ()) -> DataFrame:
@@ -48,7 +56,8 @@ def cheapest(arcs: DataFrame, sources: DataFrame, max_cost: float = 0.0, below:
     With a positive max_cost, ways that cost more are not taken; nor, with `below`, those that cost just as much. A round takes two
     steps from what the round before improved and appends only what is better than all before, so there are half as many
     rounds as the longest cheapest way has arcs. What is best is the minimum over the appended tables, which are put together every
-    TABLES rounds; nothing is collected.
+    TABLES rounds; nothing is collected. Both steps are written, so that their size is known and a small one goes to the arcs instead
+    of the arcs to it.
     """
     keys = list(keys)
     own = [*keys, "variable_id"]
@@ -69,7 +78,7 @@ def cheapest(arcs: DataFrame, sources: DataFrame, max_cost: float = 0.0, below:
         return offers.join(known().withColumnRenamed("cost", "_was"), own, "left").where("_was is null or cost < _was").drop("_was")
 
     while True:
-        one = better(step(frontier))
+        one = keep(better(step(frontier)), "visit")
         both = one.withColumn("hop", F.lit(1)).unionByName(step(one).withColumn("hop", F.lit(2))).groupBy(*own).agg(F.min(F.struct("cost", "hop")).alias("_new"))
         new = keep(better(both.select(*own, "_new.cost", "_new.hop")), "visit")
         if not new.limit(1).count():
