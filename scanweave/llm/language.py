@@ -16,7 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
@@ -206,11 +206,26 @@ def _length_class(n_grams: Column) -> Column:
     return F.least(F.floor(F.log2(n_grams)), F.lit(CLASSES - 1)).cast("int")
 
 
-def _bars(sample: DataFrame, profiles: Profiles, share: float, min_score: float) -> dict[str, list[float]]:
+def _medians(scored: DataFrame) -> dict[tuple[str, int], float]:
+    """The exact median of score by (lang, class). Bins of scores are counted first; only scores in the bins that hold the middle
+    are sorted, so that no task holds a group's scores."""
+    binned = scored.withColumn("_bin", F.floor(F.col("score") * 65536))
+    group = Window.partitionBy("lang", "class")
+    counts = binned.groupBy("lang", "class", "_bin").agg(F.count("*").alias("_n"))
+    ends = counts.withColumns({"_to": F.sum("_n").over(group.orderBy("_bin")), "_all": F.sum("_n").over(group)}).withColumn("_from", F.col("_to") - F.col("_n"))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = ends.where((F.col("_from") <= high) & (F.col("_to") > low)).select("lang", "class", "_bin", "_from", "_all")
+    near = binned.join(F.broadcast(middle), ["lang", "class", "_bin"])  # one or two rows a group
+    placed = near.withColumn("_at", F.col("_from") + F.row_number().over(Window.partitionBy("lang", "class", "_bin").orderBy("score")) - 1)
+    found = placed.where((F.col("_at") == low) | (F.col("_at") == high)).groupBy("lang", "class").agg(F.avg("score").alias("median")).collect()
+    return {(r["lang"], r["class"]): r["median"] for r in found}
+
+
+def _bars(labelled: DataFrame, profiles: Profiles, share: float, min_score: float) -> dict[str, list[float]]:
     """Per language and length class, `share` of the median score of the labelled texts there, min_score at least. A class
     without labelled texts has the bar of the next lower one that has some, as scores rise with length, or min_score."""
-    scored = predicted(sample, profiles).where("language_found.n_grams > 0").select("lang", "language_found.score", _length_class(F.col("language_found.n_grams")).alias("class"))
-    medians = {(r["lang"], r["class"]): r["median"] for r in scored.groupBy("lang", "class").agg(F.median("score").alias("median")).collect()}
+    scored = predicted(labelled.select("lang", "text"), profiles).where("language_found.n_grams > 0").select("lang", "language_found.score", _length_class(F.col("language_found.n_grams")).alias("class"))
+    medians = _medians(keep(scored, "language-scored"))
     out = {}
     for lang in profiles.languages:
         bar, out[lang] = min_score, []
@@ -220,8 +235,9 @@ def _bars(sample: DataFrame, profiles: Profiles, share: float, min_score: float)
     return out
 
 
-def identified_only(docs: DataFrame, min_score: float = 0.02, dims: int = 1024, per_language: int = 3000, share: float = 1 / 3) -> DataFrame:
-    """The rows of docs whose text is in a learned language, with their columns.
+def identified_only(docs: DataFrame, min_score: float = 0.02, dims: int = 1024, per_language: int | None = None, share: float = 1 / 3) -> DataFrame:
+    """The rows of docs whose text is in a learned language, with their columns. Prototypes and bars come from all labelled texts that
+    are not held out, or with per_language from about so many of each language.
 
     A text that shares no trigram with a language still has a cosine of about 1 / sqrt(dims) with it, by chance, and the
     best of several languages has more. Real scores grow with the number of distinct trigrams. So a text must reach
@@ -229,10 +245,14 @@ def identified_only(docs: DataFrame, min_score: float = 0.02, dims: int = 1024,
     of that number, and min_score. Texts of under about 16 trigrams are judged mildly, for their real scores come near
     the noise; where a language has no labelled text as short as a text, min_score alone counts.
     """
-    sample = keep(_sample(docs.where(~held_out()), per_language), "language-sample")
-    profiles = _learned(sample, dims)
+    learnable = docs.where(~held_out())
+    if per_language is None:
+        labelled = small_batches(learnable).where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    else:
+        labelled = keep(_sample(learnable, per_language), "language-sample")
+    profiles = _learned(labelled, dims)
     found, bar = predicted(docs, profiles), F.lit(min_score)
     if profiles.languages:
-        bars = F.create_map(*[x for lang, row in _bars(sample, profiles, share, min_score).items() for x in (F.lit(lang), F.array(*map(F.lit, row)))])
+        bars = F.create_map(*[x for lang, row in _bars(labelled, profiles, share, min_score).items() for x in (F.lit(lang), F.array(*map(F.lit, row)))])
         bar = bars[F.col("language_found.lang")][_length_class(F.col("language_found.n_grams"))]
     return found.where((F.col("language_found.lang") != "und") & (F.col("language_found.score") >= bar)).drop("language_found")

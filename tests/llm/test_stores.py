@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scanweave.llm import ann, language, warc
 from scanweave.llm.license import SENTENCES, license_scan, license_sql
@@ -246,3 +247,19 @@ def test_shard_bounds_hold_about_their_bytes(spark):
     sums = np.bincount(np.searchsorted(bounds, ids, "right") - 1, sizes, len(bounds))
     assert bounds == sorted(bounds) and set(parts) == {77} and parts[77] == 6
     assert sorted(sums)[-2] <= 50_000 and len(bounds) < 3 * sizes.sum() / 50_000 + 5
+
+
+def test_languages_are_learned_from_all_labelled_rows(spark, monkeypatch):
+    """4,800 short texts, of which 3,000 or so were learned from before; and medians are exact over bins."""
+    df = spark.range(4800).select(F.col("id").alias("doc_id"), F.concat(F.lit("wind over stone "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    seen = []
+    for name in ("_learned", "_bars"):
+        monkeypatch.setattr(language, name, lambda rows, *a, f=getattr(language, name): (seen.append(rows.count()), f(rows, *a))[1])
+    assert language.identified_only(df).count() == 4800
+    assert seen == [df.where(~language.held_out()).count()] * 2 and seen[0] > 3400
+    scores = [(lang, c, (i * i % 97) / 97 if c else 0.5 + i / 1e7) for lang in ("a", "b") for c in (0, 1) for i in range(40 + c)] + [("c", 0, 1.0)]
+    got = language._medians(spark.createDataFrame(scores, "lang string, class int, score double"))
+    assert got.keys() == {x[:2] for x in scores}
+    for k, m in got.items():
+        own = sorted(x[2] for x in scores if x[:2] == k)
+        assert abs(m - (own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2) < 1e-15
