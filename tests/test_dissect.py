@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scanweave.functions import simulate
 from scanweave.operators import dissect, solver
+from scanweave.plans import iterative
 
 BLOCKS = "i long, j long, h array<double>, b array<double>"
 
@@ -77,6 +78,16 @@ def test_pose_graphs_as_with_the_driver(spark, algorithm):
     assert history[0]["after"] < history[0]["before"]
 
 
+def test_long_graphs_are_solved_to_the_end(spark, tmp_path):
+    """Three steps left 1,500 customers up to a hundredth away from their places."""
+    customers = spark.range(1500).select(F.col("id").alias("c_custkey"), F.lit(0.0).alias("c_acctbal"))
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    rows = iterative.lm_solve(spark, str(tmp_path)).collect()
+    k = np.array([r.variable_id for r in rows])
+    want = np.stack([np.sqrt(k) * np.cos(np.sqrt(k) / 3), np.sqrt(k) * np.sin(np.sqrt(k) / 3), np.sin(k % 60 * 0.1 - 3)], axis=1)
+    assert sorted(k) == list(range(1500)) and np.abs(np.array([[r.x, r.y, r.sin_a] for r in rows]) - want).max() < 5.1e-5
+
+
 def test_bound_factors_need_all_their_variables(spark):
     variables, factors = simulate.pose_graph(spark, simulate.manhattan(8), noise=0.0)
     assert dissect.bound(variables, factors).count() == factors.count()
