@@ -68,7 +68,7 @@ def test_match_nearest_against_brute_force(spark):
 
 
 def test_match_nearest_makes_no_pairs(spark):
-    """Rows at one time, times at the gap's border and keys; joined in buckets these 3,000 rows made four million pairs."""
+    """Many rows at one time, times at the gap's border, keys and nulls."""
     a = spark.range(2000).select("id", F.lit("u").alias("k"), (F.col("id") % 20).alias("t"))
     b = spark.range(2000).select(F.col("id").alias("truth_id"), F.lit("u").alias("k"), (F.col("id") % 10 * 3 + 5).alias("t"))
     b = b.unionByName(spark.createDataFrame([(0, "v", 1), (1, None, 1), (2, "u", None)], "truth_id long, k string, t long"))
