@@ -59,6 +59,19 @@ def test_small_and_empty_systems(spark):
     assert [(r.i, r.x) for r in got] == [(7, [1.0, 0.5])]
 
 
+def test_a_level_writes_one_row_a_part(spark, monkeypatch):
+    """Separators of a band are coupled all to all: a row for each of their pairs, and for what follows from them, is many times the input."""
+    written = {}
+    plain = dissect.keep
+    monkeypatch.setattr(dissect, "keep", lambda df, name: written.setdefault(name, []).append(kept := plain(df, name)) or kept)
+    n = 300
+    rows, want, own = system(np.random.default_rng(3), n, [(i, i + k) for k in (1, 20) for i in range(n - k)], [1] * n)
+    got = {r.i: r.x for r in dissect.solve(spark.createDataFrame(rows, BLOCKS), part=50, merge=8).collect()}
+    assert len(got) == n and max(np.abs(got[i] - want[own(i)]).max() for i in range(n)) < 1e-8
+    levels = [t.count() for name, tables in written.items() for t in tables if name in ("dissect-level", "dissect-now", "dissect-blocks")]
+    assert levels and sum(levels) < 2 * len(rows)
+
+
 def test_too_many_couplings_are_refused(spark):
     rows, _, _ = system(np.random.default_rng(2), 40, [(i, j) for i in range(40) for j in range(i)], [1] * 40)
     with pytest.raises(Exception, match="too many couplings"):
