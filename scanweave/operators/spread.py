@@ -1,6 +1,8 @@
 """Initial estimates of a factor graph, spread from fixed variables in rounds that double the ways they compose.
 
-Poses. Every variable is its own component; fixed ones belong to the world. In a round each component is hung, through one of
+Poses. Variables are first joined within blocks of 2^BLOCK ids, breadth first from the fixed ones and then from the smallest ids, each block
+in one task, so a chain whose ids follow each other leaves one component a block, and only these take part in rounds. Fixed
+variables belong to the world. In a round each component is hung, through one of
 its factors, on the neighbouring component of the smallest id below its own (the world is below all). The trees that this makes
 are flattened by doubling: a component's pose in its parent is multiplied by the parent's in the grandparent, so ways of length
 2^k take k joins. Factors then join fewer components, and the rounds end when none joins two. A chain of n poses takes one round and log2 n
@@ -16,15 +18,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanweave.functions import poses
+from scanweave.operators.tracks import compose
 from scanweave.sources.tables import keep
 
 #: The component of what is known; ids of variables are above it.
 WORLD = -(1 << 63)
+#: Bits of an id inside its block.
+BLOCK = 12
 _P = poses.STRUCT
 
 
@@ -71,16 +77,67 @@ def _flattened(parents: DataFrame, rounds: list[str]) -> DataFrame:
         now = now.drop("_moved")
 
 
+def _hung(members: DataFrame, tops: DataFrame) -> DataFrame:
+    """members (id, root, pose) on the roots of their roots: tops are (id, root, pose)."""
+    up = tops.select(F.col("id").alias("root"), F.col("root").alias("_up"), F.col("pose").alias("_up_pose"))
+    moved = F.when(F.col("_up").isNull(), F.col("pose")).otherwise(_unit(_times(F.col("_up_pose"), F.col("pose"))))
+    return members.join(up, "root", "left").select("id", F.coalesce("_up", "root").alias("root"), moved.alias("pose"))
+
+
+def _in_block(steps: pd.DataFrame, fixed: pd.DataFrame) -> pd.DataFrame:
+    """(id, root, pose) of the variables of a block of ids: the fixed ones and what its steps join to them in the world, the others in
+    the frame of the smallest id that its steps join them to. Rows without b name a variable only."""
+    ids = np.unique(np.concatenate([steps["a"].to_numpy(), steps["b"].dropna().to_numpy().astype(np.int64), fixed["id"].to_numpy()]).astype(np.int64))
+    own = steps[steps["b"].notna()].sort_values(["id", "a", "b"])
+    a, b = (np.searchsorted(ids, own[c].to_numpy().astype(np.int64)) for c in "ab")
+    step = own[list(poses.FIELDS)].to_numpy(float).reshape(-1, 7)
+    turn = step * np.array([1, 1, 1, -1, -1, -1, 1.0])
+    back = turn.copy()
+    back[:, :3] = -compose(np.hstack([np.zeros((len(turn), 3)), turn[:, 3:]]), step)[:, :3]
+    both, links = np.concatenate([np.hstack([np.zeros((1, 6)), np.ones((1, 1))]), step, back]), [[] for _ in ids]
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        links[i].append((j, k + 1))
+        links[j].append((i, k + 1 + len(a)))
+    parent, by, root = np.arange(len(ids)), np.zeros(len(ids), int), [-1] * len(ids)
+    world = np.searchsorted(ids, np.sort(fixed["id"].to_numpy())).tolist()
+    for starts in (world, *([i] for i in range(len(ids)))):
+        queue = [i for i in starts if root[i] < 0]
+        for i in queue:
+            root[i] = i
+        for i in queue:  # grows as it is read
+            for j, k in links[i]:
+                if root[j] < 0:
+                    root[j], parent[j], by[j] = root[i], i, k
+                    queue.append(j)
+    pose = both[by]
+    while (rows := np.flatnonzero(parent[parent] != parent)).size:
+        pose[rows], parent[rows] = compose(pose[parent[rows]], pose[rows]), parent[parent[rows]]
+    top, at = ids[parent], {i: p for i, *p in fixed[["id", *poses.FIELDS]].itertuples(index=False)}
+    rows = np.flatnonzero(np.isin(parent, world))
+    if len(rows):
+        pose[rows] = compose(np.array([at[i] for i in top[rows]], float), pose[rows])
+        top[rows] = WORLD
+    pose[:, 3:] /= np.linalg.norm(pose[:, 3:], axis=1, keepdims=True)
+    return pd.DataFrame({"id": ids, "root": top} | {c: pose[:, k] for k, c in enumerate(poses.FIELDS)})
+
+
 def spread_poses(known: DataFrame, steps: DataFrame, rounds: list[str] | None = None) -> DataFrame:
     """(id, pose) of all variables that steps (a, b, step, id: the pose of b in the frame of a) join to known (id, pose), the
     known ones included. rounds gets a word for each job that was run. Steps with a null are left out."""
     rounds = [] if rounds is None else rounds
-    usable = steps.where("a is not null and b is not null and step is not null and a != b")
+    usable = steps.where("a is not null and b is not null and step is not null and a != b").select("id", "a", "b", "step")
     fixed = known.where("pose is not null").groupBy("id").agg(F.first("pose").alias("pose"))
-    ids = usable.select(F.col("a").alias("id")).union(usable.select("b")).distinct()
-    members = keep(ids.join(fixed, "id", "full").select("id", F.when(F.col("pose").isNull(), F.col("id")).otherwise(F.lit(WORLD)).alias("root"), F.coalesce("pose", _still()).alias("pose")), "spread-members")
+    block = lambda c: F.shiftright(c, BLOCK).alias("block")
+    near = F.shiftright("a", BLOCK) == F.shiftright("b", BLOCK)
+    far = keep(usable.where(~near), "spread-far")
+    alone = far.select(F.explode(F.array("a", "b")).alias("a")).distinct()
+    rows = usable.where(near).select(block("a"), "id", "a", "b", "step.*").unionByName(alone.select(block("a"), "a"), allowMissingColumns=True)
+    held = fixed.select(block("id"), "id", "pose.*")
+    members = rows.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(_in_block, f"id long, root long, {', '.join(f'{c} double' for c in poses.FIELDS)}")
+    members = keep(members.select("id", "root", F.struct(*poses.FIELDS).alias("pose")), "spread-members")
+    rounds.append("block")
     end = lambda side, name: members.select(F.col("id").alias(side), F.col("root").alias(f"{name}_root"), F.col("pose").alias(f"{name}_pose"))
-    arcs = usable.join(end("a", "a"), "a").join(end("b", "b"), "b")
+    arcs, tops = far.join(end("a", "a"), "a").join(end("b", "b"), "b"), None  # tops: roots of blocks, their roots and their poses there
     while True:
         # the pose of b's root in the frame of a's: out of a's root to a, over the step, back from b to its root
         whole = _unit(_times(_times(F.col("a_pose"), F.col("step")), _back(F.col("b_pose"))))
@@ -94,12 +151,14 @@ def spread_poses(known: DataFrame, steps: DataFrame, rounds: list[str] | None =
             break
         parents = arcs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"), F.min_by("step", "a").alias("pose"))
         flat = _flattened(parents, rounds)
-        up = flat.select(F.col("node").alias("root"), F.col("root").alias("_up"), F.col("pose").alias("_up_pose"))
-        members = members.join(up, "root", "left").select("id", F.coalesce("_up", "root").alias("root"), F.when(F.col("_up").isNull(), F.col("pose")).otherwise(_unit(_times(F.col("_up_pose"), F.col("pose")))).alias("pose"))
-        members = keep(members, "spread-members")
+        if tops is None:
+            ids = arcs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            tops = ids.select("id", F.col("id").alias("root"), _still().alias("pose"))
+        tops = keep(_hung(tops, flat.withColumnRenamed("node", "id")), "spread-tops")
         side = lambda s: flat.select(F.col("node").alias(s), F.col("root").alias(f"{s}_up"), F.col("pose").alias(f"{s}_up_pose"))
         moved = arcs.join(side("a"), "a", "left").join(side("b"), "b", "left")
         arcs = moved.select("id", "step", F.coalesce("a_up", "a").alias("a_root"), F.coalesce("b_up", "b").alias("b_root"), F.coalesce("a_up_pose", _still()).alias("a_pose"), F.coalesce("b_up_pose", _still()).alias("b_pose"))
+    members = members if tops is None else _hung(members, tops)
     return members.where(F.col("root") == WORLD).select("id", "pose")
 
 

@@ -108,6 +108,18 @@ def test_a_long_chain_takes_few_rounds(spark, shuffled):
     assert len(rounds) < (20 if not shuffled else 40), rounds
 
 
+def test_rounds_take_blocks_of_a_chain_and_not_its_poses(spark, monkeypatch):
+    """A round that doubles ways writes every component; of a chain only what crosses blocks may come that far."""
+    written, plain = [], spread.keep
+    monkeypatch.setattr(spread, "keep", lambda df, name: written.append((name, kept := plain(df, name))) or kept)
+    n = 20_000
+    steps = spark.range(1, n).select("id", (F.col("id") - 1).alias("a"), F.col("id").alias("b"), poses.struct((F.lit(1.0), F.lit(0.0), F.lit(0.0), *poses.yaw(F.lit(2 * np.pi / 1000)))).alias("step"))
+    got = spread.spread_poses(frame(spark, np.array([[0, 0, 0, 0, 0, 0, 1.0]])), steps)
+    far = got.where("id % 1000 = 0").agg(F.max(F.hypot("pose.tx", "pose.ty")), F.count("*")).first()
+    assert got.count() == n and far[0] < 1e-6 and far[1] == n // 1000
+    assert sum(t.count() for name, t in written if name != "spread-members") < 200 and sum(name == "spread-members" for name, _ in written) == 1
+
+
 def test_poses_of_a_graph_with_loops_and_islands(spark):
     rng = np.random.default_rng(6)
     truth = walk(steps(60, 7))
