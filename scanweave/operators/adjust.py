@@ -199,8 +199,8 @@ def adjust(points: DataFrame, poses: np.ndarray, config: Config = Config()) -> t
     points has (scan_id, point_id, x, y, z) in each scan's frame. Each iteration associates anew, then takes one
     Levenberg-Marquardt step: more damping until the robust cost falls, at most config.trials times.
     """
-    leaves = keep(tree.leaves(points, config.leaf_size, config.flatness), "leaves")
-    nodes = keep(tree.nodes(points, config.leaf_size, config.flatness), "nodes")
+    trees = keep(tree.trees(points, config.leaf_size, config.flatness), "trees")
+    leaves, nodes = tree.leaves_of(trees), tree.nodes_of(trees)
     poses, history = np.array(poses, float), []
     for _ in range(config.iterations):
         matches = keep(associate.match(_moved(nodes, poses, "s"), _moved(leaves, poses, "n"), config.gates), "matches")

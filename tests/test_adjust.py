@@ -58,6 +58,43 @@ def test_tree_invariants(points):
     assert (np.bincount(tree.descend(arrays, points), minlength=len(leaves)) == [x["n"] for x in leaves]).all()
 
 
+def test_scans_larger_than_a_task_have_the_tree_that_one_task_builds(spark):
+    rng = np.random.default_rng(8)
+    flat = np.column_stack([rng.uniform(0, 4, 1500), rng.uniform(0, 3, 1500), rng.normal(0, 0.005, 1500)])
+    scans = [rng.normal(size=(2000, 3)) + 3, np.vstack([flat, np.full((900, 3), 7.0)]), rng.normal(size=(40, 3))]
+    rows = [(s, int(k), *map(float, p)) for s, own in enumerate(scans) for k, p in enumerate(own)]
+    rows += [(0, -1, float("nan"), 0.0, 0.0), (1, -2, 0.0, float("inf"), 0.0), (2, -3, None, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "scan_id int, point_id long, x double, y double, z double").repartition(5)
+
+    def get(task_points):
+        found = tree.trees(points, 0.3, 0.1, task_points).orderBy("scan_id", "node_id").toPandas()
+        return found, found[["scan_id", "node_id", "left_id", "right_id", "leaf_id", "n_points"]].fillna(-1).astype(int).to_numpy(), found.drop(columns=["n_points"]).to_numpy(float)
+
+    _, want_ids, want = get(10_000)
+    for task_points in (700, 60):
+        _, ids, got = get(task_points)
+        assert (ids == want_ids).all()
+        far = ~np.isclose(got, want, atol=1e-9, equal_nan=True)
+        assert not far.any(), (got[far.any(axis=1)][:5], want[far.any(axis=1)][:5], far.sum())
+    for s, own in enumerate(scans):
+        nodes, leaves = tree.build(own, 0.3, 0.1)
+        assert (want_ids[want_ids[:, 0] == s][:, 4] == [n["leaf"] for n in nodes]).all() and (want_ids[:, 0] == s).sum() == len(nodes) > len(leaves)
+
+
+def test_no_task_builds_more_points_than_it_may(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(0, k, *map(float, p)) for k, p in enumerate(rng.normal(size=(3000, 3)))]
+    points = spark.createDataFrame(rows, "scan_id int, point_id long, x double, y double, z double")
+    limit, whole = 500, tree.build
+
+    def build(points, *rest):
+        assert len(points) <= limit
+        return whole(points, *rest)
+
+    monkeypatch.setattr(tree, "build", build)
+    assert tree.leaves(points, 0.5, 0.1, limit).agg(F.sum("n_points")).first()[0] == 3000
+
+
 def test_schur_equals_the_full_system():
     import pandas as pd
 
