@@ -14,8 +14,9 @@ from scanweave.sources.tables import keep, shared_dir
 
 
 def _odometry(spark, sf_dir):
-    """The log as odometry messages: topic, t in nanoseconds, message."""
-    m, e = views.messages(spark, sf_dir), F.col("event_id")
+    """The log as odometry messages in time order: topic, t in nanoseconds, message. It is the log that is sorted, as to find
+    ranges everything before the sort runs twice."""
+    m, e = views.messages(spark, sf_dir).repartitionByRange("t").sortWithinPartitions("t"), F.col("event_id")
     point = F.struct(F.col("value").alias("x"), (e % 13).cast("double").alias("y"), F.lit(0.0).alias("z"))
     turn = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.lit(1.0).alias("w"))
     header = F.struct(e.alias("seq"), (F.col("t") * 1000).alias("stamp"), F.col("frame").cast("string").alias("frame_id"))
@@ -29,7 +30,7 @@ def bag_log(spark, sf_dir):
     """The log, written as bags in time order by many tasks, and read back with a filter that leaves out chunks."""
     folder = f"{shared_dir(spark)}/bags-{uuid.uuid4().hex}"
     rows = rosmsg.encode(_odometry(spark, sf_dir), "nav_msgs/Odometry")
-    rosbag.write_bags(rows.repartitionByRange("t").sortWithinPartitions("t"), folder)
+    rosbag.write_bags(rows, folder)
     first, last = (int(d) * 86_400_000_000_000 for d in (19732, 19747))  # days since 1970
     found = rosbag.read_bags(spark, folder).where(F.col("topic").isin("click", "purchase") & (F.col("t") >= first) & (F.col("t") < last))
     m = rosmsg.decode(found, "nav_msgs/Odometry")

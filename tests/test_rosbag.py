@@ -55,6 +55,51 @@ def test_messages_round_trip(kind):
         rosmsg.unpack(data[:-1], kind)
 
 
+@pytest.mark.parametrize("kind", rosmsg.KINDS)
+def test_columns_are_packed_as_messages_are(spark, kind):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    def empty(v):
+        """The same with each second value left out."""
+        return {k: empty(x) if isinstance(x, dict) else x for i, (k, x) in enumerate(v.items()) if i % 2}
+
+    def small(v):
+        if isinstance(v, dict):
+            return {k: small(x) for k, x in v.items()}
+        return [small(x) for x in v] if isinstance(v, list) else v % 100 if isinstance(v, int) and not isinstance(v, bool) else v
+
+    m = small(some(kind))
+    full = {**m}
+    for name, _, length, _ in rosmsg.fields(rosmsg.DEFINITIONS[kind]):
+        if isinstance(length, int):
+            full[name] = [i - 0.5 for i in range(length)]
+    for rows in ([m, None, empty(m), {}, full], [full] * 3, [None], []):
+        column = pa.array(rows, to_arrow_type(rosmsg.spark_type(kind)))
+        assert rosmsg.pack_all(column, kind) == [None if r is None else rosmsg.pack(r, kind) for r in rows]
+    column = pa.array([None, *[full] * 4], column.type)[2:]  # a slice
+    assert rosmsg.pack_all(column, kind) == [rosmsg.pack(full, kind)] * 3
+
+
+def test_numbers_out_of_range_are_refused_in_columns():
+    import pyarrow as pa
+
+    rows = pa.array([{"header": {"seq": -1, "stamp": 0, "frame_id": "a"}}])
+    with pytest.raises(struct.error):
+        rosmsg.pack_all(rows, "geometry_msgs/PointStamped")
+
+
+def test_the_log_is_encoded_once(spark, monkeypatch):
+    """Ranges are found from the log, before it is encoded."""
+    from scanweave.plans import recorded
+
+    encoded = spark.sparkContext.accumulator(0)
+    whole = rosmsg.pack_all
+    monkeypatch.setattr(rosmsg, "pack_all", lambda column, kind: (encoded.add(len(column)), whole(column, kind))[1])
+    recorded.bag_log(spark, "/root/testdata/sf0.001").collect()
+    assert encoded.value == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
 def test_digests_are_the_public_ones():
     assert rosmsg.digest("std_msgs/Header") == "2176decaecbce78abc3b96ef049fabed"
     assert rosmsg.digest("sensor_msgs/Imu") == "6a62c6daae103f4ff57a132d6f95cec2"
