@@ -91,6 +91,28 @@ def test_pose_graphs_as_with_the_driver(spark, algorithm):
     assert history[0]["after"] < history[0]["before"]
 
 
+def test_a_graph_is_dissected_once(spark, monkeypatch):
+    """Steps pass over parts that stay: a table for each level up and one down. Before, each dissected the graph again, in twelve tables and more."""
+    written = []
+    plain = dissect.keep
+    monkeypatch.setattr(dissect, "keep", lambda df, name: written.append(name) or plain(df, name))
+    variables, factors = simulate.pose_graph(spark, simulate.manhattan(90), noise=0.001)
+    fixed = spark.createDataFrame([(900, "se3", "fixed", np.eye(4).ravel().tolist()), (901, "se3", "active", np.eye(4).ravel().tolist())], variables.schema)
+    more = spark.createDataFrame([(9000, "se3_pose_pose", [0, 900], np.eye(4).ravel().tolist(), []), (9001, "se3_pose_pose", [5, 77777], np.eye(4).ravel().tolist(), [])], factors.schema)
+    variables, options = variables.unionByName(fixed), solver.Options("gn", iterations=2)
+    problem = solver.Problem(variables, factors.unionByName(more.where("factor_id = 9000")), options)
+    want = {r.variable_id: np.array(r.estimate) for r in problem.solve().collect()}
+    history = []
+    found = dissect.least_squares(variables, factors.unionByName(more), options, history=history, part=4)
+    steps = [n for n in written if n in ("dissect-level", "dissect-found")]
+    levels = history[0]["levels"]
+    assert len(levels) > 2 and len(steps) <= 2 * (2 * len(levels)) and written.count("dissect-separators") <= len(levels)
+    assert len(written) - len(steps) < 6 * len(levels) + 6  # the dissection, whatever the number of steps
+    got = {r.variable_id: np.array(r.estimate) for r in found.collect()}
+    assert set(got) == set(want) and max(np.abs(got[i] - want[i]).max() for i in want) < 1e-6
+    assert [h["after"] for h in history] == pytest.approx([h["after"] for h in problem.history])
+
+
 def test_long_graphs_are_solved_to_the_end(spark, tmp_path):
     """For 1,500 customers the step after the third has a norm of 1.5e-3, so three are too few for four decimals."""
     customers = spark.range(1500).select(F.col("id").alias("c_custkey"), F.lit(0.0).alias("c_acctbal"))
