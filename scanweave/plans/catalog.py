@@ -404,7 +404,7 @@ def ba_normal_equations(spark, sf_dir):
  select a.scan_id as i, b.scan_id as j, round(sum(-cast(a.w as double) * b.w / h), 4) as h from s a join s b using (surfel_id) join t using (surfel_id) where a.scan_id <= b.scan_id group by 1, 2""")
 def schur_reduced(spark, sf_dir):
     """The fill that eliminating the surfels brings to the scans' system: one row per pair of scans."""
-    s = views.observations(spark, sf_dir).groupBy("surfel_id", "scan_id").agg(F.sum("w").alias("w"))
+    s = views.observations(spark, sf_dir).repartition("surfel_id").groupBy("surfel_id", "scan_id").agg(F.sum("w").alias("w"))  # one shuffle for both groupings
     return rounded(graph.fill(s, "surfel_id", "scan_id", "w"), {"h": 4})
 
 
